@@ -102,6 +102,8 @@ def split(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
 
 def sums(values: np.ndarray, bound: np.ndarray) -> np.ndarray:
     """The sum of each text's values."""
-    total = np.zeros(len(values) + 1, dtype=np.float64)
-    np.cumsum(values, out=total[1:])
-    return total[bound[1:]] - total[bound[:-1]]
+    out = np.zeros(len(bound) - 1, dtype=np.float64)
+    full = bound[1:] > bound[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(values.astype(np.float64), bound[:-1][full])
+    return out
