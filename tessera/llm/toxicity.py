@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from tessera.llm import labelled, words
 
 #: Most labelled texts that training reads, and the dictionaries' sizes in bytes: the bounds of training and of the model.
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 4000
 TOXIC_BYTES, ORDINARY_BYTES = 4096, 110_000
-REPEATS, LEVEL = 4, 19
-#: A toxic training string stands in so many toxic texts, and so many times as often as in ordinary ones.
-LEAST, RATIO = 4, 12
+REPEATS, LEVEL, FOLDS = 6, 19, 4
+#: A toxic training string stands in so many toxic texts, in this share of them, and so many times as often as in ordinary ones.
+LEAST, SHARE, RATIO = 4, 0.01, 15
 
 
 def _window(word: bytes) -> bytes:
@@ -79,27 +79,33 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> list[float]:
     return beta.tolist()
 
 
-def train(texts: list[str], labels: list[int]) -> bytes:
-    """Both dictionaries and the curve, pickled. Dictionaries learn from half of the texts, the curve from the other half."""
+def _dictionaries(sets: list[set[bytes]], labels: list[int], rows: list[int]) -> list[bytes]:
+    """The toxic and the ordinary dictionary, from windows that stand out in either class; empty ones if there are too few."""
     import zstandard
 
-    sets = [set(t.encode("utf-8", "surrogatepass").lower().split()) for t in texts]
-    half = [k for k in range(len(texts)) if k % 4 != 3]
-    many = [sum(labels[k] == y for k in half) for y in (0, 1)]
-    seen = [Counter(w for k in half if labels[k] == y for w in sets[k]) for y in (0, 1)]
-    marks = sorted(w for w, n in seen[1].items() if n >= LEAST and n / max(1, many[1]) >= RATIO * (seen[0][w] + 0.5) / max(1, many[0]))
+    many = [sum(labels[k] == y for k in rows) for y in (0, 1)]
+    seen = [Counter(w for k in rows if labels[k] == y for w in sets[k]) for y in (0, 1)]
+    marks = sorted(w for w, n in seen[1].items() if n >= max(LEAST, SHARE * many[1]) and n / max(1, many[1]) >= RATIO * (seen[0][w] + 0.5) / max(1, many[0]))
     plain = sorted(w for w, n in seen[0].items() if n >= LEAST and w not in set(marks))
-    samples = [[b" " + w + b" " for w in own for _ in range(min(n[w], most))] for own, n, most in ((marks, seen[1], 20), (plain, seen[0], 5))]
-    made = []
-    for own, size in zip(samples, (TOXIC_BYTES, ORDINARY_BYTES), strict=True):
+    made = []  # the trainer keeps its last samples for a trial of its own, so each string comes in every turn
+    for own, n, most, size in ((marks, seen[1], 20, TOXIC_BYTES), (plain, seen[0], 5, ORDINARY_BYTES)):
         try:
-            made.append(zstandard.train_dictionary(size, own).as_bytes())
-        except zstandard.ZstdError:  # too few samples: then there is no evidence, and the curve gives the base rate
+            made.append(zstandard.train_dictionary(size, [b" " + w + b" " for turn in range(most) for w in own if n[w] > turn]).as_bytes())
+        except (zstandard.ZstdError, ValueError):
             made.append(b"")
-    rest = [k for k in range(len(texts)) if k % 4 == 3] or half
-    x = evidence(pa.array([texts[k] for k in rest], pa.large_string()), Distance(*made), {})
-    curve = _logistic(x, np.array([labels[k] for k in rest], dtype=float)) if rest else [0.0] * 4
-    return pickle.dumps((*made, curve))
+    return made
+
+
+def train(texts: list[str], labels: list[int]) -> bytes:
+    """Both dictionaries, learned from all texts, and the curve, learned from evidence by dictionaries of the other folds; pickled."""
+    sets = [set(t.encode("utf-8", "surrogatepass").lower().split()) for t in texts]
+    x = np.zeros((len(texts), 3))
+    for fold in range(FOLDS):
+        own = [k for k in range(len(texts)) if k % FOLDS == fold]
+        others = [k for k in range(len(texts)) if k % FOLDS != fold]
+        x[own] = evidence(pa.array([texts[k] for k in own], pa.large_string()), Distance(*_dictionaries(sets, labels, others)), {})
+    curve = _logistic(x, np.array(labels, dtype=float)) if texts else [0.0] * 4
+    return pickle.dumps((*_dictionaries(sets, labels, list(range(len(texts)))), curve))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (), train_rows: int = TRAIN_ROWS) -> DataFrame:
