@@ -83,8 +83,12 @@ def _dictionaries(sets: list[set[bytes]], labels: list[int], rows: list[int]) ->
     """The toxic and the ordinary dictionary, from windows that stand out in either class; empty ones if there are too few."""
     import zstandard
 
-    many = [sum(labels[k] == y for k in rows) for y in (0, 1)]
-    seen = [Counter(w for k in rows if labels[k] == y for w in sets[k]) for y in (0, 1)]
+    import xxhash
+
+    # copies and near copies share their least word hash, and count once: their rare words say nothing of the class
+    alike = {(labels[k], min(map(xxhash.xxh64_intdigest, sets[k]), default=0)): k for k in rows}.values()
+    many = [sum(labels[k] == y for k in alike) for y in (0, 1)]
+    seen = [Counter(w for k in alike if labels[k] == y for w in sets[k]) for y in (0, 1)]
     marks = sorted(w for w, n in seen[1].items() if n >= max(LEAST, SHARE * many[1]) and n / max(1, many[1]) >= RATIO * (seen[0][w] + 0.5) / max(1, many[0]))
     plain = sorted(w for w, n in seen[0].items() if n >= LEAST and w not in set(marks))
     made = []  # the trainer keeps its last samples for a trial of its own, so each string comes in every turn
