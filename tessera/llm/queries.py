@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm import labelled, quality, toxicity
 from tessera.llm.sharding import hilbert_shards
 from tessera.llm.simhash import simhash_components
+from tessera.llm.substring import dedup_substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +36,33 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_substrings(_table(spark, sf_dir, "documents"), size=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op3_compression_toxicity": op3_compression_toxicity,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op10_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x : x <> '') AS w FROM documents
+), t AS (
+  SELECT doc_id, i, list_slice(w, i, i + 12) AS g FROM d, unnest(range(1, len(w) - 11)) AS u(i)
+), f AS (
+  SELECT g, min(doc_id) AS least FROM t GROUP BY g
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS j FROM t JOIN f USING (g), unnest(range(0, 13)) AS o(k) WHERE doc_id > least
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS s, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d) AS a
+  WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = a.doc_id AND gone.j = a.j) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
 }
-ORACLE_SQL: dict[str, str] = {}
