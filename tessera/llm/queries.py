@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import labelled, quality, toxicity
+from tessera.llm.bpe import bpe_encode
 from tessera.llm.sharding import hilbert_shards
 from tessera.llm.simhash import simhash_components
 from tessera.llm.substring import dedup_substrings
@@ -26,6 +27,14 @@ def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.with_decision(found, 0.3).select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity_score").alias("score"), "predicted")
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = bpe_encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    n = (F.octet_length("ids") / 4).cast("long")
+    return found.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return quality.with_decision(found, 0.7).select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), "predicted")
@@ -44,6 +53,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op3_compression_toxicity": op3_compression_toxicity,
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
