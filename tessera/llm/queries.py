@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import labelled, quality, toxicity
 from tessera.llm.bpe import bpe_encode
+from tessera.llm.lm_trie import lm_scores
 from tessera.llm.sharding import hilbert_shards
 from tessera.llm.simhash import simhash_components
 from tessera.llm.substring import dedup_substrings
@@ -22,6 +23,10 @@ def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op2_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return toxicity.with_decision(found, 0.3).select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity_score").alias("score"), "predicted")
@@ -52,6 +57,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
+    "op2_lm_trie": op2_lm_trie,
     "op3_compression_toxicity": op3_compression_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_quality_classifier": op5_quality_classifier,
