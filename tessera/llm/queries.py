@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm import decontaminate, labelled, quality, toxicity
 from tessera.llm.ann import nearest
 from tessera.llm.bpe import bpe_encode
+from tessera.llm.licenses import license_scan
 from tessera.llm.lm_trie import lm_scores
 from tessera.llm.sharding import hilbert_shards
 from tessera.llm.simhash import simhash_components
@@ -46,6 +47,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_decision(found, 0.7).select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), "predicted")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(_table(spark, sf_dir, "documents"), shingle=3, radius=3, segments=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_compression_toxicity": op3_compression_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_license_scan": op6_license_scan,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_stable_projection_ann": op8_stable_projection_ann,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
