@@ -8,7 +8,8 @@ shared out: the keys of either side reach one bit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -84,8 +85,8 @@ def _distance(words: int) -> Column:
     return sum((F.bit_count(F.col(f"l.f{k}").bitwiseXOR(F.col(f"r.f{k}"))) for k in range(words)), F.lit(0))
 
 
-def close_pairs(fps: DataFrame, bits: int, radius: int, segments: int, extra: Column | None = None) -> DataFrame:
-    """All pairs l, r of rows (node, f0, .. and what extra asks for) whose fingerprints differ in `radius` bits at most, as (a, b).
+def close_pairs(fps: DataFrame, bits: int, radius: int, segments: int, extra: Column | None = None, confirm: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+    """Links (a, b) of rows (node, f0, .. and what extra asks for) whose fingerprints differ in `radius` bits at most and that confirm keeps.
 
     A large group of close fingerprints would give all its pairs. So each table entry is first linked with the smallest
     of its bucket, if that is truly close; only pairs that these links leave in different components come out of the
@@ -100,13 +101,13 @@ def close_pairs(fps: DataFrame, bits: int, radius: int, segments: int, extra: Co
     cols = [F.col(c) for c in fps.columns]
     table = _keys(fps, cut, 0)
     least = table.groupBy("key").agg(F.min(F.struct("node", *[c for c in fps.columns if c != "node"])).alias("s")).select("key", "s.*")
-    stars = scratch.cut(table.alias("l").join(least.alias("r"), "key").where((F.col("l.node") > F.col("r.node")) & near).select(F.col("r.node").alias("a"), F.col("l.node").alias("b")).distinct())
+    stars = scratch.cut(confirm(table.alias("l").join(least.alias("r"), "key").where((F.col("l.node") > F.col("r.node")) & near).select(F.col("r.node").alias("a"), F.col("l.node").alias("b")).distinct()))
     roots = components(stars)
     known = fps.join(roots, "node", "left").select(*cols, F.coalesce("root", "node").alias("root"))
     probes = _keys(known, cut, reach - reach // 2)
     entries = _keys(known, cut, reach // 2)
     found = probes.alias("l").join(entries.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & near)
-    return stars.unionByName(found.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))
+    return stars.unionByName(confirm(found.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))))
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, segments: int = 2) -> DataFrame:
@@ -125,3 +126,75 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, segme
     tops = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     members = rooted.join(tops, "root").select("f0", "component_id")
     return each.join(members, "f0").select("doc_id", "f0", "component_id")
+
+
+#: Wide fingerprints of a text's distinct words, weighted by the root of their counts, for candidates of near copies: texts
+#: whose shingles agree in 0.8 differ in about 8 of 128 bits.
+WIDE = {"bits": 128, "radius": 11, "segments": 4}
+#: Most ids whose texts are found by a broadcast; beyond it the texts are shuffled.
+BROADCAST_IDS = 200_000
+
+
+def _shingles(text: str | None, size: int) -> set:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return set(zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else {tuple(words)}
+
+
+def _wide(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, c0, c1: hash of the word sequence, f0, f1: wide fingerprint, n: distinct shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            rows = []
+            for text in b.column(1).to_pylist():
+                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+                count = Counter(words)
+                h = np.array([divmod(xxhash.xxh3_128_intdigest(w, 42), 1 << 64) for w in count], dtype=np.uint64).reshape(-1, 2)
+                bits = _majority(h, np.sqrt(np.array(list(count.values()), dtype=float))) if count else np.zeros(16, np.uint8)
+                rows.append((*divmod(xxhash.xxh3_128_intdigest(b" ".join(words), 7), 1 << 64), *bits.view(">u8").tolist(), len(_shingles(text, shingle))))
+            c0, c1, f0, f1, n = zip(*rows, strict=True) if rows else ((),) * 5
+            yield pa.RecordBatch.from_arrays([b.column(0), *(_signed(list(x)) for x in (c0, c1, f0, f1)), pa.array(n, pa.int64())], ["doc_id", "c0", "c1", "f0", "f1", "n"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, c0 long, c1 long, f0 long, f1 long, n long")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for each row of docs with an integer doc_id: the smallest doc_id of its group of near copies.
+
+    Texts of the same words in order (A-Z in lower case) are copies. Other texts link if the Jaccard similarity of their
+    distinct word shingles is `similarity` or more: candidates come from wide SimHash fingerprints by multi-index hashing,
+    and the similarity of each is then computed exactly from the whole texts. Texts of fewer shingles than could differ
+    and still be so similar only have copies. Texts without words (null ones too) are copies of each other. Rows with a
+    null doc_id take no part; repeated rows come out each; an empty table gives no rows; other columns are not read.
+    """
+    named = docs.where(F.col("doc_id").isNotNull())
+    each = scratch.cut(_wide(named, shingle))
+    nodes = scratch.cut(each.groupBy("c0", "c1").agg(F.min("doc_id").alias("node"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("n").alias("n")))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.cut(pairs)
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        texts = named.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+        texts = scratch.cut(texts)
+        both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    one, two = _shingles(x, shingle), _shingles(y, shingle)
+                    common = len(one & two)
+                    keep.append(common >= similarity * (len(one) + len(two) - common))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        return both.mapInArrow(run, "a long, b long")
+
+    alike = (F.least("l.n", "r.n") >= F.greatest("l.n", "r.n") * similarity)
+    least = int(similarity / (1 - similarity)) if similarity < 1 else 1
+    search = nodes.where(F.col("n") >= least).select("node", "f0", "f1", "n")
+    roots = components(close_pairs(search, WIDE["bits"], WIDE["radius"], WIDE["segments"], alike, confirm))
+    members = nodes.join(roots, "node", "left").select("c0", "c1", F.coalesce("root", "node").alias("component_id"))
+    return each.join(members, ["c0", "c1"]).select("doc_id", "component_id")

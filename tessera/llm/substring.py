@@ -141,7 +141,7 @@ def _settle(asked: dict[int, bytes]) -> dict[int, bytes]:
     return out
 
 
-def _strip(rows: pa.Table, got: dict[int, bytes], size: int) -> tuple[np.ndarray, list[int], list[int], list[str]]:
+def _strip(rows: pa.Table, got: dict[int, bytes], size: int, whole: bool) -> tuple[np.ndarray, list[int], list[int], list[str]]:
     """(order, words, removed words, kept text) of each row in the order of doc_id."""
     order, bound, first, second = _windows(rows, size)
     ids = _ids(rows, order)
@@ -167,15 +167,16 @@ def _strip(rows: pa.Table, got: dict[int, bytes], size: int) -> tuple[np.ndarray
             keep = np.cumsum(over[:-1]) == 0
             own = list(compress(own, keep.tolist()))
         n_removed.append(n_words[-1] - len(own))
-        kept.append(b" ".join(own).decode("utf-8", "surrogatepass"))
+        kept.append(text if whole and not mine.any() else b" ".join(own).decode("utf-8", "surrogatepass"))
     return order, n_words, n_removed, kept
 
 
-def dedup_substrings(docs: DataFrame, size: int = 13, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_substrings(docs: DataFrame, size: int = 13, carry: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text and the carried columns, one row for each row of docs.
 
     A window is `size` consecutive words of one document; each word goes that is covered by a window whose words also
-    start in a document with a smaller doc_id, judged on the input. Kept words are joined by one space. A null text has
+    start in a document with a smaller doc_id, judged on the input. Kept words are joined by one space; with
+    `whole` a text that loses nothing stays as it is, white space included. A null text has
     no words and an empty kept text; texts shorter than a window stay whole. A null doc_id counts as larger than any
     other; rows with one doc_id don't remove from each other. An empty table gives no rows. Windows of very long texts
     are all used. Columns that are not carried are not read; a carried column must not have a name given above.
@@ -188,7 +189,7 @@ def dedup_substrings(docs: DataFrame, size: int = 13, carry: tuple[str, ...] = (
     settled = batches.answer(asked, lambda s, asked: _settle(asked))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        order, n_words, n_removed, kept = _strip(left, batches.bodies(right), size)
+        order, n_words, n_removed, kept = _strip(left, batches.bodies(right), size, whole)
         moved = left.take(pa.array(order))
         out = {"doc_id": moved.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string())}
         return pa.table(out | {c: moved.column(c) for c in carry})
