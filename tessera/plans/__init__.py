@@ -1 +1,3 @@
+"""The queries; importing this registers all of them."""
 
+from tessera.plans import text_queries  # noqa: F401
