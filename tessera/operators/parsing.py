@@ -93,11 +93,12 @@ def valid_facts(json: Column) -> Column:
 def total_score(text: Column, task: str) -> Column:
     """`TOTAL SCORE: x`, 1 at most; without it the sum of the criteria named, each at most what it is worth."""
     number = lambda name: F.regexp_extract(text, rf"(?i){name}:\s*{NUMBER}", 1).try_cast("double")
-    parts = [F.coalesce(F.least(number(n), F.lit(w)), F.lit(0.0)) for n, w in CRITERIA[task].items()]
+    capped = lambda name, most: F.when(number(name).isNotNull(), F.least(number(name), F.lit(most)))
+    parts = [F.coalesce(capped(n, w), F.lit(0.0)) for n, w in CRITERIA[task].items()]
     every = parts[0]
     for p in parts[1:]:
         every = every + p
-    return F.coalesce(F.least(number("TOTAL SCORE"), F.lit(1.0)), every)
+    return F.coalesce(capped("TOTAL SCORE", 1.0), every)
 
 
 def consistency_scores(text: Column) -> Column:

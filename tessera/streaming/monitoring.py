@@ -34,7 +34,7 @@ def tokens_per_second(tokens: Column, seconds: Column) -> Column:
 
 def progress(events: DataFrame, key: str, total: int) -> DataFrame:
     """(key, done, elapsed, rate, eta): rows a second since the first one, and the seconds that the rest takes; null without a rate."""
-    agg = events.groupBy(key).agg(F.count("*").alias("done"), (F.max("ts").cast("double") - F.min("ts").cast("double")).alias("elapsed"))
+    agg = events.groupBy(key).agg(F.count("*").alias("done"), (F.max("ts").cast("timestamp").cast("double") - F.min("ts").cast("timestamp").cast("double")).alias("elapsed"))
     rated = agg.withColumn("rate", F.col("done") / F.greatest(F.col("elapsed"), F.lit(1.0)))
     left = F.greatest(F.lit(total) - F.col("done"), F.lit(0))
     return rated.withColumn("eta", F.when(F.col("rate") > 0, left / F.greatest(F.col("rate"), F.lit(0.001))))
