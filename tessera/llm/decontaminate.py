@@ -30,7 +30,8 @@ def _words(text: Column) -> Column:
 def _seeded(rows: DataFrame, keep: list[str]) -> DataFrame:
     """A row for each mask and each position where it fits: keep, words, at (from 0), mask, seed."""
     span = len(MASKS[0])
-    placed = rows.where(F.size("words") >= span).select(*keep, "words", F.explode(F.sequence(F.lit(0), F.size("words") - span)).alias("at"))
+    places = F.when(F.size("words") >= span, F.sequence(F.lit(0), F.size("words") - span))
+    placed = rows.select(*keep, "words", F.explode(places).alias("at"))
     seeds = [F.xxhash64(F.lit(n), *(F.get("words", F.col("at") + k) for k, bit in enumerate(mask) if bit == "1")) for n, mask in enumerate(MASKS)]
     return placed.select(*keep, "words", "at", F.explode(F.array(*seeds)).alias("seed"))
 
@@ -63,6 +64,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.slice("item_words", low - F.col("first_word") + 1, F.least(F.size("item_words"), F.size("words") - F.col("first_word"))).alias("b"),
         F.size("item_words").alias("n"),
     )
+    # an alignment has many hits; the maximum also keeps the comparison out of the join, whose rows hold whole documents
+    lined = lined.groupBy("doc_id", "item_id", "first_word", "n").agg(F.max(F.struct("a", "b")).alias("pair")).select("doc_id", "item_id", "first_word", "n", "pair.a", "pair.b")
     equal = F.zip_with("a", "b", lambda x, y: F.when(x == y, 1).otherwise(0))
     wide = F.least(F.lit(WINDOW), F.col("n"))
     need = F.ceil(wide * EQUAL / WINDOW)
