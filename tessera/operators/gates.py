@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import contains_any, issues, word_count, words
 
@@ -35,44 +36,46 @@ FIRST_WORDS = {
     "instruction": ("list", "provide", "give"),
 }
 
-_i, _o, _n = (F.coalesce(F.col(c), F.lit("")) for c in ("instruction", "output", "input"))
+
+def _text(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(""))
 
 
 def length_issues() -> Column:
-    a, b = word_count(_i), word_count(_o)
+    a, b = word_count(_text("instruction")), word_count(_text("output"))
     return issues(
         (a < 3, F.format_string("Instruction too short: %d words", a)),
         (a > 150, F.format_string("Instruction too long: %d words", a)),
         (b < 1, F.lit("Output is empty")),
-        (F.length(_o) > 1000, F.format_string("Output too long: %d characters", F.length(_o))),
+        (F.length(_text("output")) > 1000, F.format_string("Output too long: %d characters", F.length(_text("output")))),
     )
 
 
 def content_issues() -> Column:
     """An empty instruction neither starts with a capital letter nor ends with punctuation."""
-    first = F.substring(_i, 1, 1)
-    harm = [(F.contains(F.lower(_i), F.lit(k)) | F.contains(F.lower(_o), F.lit(k)), F.lit(f"Contains potentially harmful content: {k}")) for k in HARMFUL]
+    first = F.substring(_text("instruction"), 1, 1)
+    harm = [(F.contains(F.lower(_text("instruction")), F.lit(k)) | F.contains(F.lower(_text("output")), F.lit(k)), F.lit(f"Contains potentially harmful content: {k}")) for k in HARMFUL]
     capital = (F.upper(first) == first) & (F.lower(first) != first)
-    return issues(*harm, (~capital, F.lit("Instruction should start with capital letter")), (~_i.rlike(r"[.?!]\s*$"), F.lit("Instruction should end with proper punctuation")))
+    return issues(*harm, (~capital, F.lit("Instruction should start with capital letter")), (~_text("instruction").rlike(r"[.?!]\s*$"), F.lit("Instruction should end with proper punctuation")))
 
 
 def format_issues() -> Column:
     empty = lambda c: ~c.rlike(r"\S")
-    held = [(F.contains(F.lower(_i), F.lit(p)) | F.contains(F.lower(_o), F.lit(p)), F.lit(f"Contains placeholder text: {p}")) for p in PLACEHOLDERS]
-    return issues((~empty(_n) & empty(_o), F.lit("Missing output for input-based instruction")), *held)
+    held = [(F.contains(F.lower(_text("instruction")), F.lit(p)) | F.contains(F.lower(_text("output")), F.lit(p)), F.lit(f"Contains placeholder text: {p}")) for p in PLACEHOLDERS]
+    return issues((~empty(_text("input")) & empty(_text("output")), F.lit("Missing output for input-based instruction")), *held)
 
 
 def blacklist_issues(whole_word: bool = False) -> Column:
     """By substring, so `profile` holds `file`; or by whole word."""
-    low = F.lower(_i)
+    low = F.lower(_text("instruction"))
     return issues(*[(low.rlike(rf"\b{t}\b") if whole_word else F.contains(low, F.lit(t)), F.lit(f"Contains blacklisted term: {t}")) for t in BLACKLIST])
 
 
 def coherence_issues() -> Column:
-    low = F.lower(_i)
+    low = F.lower(_text("instruction"))
     return issues(
-        (F.contains(low, F.lit("translate")) & ~contains_any(low, LANGUAGES) & ~contains_any(F.lower(_o), LANGUAGES), F.lit("Translation instruction but no clear target language")),
-        (F.contains(low, F.lit("list")) & ~contains_any(_o, LIST_MARKS), F.lit("List instruction but output not formatted as list")),
+        (F.contains(low, F.lit("translate")) & ~contains_any(low, LANGUAGES) & ~contains_any(F.lower(_text("output")), LANGUAGES), F.lit("Translation instruction but no clear target language")),
+        (F.contains(low, F.lit("list")) & ~contains_any(_text("output"), LIST_MARKS), F.lit("List instruction but output not formatted as list")),
     )
 
 
@@ -96,7 +99,7 @@ def category(instruction: Column) -> Column:
     return F.coalesce(*found, F.lit("general"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
     """The F measure of the longest common subsequence of the lower-case runs of ASCII letters and digits."""
     import re
@@ -147,14 +150,14 @@ def category_distribution(rows: DataFrame) -> DataFrame:
 
 
 def dataset_metrics(rows: DataFrame) -> DataFrame:
-    a, b = word_count(_i), word_count(_o)
-    first = F.lower(F.get(words(_i), F.lit(0)))
-    given = F.count_if(_n.rlike(r"\S"))
+    a, b = word_count(_text("instruction")), word_count(_text("output"))
+    first = F.lower(F.get(words(_text("instruction")), F.lit(0)))
+    given = F.count_if(_text("input").rlike(r"\S"))
     n = F.greatest(F.count("*"), F.lit(1))
     return rows.agg(
         F.count("*").alias("total_examples"),
-        F.count_distinct(_i).alias("unique_instructions"),
-        (F.count_distinct(_i) / n).alias("uniqueness_ratio"),
+        F.count_distinct(_text("instruction")).alias("unique_instructions"),
+        (F.count_distinct(_text("instruction")) / n).alias("uniqueness_ratio"),
         F.count_distinct(first).alias("unique_first_words"),
         (F.count_distinct(first) / n).alias("verb_diversity"),
         F.avg(a).alias("instruction_mean"),
@@ -181,8 +184,8 @@ def gate_sequential(rows: DataFrame, *names: str) -> DataFrame:
 
 def guide_filters(rows: DataFrame) -> DataFrame:
     """Rows of 4 to 150 words that neither ask for a program nor start with punctuation or a non-ASCII character."""
-    n = word_count(_i)
-    return rows.where((n > 3) & (n <= 150) & ~_i.startswith("Write a program") & _i.rlike(r"^[A-Za-z0-9]"))
+    n = word_count(_text("instruction"))
+    return rows.where((n > 3) & (n <= 150) & ~_text("instruction").startswith("Write a program") & _text("instruction").rlike(r"^[A-Za-z0-9]"))
 
 
 def repetition_ratio(text: Column) -> Column:

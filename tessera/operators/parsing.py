@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.chunking import strip_boilerplate, strip_reasoning_tags
 
@@ -18,12 +19,12 @@ NUMBER = r"([0-9]*\.?[0-9]+)"
 
 
 def _valid(text: Column) -> Column:
-    """The text if it is a JSON object or array, else null."""
+    """The text if it is a JSON object or array, else null. In brackets, for the parser lets text after the first value pass."""
     trimmed = F.trim(text)
-    return F.when(trimmed.rlike(r"^[\[{]") & F.try_parse_json(trimmed).isNotNull(), trimmed)
+    return F.when(trimmed.rlike(r"^[\[{]") & F.try_parse_json(F.concat(F.lit("["), trimmed, F.lit("]"))).isNotNull(), trimmed)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _scan(texts: pd.Series) -> pd.Series:
     """The first balanced {..} or [..] that is JSON, by a scan for brackets outside strings."""
     import json
@@ -75,7 +76,7 @@ def parse_instruction(text: Column) -> Column:
     """struct(instruction, input, output) from JSON between the outer braces, else from labelled lines; null without an instruction and an output."""
     kind = "struct<instruction:string,input:string,output:string>"
     json = F.from_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1), kind)
-    part = lambda n: F.trim(F.regexp_extract(text, rf"(?is)(?:^|\n)\s*{n}:\s*(.*?)(?=\n\s*(?:instruction|input|output):|$)", 1))
+    part = lambda n: F.trim(F.regexp_extract(text, rf"(?is)(?:^|\n)\s*{n}:[ \t]*(.*?)(?=\n\s*(?:instruction|input|output):|$)", 1))
     lines = F.struct(part("instruction").alias("instruction"), part("input").alias("input"), part("output").alias("output"))
     held = json["instruction"].isNotNull() & json["input"].isNotNull() & json["output"].isNotNull()
     made = F.when(held, json).otherwise(lines)
