@@ -33,7 +33,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, most: int, learn: Callab
         found = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)))
         yield pa.RecordBatch.from_arrays([pa.array([learn([t for _, t, _ in found], [y for _, _, y in found])], pa.binary())], ["model"])
 
-    return bytes(rows.repartition(1).mapInArrow(run, "model binary").first()[0])
+    model = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return bytes(model[0]) if model else learn([], [])  # Spark runs no task for a table that it knows to be empty
 
 
 def plus(rows: DataFrame, name: str) -> T.StructType:

@@ -83,7 +83,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
     typical = sorted(r[0] for r in templates.select(F.explode("template")).distinct().collect())  # as long as the templates above
     known = F.array(*[F.lit(x) for x in typical])
 
-    sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(TRAIN_DOCS)
+    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     ordinary = _paragraphs(sample).where(~F.arrays_overlap(_pairs(F.col("words")), known)).select(F.lit(0).alias("label"), "words")
     # a notice may be cut off or follow other words: its halves are examples too
     w = F.col("words")
