@@ -2,13 +2,15 @@
 
 A text is cut into pieces (a run of white space, then a run of other characters); the tokenizer's pattern never matches
 over the edge of a piece, and it cuts each piece into words. Rows of (word, position, token) join the merge table; each
-round contracts every word's leftmost pair of least rank, until no pair is left. An ordered aggregation of the tokens'
+round contracts every word's leftmost pair of least rank, until no pair is left: the pair's second row takes the merged
+token, the row before points to it, so no row is numbered anew. An ordered aggregation of the tokens'
 bytes decodes. A partition does this for its distinct words only, in bounded portions.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,21 +21,23 @@ from pyspark.sql import DataFrame
 
 #: The characters with the Unicode property White_Space: what \\s means to the tokenizer.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Words in one recursive query, characters of text in one portion, pieces kept between portions: the bounds of memory.
-WORDS, PORTION, KEPT = 40_000, 3_000_000, 200_000
+#: Words in one recursive query and the sum of their squared lengths (the rows of all rounds), characters of text in one
+#: portion, pieces kept between portions: the bounds of memory.
+WORDS, SQUARES, PORTION, KEPT = 40_000, 8_000_000, 3_000_000, 500_000
+#: A longer word takes as many rounds as it has bytes, so the same contraction is done with a heap.
+LONG = 1000
 
 _ENCODE = """
-WITH RECURSIVE step(n, w, pos, id) AS (
-  SELECT 0, w, pos, id FROM start
+WITH RECURSIVE step(n, w, pos, id, npos, nid) AS (
+  SELECT 0, w, pos, id, npos, nid FROM start
   UNION ALL
-  (WITH paired AS (
-     SELECT s.*, m.rank FROM (SELECT *, lead(id) OVER (PARTITION BY w ORDER BY pos) AS next FROM step) AS s
-     LEFT JOIN merges AS m ON s.id = m.l AND s.next = m.r
-   ), best AS (
-     SELECT w, min(rank) AS rank, min(CAST(rank AS BIGINT) << 32 | pos) & 4294967295 AS at FROM paired WHERE rank IS NOT NULL GROUP BY w
+  (WITH best AS (
+     SELECT w, min((CAST(rank AS BIGINT) << 20) | (CAST(pos AS BIGINT) << 10) | npos) AS k FROM step JOIN merges ON id = l AND nid = r GROUP BY w
+   ), pair AS (
+     SELECT w, CAST(k >> 20 AS INT) AS rank, CAST((k >> 10) & 1023 AS INT) AS head, CAST(k & 1023 AS INT) AS tail FROM best
    )
-   SELECT p.n + 1, p.w, CASE WHEN p.pos > b.at THEN p.pos - 1 ELSE p.pos END, CASE WHEN p.pos = b.at THEN b.rank ELSE p.id END
-   FROM paired AS p JOIN best AS b USING (w) WHERE p.pos <> b.at + 1)
+   SELECT n + 1, s.w, pos, CASE WHEN pos = tail THEN rank ELSE id END, CASE WHEN npos = head THEN tail ELSE npos END, CASE WHEN npos = head THEN rank ELSE nid END
+   FROM step AS s JOIN pair USING (w) WHERE pos <> head)
 )
 SELECT w, pos, id FROM step JOIN (SELECT w, max(n) AS n FROM step GROUP BY w) AS last USING (w, n)
 """
@@ -50,6 +54,8 @@ class Tokenizer:
         with open(rank_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         splits = [(ranks[t[:k]], ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        self.pair = {(a, b): i for a, b, i in splits}
+        self.token = {i: t for t, i in ranks.items()}
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         own = pattern.replace(r"[^\s", f"[^{_WS}").replace(r"\S", f"[^{_WS}]").replace(r"\s", f"[{_WS}]")
         self.words = regex.compile(own).findall
@@ -65,14 +71,35 @@ class Tokenizer:
             self.db.unregister(f"given_{name}")
         self.known: dict[str, tuple[bytes, bytes]] = {}
 
+    def _long(self, word: bytes) -> list[int]:
+        ids = self.byte[np.frombuffer(word, dtype=np.uint8)].tolist()
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        heap = [(self.pair[x], k, x) for k, x in enumerate(zip(ids, ids[1:], strict=False)) if x in self.pair]
+        heapq.heapify(heap)
+        while heap:
+            rank, k, x = heapq.heappop(heap)
+            b = after[k]
+            if ids[k] < 0 or b >= len(ids) or (ids[k], ids[b]) != x:
+                continue
+            ids[k], ids[b], after[k] = rank, -1, after[b]
+            if after[k] < len(ids):
+                before[after[k]] = k
+            for a in (before[k], k):
+                if a >= 0 and after[a] < len(ids) and (y := (ids[a], ids[after[a]])) in self.pair:
+                    heapq.heappush(heap, (self.pair[y], a, y))
+        return [i for i in ids if i >= 0]
+
     def _encoded(self, words: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
         """The ids and the decoded ids of each word."""
-        out = {}
-        for k in range(0, len(words), WORDS):
-            part = words[k : k + WORDS]
+        out = {w: (b"".join(i.to_bytes(4, "little") for i in ids), b"".join(self.token[i] for i in ids)) for w in words if len(w) > LONG for ids in [self._long(w)]}
+        for part in _groups([w for w in words if len(w) <= LONG]):
             n = np.array([len(w) for w in part])
             first = np.cumsum(n) - n
-            start = pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), n), "pos": (np.arange(n.sum()) - np.repeat(first, n)).astype(np.int32), "id": self.byte[np.frombuffer(b"".join(part), dtype=np.uint8)]})
+            ids = self.byte[np.frombuffer(b"".join(part), dtype=np.uint8)]
+            after = np.append(ids[1:], -1).astype(np.int32)
+            after[first + n - 1] = -1
+            pos = (np.arange(n.sum()) - np.repeat(first, n)).astype(np.int32)
+            start = pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), n), "pos": pos, "id": ids, "npos": pos + np.int32(1), "nid": after})
             self.db.register("start", start)
             self.db.execute(f"CREATE OR REPLACE TEMP TABLE encoded AS {_ENCODE}")
             ids = self.db.execute("SELECT w, id FROM encoded ORDER BY w, pos").fetchnumpy()
@@ -106,6 +133,17 @@ class Tokenizer:
         return [found.get(k, "").encode("latin-1") for k in range(len(ids))]
 
 
+def _groups(words: list[bytes]) -> Iterator[list[bytes]]:
+    at, rows = 0, 0
+    for k, w in enumerate(words):
+        rows += len(w) ** 2
+        if rows >= SQUARES or k + 1 - at >= WORDS:
+            yield words[at : k + 1]
+            at, rows = k + 1, 0
+    if at < len(words):
+        yield words[at:]
+
+
 @lru_cache(2)
 def _tokenizer(rank_file: str, pattern: str) -> Tokenizer:
     return Tokenizer(rank_file, pattern)
