@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import contains_any
+from tessera.functions.text import contains_any, word_count
 
 # Fixed values: (substrings, score) in order; the first hit counts, also on parts of a larger number.
 SPEED = ((("0.5b", "1b", "1.8b"), 0.95), (("2b", "3b"), 0.85), (("7b", "8b"), 0.6), (("13b", "14b", "15b"), 0.4), (("30b", "34b", "70b"), 0.2), (("phi", "gemma"), 0.8), (("llama", "mistral"), 0.6))
@@ -36,6 +36,50 @@ def qa_score(instruction: Column, output: Column) -> Column:
     return _tier(instruction, (10, 0.5), (5, 0.25)) + _tier(output, (50, 0.5), (20, 0.25))
 
 
+def _longer(text: Column, n: int, score: float) -> Column:
+    return F.when(F.length(F.coalesce(text, F.lit(""))) > n, score).otherwise(0.0)
+
+
+def fact_score_v2(content: Column, context: Column, kind: Column, confidence: Column) -> Column:
+    typed = F.when(F.coalesce(kind, F.lit("")).isin("", "general"), 0.0).otherwise(0.2)
+    return _longer(content, 10, 0.4) + _longer(context, 5, 0.3) + typed + F.when(confidence > 0.5, 0.1).otherwise(0.0)
+
+
+def concept_score_v2(name: Column, definition: Column, examples: Column, confidence: Column) -> Column:
+    return _longer(name, 3, 0.3) + _longer(definition, 10, 0.4) + F.when(F.size(examples) > 0, 0.2).otherwise(0.0) + F.when(confidence > 0.5, 0.1).otherwise(0.0)
+
+
+def qa_score_v2(instruction: Column, output: Column) -> Column:
+    asks = F.when(F.contains(F.coalesce(instruction, F.lit("")), F.lit("?")), 0.2).otherwise(0.0)
+    return _longer(instruction, 10, 0.3) + _longer(output, 20, 0.4) + asks + F.when(word_count(output) > 10, 0.1).otherwise(0.0)
+
+
+def fact_points_v3(content: Column, context: Column, kind: Column, confidence: Column) -> Column:
+    """Of five points."""
+    typed = F.when(kind == "general", 0.5).when(F.coalesce(kind, F.lit("")) == "", 0.0).otherwise(1.0)
+    return _tier(content, (20, 2.0), (10, 1.0)) + _tier(context, (10, 1.0)) + typed + F.coalesce(confidence.cast("double"), F.lit(0.5))
+
+
+def score_by_model(items: DataFrame, points: Column, most: float = 1.0, expected: int | None = None) -> DataFrame:
+    """(model, score): the mean share of the points, 1 at most; with an expected count .8 of it and .2 of the share of items there are."""
+    share = F.least(F.avg(points) / most, F.lit(1.0))
+    if expected:
+        share = share * 0.8 + F.least(F.count("*") / expected, F.lit(1.0)) * 0.2
+    return items.groupBy("model").agg(share.alias("score"))
+
+
+def model_type(model: Column) -> Column:
+    low = F.lower(model)
+    return F.when(contains_any(low, EMBEDDERS) | F.contains(low, F.lit("bert")), "embedding").otherwise("text_generation")
+
+
+def suitable_models(models: DataFrame, preferred: tuple[str, ...]) -> DataFrame:
+    """Models whose name holds a preferred family; all models if there is none."""
+    marked = models.withColumn("fits", contains_any(F.lower("model"), preferred))
+    some = marked.agg(F.coalesce(F.bool_or("fits"), F.lit(False)).alias("some"))
+    return marked.join(F.broadcast(some), F.lit(True)).where(F.col("fits") | ~F.col("some")).select(*models.columns)
+
+
 def confidence_value(text: Column) -> Column:
     """A word or a number as a confidence; anything else counts .5."""
     named = F.create_map(*[F.lit(x) for p in CONFIDENCE_WORDS.items() for x in p])

@@ -210,3 +210,62 @@ def quality_decision(score: Column, critical: Column, penalty: Column) -> Column
     """accept at .8 without a critical issue, review at .6, else reject; after penalties."""
     net = F.greatest(F.lit(0.0), score - penalty)
     return F.when((net >= 0.8) & ~critical, "accept").when(net >= 0.6, "review").otherwise("reject")
+
+
+def checklist_score(rows: DataFrame) -> DataFrame:
+    """Adds checklist: .3 for five words or more, .2 for another start than `write a program` or `create a`, .3 if input and output are both there or both missing, .2 without harm."""
+    low = F.lower(_text("instruction"))
+    parts = [
+        F.when(word_count(_text("instruction")) >= 5, 0.3),
+        F.when(~low.startswith("write a program") & ~low.startswith("create a"), 0.2),
+        F.when((_text("input") != "") == (_text("output") != ""), 0.3),
+        F.when(~contains_any(low, HARMFUL[:3]), 0.2),
+    ]
+    total = F.lit(0.0)
+    for p in parts:
+        total = total + F.coalesce(p, F.lit(0.0))
+    return rows.withColumn("checklist", total)
+
+
+def forbidden_filter(rows: DataFrame, phrases: tuple[str, ...]) -> DataFrame:
+    """Rows without a forbidden phrase, with an instruction of 15 characters or more and an output of 50 to 2000."""
+    held = contains_any(F.lower(_text("instruction")), phrases) | contains_any(F.lower(_text("output")), phrases)
+    return rows.where(~held & (F.length(_text("instruction")) >= 15) & F.length(_text("output")).between(50, 2000))
+
+
+def sample_context_seed(wanted: DataFrame, contexts: DataFrame, seed: int = 1) -> DataFrame:
+    """One context for each wanted seq, drawn by a hash of seq: contexts need a gapless `k` from 0."""
+    n = contexts.agg(F.count("*").alias("n"))
+    drawn = wanted.join(F.broadcast(n), F.lit(True)).withColumn("k", F.pmod(F.xxhash64("seq", F.lit(seed)), F.col("n"))).drop("n")
+    return drawn.join(contexts, "k").drop("k")
+
+
+def select_diverse_seeds(seeds: DataFrame, used: DataFrame, most: int = 3) -> DataFrame:
+    """Seeds (seq, category) of categories not used yet first, then others, in a fixed pseudo-random order."""
+    known = used.select("category").distinct().withColumn("used", F.lit(1))
+    return seeds.join(F.broadcast(known), "category", "left").orderBy(F.coalesce("used", F.lit(0)), F.xxhash64("seq"), "seq").limit(most).drop("used")
+
+
+def training_data_check(rows: DataFrame, least: int = 1000) -> DataFrame:
+    """One row: rows, rows with a missing field, and whether both are as they should be. All rows are checked."""
+    missing = F.count_if(F.col("instruction").isNull() | F.col("input").isNull() | F.col("output").isNull())
+    return rows.agg(F.count("*").alias("n"), missing.alias("missing")).withColumn("ok", (F.col("n") >= least) & (F.col("missing") == 0))
+
+
+@F.pandas_udf(T.StructType([T.StructField(x, T.DoubleType()) for x in ("rouge1", "rouge2")]))
+def rouge_n(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """The F measures of common words and pairs of words (no stemming)."""
+    import re
+    from collections import Counter
+
+    split = re.compile("[a-z0-9]+").findall
+
+    def f(x: list, y: list) -> float:
+        both = sum((Counter(x) & Counter(y)).values())
+        return 2 * both / (len(x) + len(y)) if both else 0.0
+
+    out = []
+    for x, y in zip(a, b, strict=True):
+        p, q = split((x or "").lower()), split((y or "").lower())
+        out.append((f(p, q), f(list(zip(p, p[1:], strict=False)), list(zip(q, q[1:], strict=False)))))
+    return pd.DataFrame(out, columns=["rouge1", "rouge2"])

@@ -63,6 +63,44 @@ def dedupe_entities(entities: DataFrame) -> DataFrame:
     return entities.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
+# Fixed values: (type, words between the two names) of relations.
+VERBS = (
+    ("WORKS_FOR", r"works for|employed by|works at"),
+    ("LEADS", r"(?:is the|serves as)\s+(?:CEO|president|director|manager)\s+of"),
+    ("FOUNDED", r"founded|established|created"),
+    ("LOCATED_IN", r"located in|based in|situated in"),
+    ("OWNS", r"owns|acquired|purchased"),
+    ("PARTNERED_WITH", r"partnered with|collaborated with|worked with"),
+    ("ASSOCIATED_WITH", r"and"),
+)
+
+
+def pattern_relations(docs: DataFrame, entities: DataFrame) -> DataFrame:
+    """(doc_id, src_id, dst_id, type, confidence, strength, context) where a run of words is `entity verb entity`.
+
+    Sides are whole runs between punctuation marks, split at the last verb phrase with words on both sides; a side counts
+    if it is an entity's name (doc_id, eid, name, pattern, position) in any case, the last such entity of the document.
+    Parts on both sides of `&` are paired two by two. Linear in the text: no nested repetition is matched.
+    """
+    run = docs.select("doc_id", F.explode(F.split("text", r"(?U)[^\w\s&]+")).alias("run"))
+    plain = run.select("doc_id", F.explode(F.split("run", "&")).alias("r")).select("doc_id", F.trim(F.regexp_replace("r", r"(?U)\s+", " ")).alias("r"))
+    found = []
+    for kind, verbs in VERBS:
+        pattern = rf"(?isU)^(.*\w)\s+(?:{verbs})\s+(\w.*)$"
+        side = lambda n, p=pattern: F.regexp_extract("r", p, n)
+        found.append(plain.where(F.col("r").rlike(pattern)).select("doc_id", side(1).alias("a"), side(2).alias("b"), F.lit(kind).alias("type"), F.col("r").alias("context")))
+    parts = run.where(F.contains("run", F.lit("&"))).select("doc_id", F.transform(F.split("run", "&"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))).alias("p"))
+    pairs = parts.select("doc_id", "p", F.explode(F.sequence(F.lit(0), F.floor(F.size("p") / 2).cast("int") * 2 - 2, F.lit(2))).alias("k"))
+    found.append(pairs.select("doc_id", F.get("p", "k").alias("a"), F.get("p", F.col("k") + 1).alias("b"), F.lit("ASSOCIATED_WITH").alias("type"), F.concat_ws(" & ", F.get("p", "k"), F.get("p", F.col("k") + 1)).alias("context")))
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    last = entities.groupBy("doc_id", F.lower("name").alias("n")).agg(F.max(F.struct("pattern", "position", "eid"))["eid"].alias("id"))
+    end = lambda c, name: last.select("doc_id", F.col("n").alias(c), F.col("id").alias(name))
+    joined = every.withColumns({"a": F.lower("a"), "b": F.lower("b")}).join(end("a", "src_id"), ["doc_id", "a"]).join(end("b", "dst_id"), ["doc_id", "b"])
+    return joined.where("src_id <> dst_id").select("doc_id", "src_id", "dst_id", "type", F.lit(0.7).alias("confidence"), F.lit(0.8).alias("strength"), "context")
+
+
 def proximity(entities: DataFrame, gap: int = 100) -> DataFrame:
     """CO_OCCURS between entities (doc_id, eid, position) of a document whose positions differ by less than `gap`.
 

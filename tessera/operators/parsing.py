@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,3 +116,39 @@ def train_template(rows: DataFrame) -> DataFrame:
     given = F.concat(F.lit(f"{a}, paired with an input that provides further context. {b}\n\n### Instruction:\n"), F.col("instruction"), F.lit("\n\n### Input:\n"), F.col("input"), F.lit("\n\n### Response:\n"))
     alone = F.concat(F.lit(f"{a}. {b}\n\n### Instruction:\n"), F.col("instruction"), F.lit("\n\n### Response:\n"))
     return rows.withColumn("prompt", F.when(F.trim(F.coalesce("input", F.lit(""))) != "", given).otherwise(alone))
+
+
+def generation_prompt(contexts: DataFrame) -> DataFrame:
+    """Adds prompt to (context, topics, seed): the first 300 characters of the context, five topics and an example."""
+    text = F.concat_ws(
+        "\n",
+        F.lit("Write one new instruction with its input and output as JSON with the keys instruction, input, output."),
+        F.concat(F.lit("Context: "), F.substring("context", 1, 300)),
+        F.concat(F.lit("Topics: "), F.array_join(F.slice("topics", 1, 5), ", ")),
+        F.concat(F.lit("Example: "), F.col("seed")),
+    )
+    return contexts.withColumn("prompt", text)
+
+
+def scoring_prompt(rows: DataFrame, task: str) -> DataFrame:
+    """Adds prompt to (text, response): the criteria of the task, the document's first 2000 characters, the response."""
+    criteria = "\n".join(f"{n.upper()}: 0.0 to {w}" for n, w in CRITERIA[task].items())
+    return rows.withColumn("prompt", F.concat(F.lit(f"Score this response.\n{criteria}\nTOTAL SCORE: the sum\n\nDOCUMENT:\n"), F.substring("text", 1, 2000), F.lit("\n\nRESPONSE:\n"), F.col("response")))
+
+
+def batch_inference(prompts: DataFrame, model: Callable[[list[str]], list[str]], tries: int = 3, partitions: int | None = None) -> DataFrame:
+    """Adds response and error to rows with a prompt, by the given model, a batch at a time; a batch that fails `tries` times keeps its error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in range(tries):
+                try:
+                    out, error = model(b["prompt"].tolist()), None
+                    break
+                except Exception as e:
+                    out, error = [None] * len(b), str(e)
+            yield b.assign(response=out, error=error)
+
+    rows = prompts.repartition(partitions) if partitions else prompts
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields)
+    return rows.mapInPandas(run, f"{schema}, response string, error string")

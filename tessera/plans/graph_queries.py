@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluation, gates, graph, retrieval
+from tessera.operators import evaluation, gates, graph, parsing, retrieval
 from tessera.operators.chunking import sentence_chunks
 from tessera.plans.registry import query, table
-from tessera.plans.text_queries import WORDS, chunk_sql
+from tessera.plans.text_queries import INSTR, N_WORDS, WORDS, chunk_sql, instructions
 
 # ---- a graph of customers, suppliers and nations ------------------------------------------------
 NODES = """
@@ -297,3 +297,82 @@ def confidence_normalize(spark: SparkSession, d: str) -> DataFrame:
 def quality_decision(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "events")
     return own.select(F.col("event_id").alias("seq"), gates.quality_decision(F.col("value") / 100, F.col("event_type") == "error", F.col("event_id") % 4 / 20).alias("decision"))
+
+
+# ---- scores of responses in two further versions; conversations are the items, their id modulo 9 the model ---------
+ITEMS = "SELECT 'm' || (conv_id % 9) AS model, text[1:turn * 7] AS a, text[1:turn * 3] AS b, CASE turn % 3 WHEN 0 THEN 'general' WHEN 1 THEN 'date' ELSE '' END AS kind, (turn % 10) / 10.0 AS c FROM conversations"
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
+    cut = lambda n: F.expr(f"substring(text, 1, turn * {n})")
+    kind = F.expr("CASE turn % 3 WHEN 0 THEN 'general' WHEN 1 THEN 'date' ELSE '' END")
+    return table(spark, d, "conversations").select(F.concat(F.lit("m"), (F.col("conv_id") % 9).cast("string")).alias("model"), cut(7).alias("a"), cut(3).alias("b"), kind.alias("kind"), (F.col("turn") % 10 / 10).alias("c"))
+
+
+def _scored(spark: SparkSession, d: str, points,  # noqa: ANN001
+    most: float = 1.0, expected: int | None = None) -> DataFrame:
+    return evaluation.score_by_model(items(spark, d), points, most, expected).withColumn("score", F.round("score", 9))
+
+
+@query(sql=f"SELECT model, round(least(avg((CASE WHEN length(trim(a)) >= 10 THEN 0.4::DOUBLE WHEN length(trim(a)) >= 5 THEN 0.2 ELSE 0 END) + (CASE WHEN length(trim(b)) >= 10 THEN 0.3::DOUBLE WHEN length(trim(b)) >= 5 THEN 0.15 ELSE 0 END) + c * 0.3), 1), 9) AS score FROM ({ITEMS}) AS i GROUP BY model")
+def score_facts_v1(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d, evaluation.fact_score(F.col("a"), F.col("b"), F.col("c")))
+
+
+@query(sql=f"SELECT model, round(least(avg((CASE WHEN length(a) > 10 THEN 0.4::DOUBLE ELSE 0 END) + (CASE WHEN length(b) > 5 THEN 0.3::DOUBLE ELSE 0 END) + (CASE WHEN kind = 'date' THEN 0.2::DOUBLE ELSE 0 END) + (CASE WHEN c > 0.5 THEN 0.1::DOUBLE ELSE 0 END)), 1), 9) AS score FROM ({ITEMS}) AS i GROUP BY model")
+def score_facts_v2(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d, evaluation.fact_score_v2(F.col("a"), F.col("b"), F.col("kind"), F.col("c")))
+
+
+@query(sql=f"SELECT model, round(least(avg((CASE WHEN length(a) > 10 THEN 0.3::DOUBLE ELSE 0 END) + (CASE WHEN length(b) > 20 THEN 0.4::DOUBLE ELSE 0 END) + (CASE WHEN contains(a, '?') THEN 0.2::DOUBLE ELSE 0 END) + (CASE WHEN {N_WORDS.format('b')} > 10 THEN 0.1::DOUBLE ELSE 0 END)), 1), 9) AS score FROM ({ITEMS}) AS i GROUP BY model")
+def score_qa_v2(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d, evaluation.qa_score_v2(F.col("a"), F.col("b")))
+
+
+@query(sql=f"SELECT model, round(least(avg((CASE WHEN length(trim(a)) >= 20 THEN 2.0::DOUBLE WHEN length(trim(a)) >= 10 THEN 1 ELSE 0 END) + (CASE WHEN length(trim(b)) >= 10 THEN 1.0::DOUBLE ELSE 0 END) + (CASE kind WHEN 'general' THEN 0.5::DOUBLE WHEN '' THEN 0 ELSE 1 END) + c) / 5, 1) * 0.8 + least(count(*) / 5, 1) * 0.2, 9) AS score FROM ({ITEMS}) AS i GROUP BY model")
+def score_facts_v3(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d, evaluation.fact_points_v3(F.col("a"), F.col("b"), F.col("kind"), F.col("c")), 5.0, 5)
+
+
+@query(sql=f"SELECT id, model FROM ({NAMED}) AS n WHERE contains(model, 'llama') OR contains(model, 'gemma')")
+def suitable_models(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.suitable_models(named(spark, d), ("llama", "gemma")).select("id", "model")
+
+
+@query()
+def extract_relations_pattern(spark: SparkSession, d: str) -> DataFrame:
+    own = entities(spark, d).withColumn("eid", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.lower("name"), "type"), 256))
+    return graph.pattern_relations(table(spark, d, "documents"), own)
+
+
+@query(sql=f"SELECT seq, CASE WHEN len({WORDS.format('instruction')}) >= 5 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN NOT starts_with(lower(instruction), 'write a program') AND NOT starts_with(lower(instruction), 'create a') THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN (input <> '') = (output <> '') THEN 0.3::DOUBLE ELSE 0 END + 0.2::DOUBLE AS checklist FROM ({INSTR}) AS i")
+def qa_checklist_score(spark: SparkSession, d: str) -> DataFrame:
+    return gates.checklist_score(instructions(spark, d)).select("seq", "checklist")
+
+
+@query(sql=f"SELECT seq FROM ({INSTR}) AS i WHERE NOT contains(lower(instruction), ' the ') AND NOT contains(lower(output), ' the ') AND length(instruction) >= 15 AND length(output) BETWEEN 50 AND 2000")
+def filter_forbidden_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return gates.forbidden_filter(instructions(spark, d), (" the ",)).select("seq")
+
+
+@query(sql=f"SELECT count(*) AS n, CAST(0 AS BIGINT) AS missing, count(*) >= 1000 AS ok FROM ({INSTR}) AS i")
+def training_data_check(spark: SparkSession, d: str) -> DataFrame:
+    return gates.training_data_check(instructions(spark, d))
+
+
+@query()
+def rouge_eval(spark: SparkSession, d: str) -> DataFrame:
+    got = gates.rouge_n("instruction", "output")
+    return instructions(spark, d).select("seq", got["rouge1"].alias("rouge1"), got["rouge2"].alias("rouge2"), gates.rouge_l("instruction", "output").alias("rouge_l"))
+
+
+@query()
+def select_diverse_seeds(spark: SparkSession, d: str) -> DataFrame:
+    seeds = instructions(spark, d).select("seq", gates.category(F.col("instruction")).alias("category"))
+    return gates.select_diverse_seeds(seeds, seeds.where("category = 'general'"))
+
+
+@query(sql=r"SELECT doc_id, 'Score this response.' || chr(10) || 'ACCURACY: 0.0 to 0.3' || chr(10) || 'SPECIFICITY: 0.0 to 0.25' || chr(10) || 'COMPLETENESS: 0.0 to 0.2' || chr(10) || 'RELEVANCE: 0.0 to 0.15' || chr(10) || 'CLARITY: 0.0 to 0.1' || chr(10) || 'TOTAL SCORE: the sum' || chr(10) || chr(10) || 'DOCUMENT:' || chr(10) || text[1:2000] || chr(10) || chr(10) || 'RESPONSE:' || chr(10) || source AS prompt FROM documents")
+def render_prompt_scoring(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "documents").withColumnRenamed("source", "response")
+    return parsing.scoring_prompt(own, "fact_extraction").select("doc_id", "prompt")

@@ -202,3 +202,22 @@ def test_stream_equals_batch(spark, tmp_path):
 
     monitoring.run_available(spark, stream, str(tmp_path / "c"), keep, "update")
     assert seen == {(r.user_id, r.event_type): r.event_id for r in monitoring.latest_state(batch, "user_id", "event_type").collect()}
+
+
+def test_pattern_relations(spark):
+    text = "Ann Lee works for Big Corp. Ann Lee and Bob Ray, A & B & C & D! " + "word " * 4000
+    names = ["Ann Lee", "Big Corp", "Bob Ray", "A", "B", "C", "D"]
+    entities = spark.createDataFrame([(1, n, n, 0, k) for k, n in enumerate(names)], "doc_id long, eid string, name string, pattern int, position int")
+    got = {(r.src_id, r.dst_id, r.type) for r in graph.pattern_relations(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), entities).collect()}
+    assert got == {("Ann Lee", "Big Corp", "WORKS_FOR"), ("Ann Lee", "Bob Ray", "ASSOCIATED_WITH"), ("A", "B", "ASSOCIATED_WITH"), ("C", "D", "ASSOCIATED_WITH")}
+
+
+def test_batch_inference_keeps_errors(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, prompt string")
+    got = parsing.batch_inference(df, lambda p: [x.upper() for x in p]).collect()
+    assert [r.response for r in got] == ["A", "B"]
+
+    def fail(prompts):
+        raise RuntimeError("down")
+
+    assert [r.error for r in parsing.batch_inference(df, fail).collect()] == ["down", "down"]
