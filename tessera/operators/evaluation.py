@@ -158,3 +158,12 @@ def select_model(scored: DataFrame) -> DataFrame:
     flat = scored.select("task", "position", "model", F.inline(each))
     best = F.min(F.struct((-F.col("value")).alias("v"), "position", "model"))
     return flat.groupBy("task", "strategy").agg(best.alias("b")).select("task", "strategy", "b.model", (-F.col("b.v")).alias("value"))
+
+
+def performance_report(ratios: DataFrame, *names: str) -> DataFrame:
+    """Adds overall, the mean of the ratios, and status by bands."""
+    total = F.lit(0.0)
+    for n in names:
+        total = total + F.col(n)
+    mean = total / len(names)
+    return ratios.withColumn("overall", mean).withColumn("status", F.when(mean >= 0.9, "excellent").when(mean >= 0.7, "good").when(mean >= 0.5, "fair").otherwise("poor"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -269,3 +271,35 @@ def rouge_n(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         p, q = split((x or "").lower()), split((y or "").lower())
         out.append((f(p, q), f(list(zip(p, p[1:], strict=False)), list(zip(q, q[1:], strict=False)))))
     return pd.DataFrame(out, columns=["rouge1", "rouge2"])
+
+
+def generation_checklist(rows: DataFrame, target: int, least_parsed: float = 0.8, least_diverse: float = 0.7) -> DataFrame:
+    """(item, value, ok, critical): parsed share, share of distinct instructions, and whether the target was met."""
+    n = F.greatest(F.count("*"), F.lit(1))
+    parsed = F.count_if(F.col("instruction").isNotNull() & F.col("output").isNotNull()) / n
+    one = rows.agg(parsed.alias("p"), (F.count_distinct("instruction") / n).alias("d"), F.count("*").cast("double").alias("n"))
+    item = lambda name, c, ok, critical: F.struct(F.lit(name).alias("item"), F.col(c).alias("value"), ok.alias("ok"), F.lit(critical).alias("critical"))
+    return one.select(F.inline(F.array(item("parse_success", "p", F.col("p") > least_parsed, True), item("diversity", "d", F.col("d") > least_diverse, False), item("target", "n", F.col("n") >= target, True))))
+
+
+def generation_loop(generate: Callable[[int, int], DataFrame], write: Callable[[DataFrame], DataFrame], target: int, batch: int = 20, least_rate: float = 0.1, most_rounds: int = 1000) -> DataFrame:
+    """Accepted rows (seq, instruction, input, output) of batches that generate(round, how many) makes, until the target.
+
+    Each batch passes the gates and is compared with rows accepted in earlier batches, never with itself. The loop ends
+    early when a batch's pass rate falls below `least_rate`. write stores the accepted rows so far and reads them again,
+    so that no round computes the ones before it anew.
+    """
+    accepted, have = None, 0
+    for k in range(most_rounds):
+        if have >= target:
+            break
+        want = min(batch, target - have)
+        rows = gate(generate(k, want)).where("accepted").select("seq", "instruction", "input", "output")
+        if accepted is not None:
+            rows = diversity(rows, accepted).where("diverse").select("seq", "instruction", "input", "output")
+        accepted = write(rows if accepted is None else accepted.unionByName(rows))
+        now = accepted.count()
+        if (now - have) / want < least_rate:
+            break
+        have = now
+    return accepted

@@ -246,3 +246,13 @@ def strengthen(edges: DataFrame) -> DataFrame:
 def update_quality(nodes: DataFrame, scores: DataFrame) -> DataFrame:
     """quality_score by id from scores (id, score) where given."""
     return nodes.join(scores.groupBy("id").agg(F.max("score").alias("score")), "id", "left").withColumn("quality_score", F.coalesce("score", "quality_score")).select(*nodes.columns)
+
+
+def optimize(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, counts by stage): low quality goes, duplicates merge, parallel edges strengthen each other."""
+    count = lambda stage, n, e: n.agg(F.count("*").alias("nodes")).join(F.broadcast(e.agg(F.count("*").alias("edges"))), F.lit(True)).select(F.lit(stage).alias("stage"), "nodes", "edges")
+    good, kept = remove_low_quality(nodes, edges)
+    merged, moved = merge_duplicates(good, kept, find_duplicates(good))
+    strong = strengthen(moved)
+    stages = count("before", nodes, edges).unionByName(count("cleaned", good, kept)).unionByName(count("after", merged, strong))
+    return merged, strong, stages

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluation, gates, graph, parsing, retrieval
+from tessera.operators import answering, evaluation, gates, graph, parsing, retrieval
 from tessera.operators.chunking import sentence_chunks
 from tessera.plans.registry import query, table
 from tessera.plans.text_queries import INSTR, N_WORDS, WORDS, chunk_sql, instructions
@@ -309,8 +309,7 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select(F.concat(F.lit("m"), (F.col("conv_id") % 9).cast("string")).alias("model"), cut(7).alias("a"), cut(3).alias("b"), kind.alias("kind"), (F.col("turn") % 10 / 10).alias("c"))
 
 
-def _scored(spark: SparkSession, d: str, points,  # noqa: ANN001
-    most: float = 1.0, expected: int | None = None) -> DataFrame:
+def _scored(spark: SparkSession, d: str, points: Column, most: float = 1.0, expected: int | None = None) -> DataFrame:
     return evaluation.score_by_model(items(spark, d), points, most, expected).withColumn("score", F.round("score", 9))
 
 
@@ -376,3 +375,31 @@ def select_diverse_seeds(spark: SparkSession, d: str) -> DataFrame:
 def render_prompt_scoring(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "documents").withColumnRenamed("source", "response")
     return parsing.scoring_prompt(own, "fact_extraction").select("doc_id", "prompt")
+
+
+@query(sql=f"{WITH}, {DUPLICATES}, g AS (SELECT * FROM nodes WHERE confidence >= 0.5) SELECT 'before' AS stage, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges UNION ALL SELECT 'cleaned', (SELECT count(*) FROM g), (SELECT count(*) FROM edges WHERE strength >= 0.4 AND src IN (SELECT id FROM g) AND dst IN (SELECT id FROM g))")
+def optimize_graph(spark: SparkSession, d: str) -> DataFrame:
+    return graph.optimize(nodes(spark, d), edges(spark, d))[2].where("stage <> 'after'")
+
+
+@query(sql=f"{WITH}, q AS (SELECT item_id AS query_id, 'machinery ' || (item_id % 7) AS term FROM benchmark), s AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY quality_score DESC, confidence DESC, id) AS r FROM q, nodes WHERE contains(lower(name), term)), b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges) SELECT DISTINCT query_id, id FROM (SELECT query_id, id FROM s WHERE r <= 10 UNION SELECT query_id, dst FROM s JOIN b ON src = id WHERE r <= 10) AS x")
+def graph_context(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("MACHINERY "), (F.col("item_id") % 7).cast("string")).alias("name"))
+    return answering.graph_context(asked, nodes(spark, d), edges(spark, d), depth=1)
+
+
+@query(sql="WITH e AS (SELECT count(*) AS n, count(*) FILTER (event_type <> 'error') / count(*) AS success, avg(value) / 100 AS filter_accuracy, least(count(DISTINCT user_id) / 100, 1.0) AS speed FROM events) SELECT n, success, round(filter_accuracy, 9) AS filter_accuracy, speed, round((success + filter_accuracy + speed) / 3, 9) AS overall, CASE WHEN (success + filter_accuracy + speed) / 3 >= 0.9 THEN 'excellent' WHEN (success + filter_accuracy + speed) / 3 >= 0.7 THEN 'good' WHEN (success + filter_accuracy + speed) / 3 >= 0.5 THEN 'fair' ELSE 'poor' END AS status FROM e")
+def agent_performance_report(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "events").agg(
+        F.count("*").alias("n"),
+        (F.count_if(F.col("event_type") != "error") / F.count("*")).alias("success"),
+        (F.avg("value") / 100).alias("filter_accuracy"),
+        F.least(F.count_distinct("user_id") / 100, F.lit(1.0)).alias("speed"),
+    )
+    got = evaluation.performance_report(own, "success", "filter_accuracy", "speed")
+    return got.withColumns({c: F.round(c, 9) for c in ("filter_accuracy", "overall")})
+
+
+@query(sql=f"WITH i AS ({INSTR}), m AS (SELECT count(*) AS n, count(DISTINCT instruction) / count(*) AS diversity FROM i) SELECT 'parse_success' AS item, 1.0::DOUBLE AS value, TRUE AS ok, TRUE AS critical FROM m UNION ALL SELECT 'diversity', diversity, diversity > 0.7, FALSE FROM m UNION ALL SELECT 'target', CAST(n AS DOUBLE), n >= 200, TRUE FROM m")
+def generation_checklist(spark: SparkSession, d: str) -> DataFrame:
+    return gates.generation_checklist(instructions(spark, d), target=200)

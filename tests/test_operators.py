@@ -221,3 +221,20 @@ def test_batch_inference_keeps_errors(spark):
         raise RuntimeError("down")
 
     assert [r.error for r in parsing.batch_inference(df, fail).collect()] == ["down", "down"]
+
+
+def test_generation_loop_stops(spark, tmp_path):
+    rounds = []
+
+    def generate(k, n):
+        rounds.append(k)
+        text = [f"Explain topic{k} part{j} of subject{k * 7 + j} now." for j in range(n)] if k < 3 else ["bad"] * n
+        return spark.createDataFrame([(k * 100 + j, t, "", "An answer.") for j, t in enumerate(text)], "seq long, instruction string, input string, output string")
+
+    def write(df):
+        path = str(tmp_path / f"r{len(rounds)}")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    got = gates.generation_loop(generate, write, target=1000, batch=5)
+    assert rounds == [0, 1, 2, 3] and got.count() == 15
