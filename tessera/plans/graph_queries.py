@@ -281,7 +281,7 @@ def select_model(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.select_model(named(spark, d).withColumnRenamed("id", "position"))
 
 
-@query(sql="SELECT conv_id, turn, (CASE WHEN length(trim(t)) >= 10 THEN 0.5 WHEN length(trim(t)) >= 5 THEN 0.25 ELSE 0 END) + (CASE WHEN length(trim(text)) >= 50 THEN 0.5 WHEN length(trim(text)) >= 20 THEN 0.25 ELSE 0 END) AS score FROM (SELECT *, text[1:turn + 3] AS t FROM conversations) AS c")
+@query(sql="SELECT conv_id, turn, (CASE WHEN length(trim(t)) >= 10 THEN 0.5::DOUBLE WHEN length(trim(t)) >= 5 THEN 0.25 ELSE 0 END) + (CASE WHEN length(trim(text)) >= 50 THEN 0.5 WHEN length(trim(text)) >= 20 THEN 0.25 ELSE 0 END) AS score FROM (SELECT *, text[1:turn + 3] AS t FROM conversations) AS c")
 def score_qa_v1(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "conversations").withColumn("t", F.expr("substring(text, 1, turn + 3)"))
     return own.select("conv_id", "turn", evaluation.qa_score(F.col("t"), F.col("text")).alias("score"))

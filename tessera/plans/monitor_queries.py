@@ -39,7 +39,7 @@ def parse_total_score(spark: SparkSession, d: str) -> DataFrame:
     return responses(spark, d).select("event_id", parsing.total_score(F.col("response"), "fact_extraction").alias("score"))
 
 
-@query(sql="SELECT event_id, least(value / 100, 9) AS format_consistency, 0.5 AS quality_stability FROM (SELECT event_id, round(value, 2) AS value FROM events) AS e")
+@query(sql="SELECT event_id, least(value / 100, 9) AS format_consistency, 0.5::DOUBLE AS quality_stability FROM (SELECT event_id, round(value, 2) AS value FROM events) AS e")
 def parse_consistency_scores(spark: SparkSession, d: str) -> DataFrame:
     own = events(spark, d).select("event_id", F.concat(F.lit("FORMAT_CONSISTENCY: "), F.format_string("%.2f", F.round("value", 2)), F.lit(" good")).alias("response"))
     got = parsing.consistency_scores(F.col("response"))
