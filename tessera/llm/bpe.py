@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 
 #: The characters with the Unicode property White_Space: what \\s means to the tokenizer.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Words in one recursive query and the sum of their squared lengths (the rows of all rounds), characters of text in one
-#: portion, pieces kept between portions: the bounds of memory.
-WORDS, SQUARES, PORTION, KEPT = 40_000, 8_000_000, 3_000_000, 500_000
+#: Words in one recursive query and the sum of their squared lengths (twice the rows of all rounds), texts in one portion,
+#: pieces in each of the two generations that are kept between portions: the bounds of memory, which idle workers hold on to.
+WORDS, SQUARES, PORTION, KEPT = 20_000, 3_000_000, 400, 120_000
 #: A longer word takes as many rounds as it has bytes, so the same contraction is done with a heap.
 LONG = 1000
 
@@ -62,7 +62,7 @@ class Tokenizer:
         self.pieces = re.compile(rf"[{_WS}]*[^{_WS}]+|[{_WS}]+$").findall
         self.plain = re.compile(r"\s*\S+|\s+$").findall  # the same, and faster, without the four separators that only Python takes for white space
         self.odd = re.compile("[\x1c-\x1f]").search
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         merges = pa.table({"l": pa.array([a for a, _, _ in splits], pa.int32()), "r": pa.array([b for _, b, _ in splits], pa.int32()), "rank": pa.array([i for _, _, i in splits], pa.int32())})
         vocabulary = pa.table({"id": pa.array(ranks.values(), pa.int32()), "s": pa.array([t.decode("latin-1") for t in ranks])})
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
@@ -70,6 +70,7 @@ class Tokenizer:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given_{name}")
             self.db.unregister(f"given_{name}")
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
 
     def _long(self, word: bytes) -> list[int]:
         ids = self.byte[np.frombuffer(word, dtype=np.uint8)].tolist()
@@ -113,10 +114,13 @@ class Tokenizer:
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """For each text its ids, as little-endian unsigned 32-bit numbers, and the bytes that these ids decode to."""
         cut = [(self.pieces if self.odd(t) else self.plain)(t) for t in texts]
-        if len(self.known) > KEPT:
-            self.known.clear()
-        known = self.known
+        if len(self.known) > KEPT:  # what is in use moves on to the next generation, the rest goes
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         new = {p for own in cut for p in own if p not in known}
+        again = [p for p in new if p in older]
+        known.update((p, older[p]) for p in again)
+        new.difference_update(again)
         inner = {p: [w.encode("utf-8") for w in self.words(p)] for p in new}
         words = self._encoded(sorted({w for own in inner.values() for w in own}))
         for p, own in inner.items():
@@ -149,15 +153,9 @@ def _tokenizer(rank_file: str, pattern: str) -> Tokenizer:
     return Tokenizer(rank_file, pattern)
 
 
-def _portions(texts: list[str]) -> Iterator[tuple[int, int]]:
-    at, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= PORTION:
-            yield at, k + 1
-            at, size = k + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+def _portions(rows: int) -> Iterator[tuple[int, int]]:
+    for at in range(0, rows, PORTION):
+        yield at, min(rows, at + PORTION)
 
 
 def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -172,9 +170,8 @@ def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, carry: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(rank_file, pattern)
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            for a, z in _portions(texts):
-                found = tok.encode(texts[a:z])
+            for a, z in _portions(b.num_rows):
+                found = tok.encode([t or "" for t in b.column("text").slice(a, z - a).to_pylist()])
                 own = [c.slice(a, z - a) for c in b.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*own, pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], [*b.schema.names[:-1], "ids", "decoded"])
 
@@ -189,9 +186,9 @@ def bpe_decode(encoded: DataFrame, rank_file: str, pattern: str, carry: tuple[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(rank_file, pattern)
         for b in batches:
-            ids = [x or b"" for x in b.column("ids").to_pylist()]
-            for a, z in _portions(ids):
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, z - a) for c in b.columns[:-1]), pa.array(tok.decode(ids[a:z]), pa.binary())], [*b.schema.names[:-1], "decoded"])
+            for a, z in _portions(b.num_rows):
+                ids = [x or b"" for x in b.column("ids").slice(a, z - a).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, z - a) for c in b.columns[:-1]), pa.array(tok.decode(ids), pa.binary())], [*b.schema.names[:-1], "decoded"])
 
     kinds = {f.name: f.dataType.simpleString() for f in encoded.schema.fields}
     return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in ("doc_id", *carry)), "decoded binary"]))
