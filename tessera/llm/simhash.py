@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import scratch
 from tessera.llm.components import components
+from tessera.llm.words import mix
 
 BITS = 64
 
@@ -85,9 +86,11 @@ def _distance(words: int) -> Column:
     return sum((F.bit_count(F.col(f"l.f{k}").bitwiseXOR(F.col(f"r.f{k}"))) for k in range(words)), F.lit(0))
 
 
-def close_pairs(fps: DataFrame, bits: int, radius: int, segments: int, extra: Column | None = None, confirm: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+def close_pairs(fps: DataFrame, bits: int, radius: int, segments: int, extra: Column | None = None, confirm: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, linked: DataFrame | None = None) -> DataFrame:
     """Links (a, b) of rows (node, f0, .. and what extra asks for) whose fingerprints differ in `radius` bits at most and that confirm keeps.
 
+    Links that are known before (linked) come out too, and pairs in one of their components are not searched for.
+
     A large group of close fingerprints would give all its pairs. So each table entry is first linked with the smallest
     of its bucket, if that is truly close; only pairs that these links leave in different components come out of the
     second search. The components are those of all pairs.
@@ -102,6 +105,8 @@ def close_pairs(fps: DataFrame, bits: int, radius: int, segments: int, extra: Co
     table = _keys(fps, cut, 0)
     least = table.groupBy("key").agg(F.min(F.struct("node", *[c for c in fps.columns if c != "node"])).alias("s")).select("key", "s.*")
     stars = scratch.cut(confirm(table.alias("l").join(least.alias("r"), "key").where((F.col("l.node") > F.col("r.node")) & near).select(F.col("r.node").alias("a"), F.col("l.node").alias("b")).distinct()))
+    if linked is not None:
+        stars = scratch.cut(stars.unionByName(linked))
     roots = components(stars)
     known = fps.join(roots, "node", "left").select(*cols, F.coalesce("root", "node").alias("root"))
     probes = _keys(known, cut, reach - reach // 2)
@@ -129,8 +134,12 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, segme
 
 
 #: Wide fingerprints of a text's distinct words, weighted by the root of their counts, for candidates of near copies: texts
-#: whose shingles agree in 0.8 differ in about 8 of 128 bits.
+#: whose shingles agree in 0.8 differ in about 8 of 128 bits if the edits are scattered, in more if they are in one block.
 WIDE = {"bits": 128, "radius": 11, "segments": 4}
+#: Sketches of a text's shingles, which find near copies whatever the kind of edit: so many bands of so many least hashes.
+#: Texts of similarity J share a band with probability 1 - (1 - J**5)**30, which is 0.99999 at 0.8.
+BANDS, DEPTH = 30, 5
+_FACTORS = mix(np.arange(1, BANDS * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
 #: Most ids whose texts are found by a broadcast; beyond it the texts are shuffled.
 BROADCAST_IDS = 200_000
 
@@ -140,38 +149,76 @@ def _shingles(text: str | None, size: int) -> set:
     return set(zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else {tuple(words)}
 
 
+def _shingle_hashes(each: np.ndarray, size: int) -> np.ndarray:
+    """The distinct hashes of the shingles of a text whose words have these hashes; one for a text of fewer words."""
+    size = min(size, len(each))
+    grams = np.full(max(1, len(each) - size + 1), size, dtype=np.uint64)
+    for k in range(size):
+        grams = mix(grams + each[k : len(each) - size + k + 1])
+    return np.unique(grams)
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The keys of a text's bands, from the hashes of its shingles."""
+    low = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), 1024):
+        low = np.minimum(low, (_FACTORS[:, None] * shingles[None, at : at + 1024]).min(axis=1))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in low.reshape(BANDS, DEPTH).T:
+        keys = mix(keys + column)
+    return keys
+
+
 def _wide(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, c0, c1: hash of the word sequence, f0, f1: wide fingerprint, n: distinct shingles)."""
+    """(doc_id, c0, c1: hash of the word sequence, f0, f1: wide fingerprint, n: distinct shingles, bands: keys of its sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            rows = []
+            rows, bands = [], []
             for text in b.column(1).to_pylist():
                 words = (text or "").encode("utf-8", "surrogatepass").lower().split()
                 count = Counter(words)
                 h = np.array([divmod(xxhash.xxh3_128_intdigest(w, 42), 1 << 64) for w in count], dtype=np.uint64).reshape(-1, 2)
                 bits = _majority(h, np.sqrt(np.array(list(count.values()), dtype=float))) if count else np.zeros(16, np.uint8)
-                rows.append((*divmod(xxhash.xxh3_128_intdigest(b" ".join(words), 7), 1 << 64), *bits.view(">u8").tolist(), len(_shingles(text, shingle))))
+                place = {w: k for k, w in enumerate(count)}
+                shingles = _shingle_hashes(h[np.fromiter(map(place.__getitem__, words), np.int64, len(words)), 0], shingle)
+                bands.append(sketch(shingles).view(np.int64))
+                rows.append((*divmod(xxhash.xxh3_128_intdigest(b" ".join(words), 7), 1 << 64), *bits.view(">u8").tolist(), len(shingles)))
             c0, c1, f0, f1, n = zip(*rows, strict=True) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), *(_signed(list(x)) for x in (c0, c1, f0, f1)), pa.array(n, pa.int64())], ["doc_id", "c0", "c1", "f0", "f1", "n"])
+            keys = pa.ListArray.from_arrays(pa.array(range(0, BANDS * len(rows) + 1, BANDS), pa.int32()), pa.array(np.concatenate(bands) if bands else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(_signed(list(x)) for x in (c0, c1, f0, f1)), pa.array(n, pa.int64()), keys], ["doc_id", "c0", "c1", "f0", "f1", "n", "bands"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, c0 long, c1 long, f0 long, f1 long, n long, bands array<long>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, c0 long, c1 long, f0 long, f1 long, n long")
+def sketch_pairs(nodes: DataFrame, extra: Column, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) of rows (node, n, bands) that share a band and that extra and confirm keep; large groups as in close_pairs."""
+    table = nodes.select("node", "n", F.explode("bands").alias("key"))
+    least = table.groupBy("key").agg(F.min(F.struct("node", "n")).alias("s")).select("key", "s.*")
+    pair = [F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")]
+    stars = scratch.cut(confirm(table.alias("l").join(least.alias("r"), "key").where((F.col("l.node") > F.col("r.node")) & extra).select(*pair).distinct()))
+    known = table.join(components(stars), "node", "left").select("node", "n", "key", F.coalesce("root", "node").alias("root"))
+    # a bucket that is one component has no pair left
+    mixed = known.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    known = scratch.cut(known.join(mixed, "key"))
+    found = known.alias("l").join(known.alias("r"), "key").where((F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & extra)
+    return stars.unionByName(confirm(found.select(*pair).distinct()))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) for each row of docs with an integer doc_id: the smallest doc_id of its group of near copies.
 
     Texts of the same words in order (A-Z in lower case) are copies. Other texts link if the Jaccard similarity of their
-    distinct word shingles is `similarity` or more: candidates come from wide SimHash fingerprints by multi-index hashing,
-    and the similarity of each is then computed exactly from the whole texts. Texts of fewer shingles than could differ
+    distinct word shingles is `similarity` or more: candidates come from sketches of the shingles and from wide SimHash
+    fingerprints by multi-index hashing, and the similarity of each is then computed exactly from the whole texts. Texts of fewer shingles than could differ
     and still be so similar only have copies. Texts without words (null ones too) are copies of each other. Rows with a
     null doc_id take no part; repeated rows come out each; an empty table gives no rows; other columns are not read.
     """
     named = docs.where(F.col("doc_id").isNotNull())
     each = scratch.cut(_wide(named, shingle))
-    nodes = scratch.cut(each.groupBy("c0", "c1").agg(F.min("doc_id").alias("node"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("n").alias("n")))
+    nodes = scratch.cut(each.groupBy("c0", "c1").agg(F.min("doc_id").alias("node"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("n").alias("n"), F.first("bands").alias("bands")))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = scratch.cut(pairs)
@@ -194,7 +241,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 
     alike = (F.least("l.n", "r.n") >= F.greatest("l.n", "r.n") * similarity)
     least = int(similarity / (1 - similarity)) if similarity < 1 else 1
-    search = nodes.where(F.col("n") >= least).select("node", "f0", "f1", "n")
-    roots = components(close_pairs(search, WIDE["bits"], WIDE["radius"], WIDE["segments"], alike, confirm))
+    search = nodes.where(F.col("n") >= least)
+    links = scratch.cut(sketch_pairs(search, alike, confirm))
+    homes = components(links).withColumnRenamed("root", "home")
+    rest = scratch.cut(search.join(homes, "node", "left").select("node", "f0", "f1", "n", F.coalesce("home", "node").alias("home")))
+    roots = components(close_pairs(rest, WIDE["bits"], WIDE["radius"], WIDE["segments"], alike & (F.col("l.home") != F.col("r.home")), confirm, links))
     members = nodes.join(roots, "node", "left").select("c0", "c1", F.coalesce("root", "node").alias("component_id"))
     return each.join(members, ["c0", "c1"]).select("doc_id", "component_id")

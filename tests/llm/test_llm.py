@@ -241,6 +241,23 @@ def test_near_duplicates(spark, edge, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_block_edits(spark):
+    r, v = random.Random(16), _vocabulary(3000)
+    text = lambda n: [r.choice(v) for _ in range(n)]
+    data, want = [], {}
+    for k in range(40):
+        n = r.choice([12, 30, 100, 400])
+        w = text(n)
+        at = r.randrange(n - n // 10)
+        edits = [w + text(max(1, n // 6)), w[:at] + text(n // 12) + w[at + n // 12 :], w[: n - n // 7], text(1) + w]
+        for j, words in enumerate([w, *edits]):
+            data.append((10 * k + j, " ".join(words)))
+            one, two = simhash._shingles(data[5 * k][1], 5), simhash._shingles(data[-1][1], 5)
+            want[10 * k + j] = len(one & two) >= 0.8 * len(one | two)
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(_docs(spark, data)).collect()}
+    assert sum(want.values()) > 120 and all(got[i] == i // 10 * 10 for i, near in want.items() if near)
+
+
 # ---- 8 ------------------------------------------------------------------------------------------
 def test_nearest_recall_and_edges(spark):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
