@@ -294,6 +294,35 @@ def test_contaminated(spark, edge, empty):
     assert decontaminate.contaminated(empty, tests).count() == 0 and decontaminate.contaminated(_docs(spark, data), tests.limit(0)).count() == 0
 
 
+def _holds(words, item):
+    """Brute force: the best (matched, -place) of an alignment with 11 of 13 equal words (all words in that proportion if fewer)."""
+    wide, best = min(13, len(item)), None
+    for at in range(1 - len(item), len(words)):
+        low, high = max(0, -at), min(len(item), len(words) - at)
+        equal = [words[at + k] == item[k] for k in range(low, high)]
+        if any(sum(equal[k : k + wide]) >= math.ceil(wide * 11 / 13) for k in range(len(equal) - wide + 1)):
+            best = max(best or (0, 0), (sum(equal), -at))
+    return best
+
+
+def test_contaminated_by_every_substitution(spark):
+    r = random.Random(18)
+    items = {k: [f"i{k}w{j}" for j in range(k)] for k in range(1, 14)}
+    filler = [f"f{k}" for k in range(20)]
+    texts = []
+    for n, item in items.items():
+        texts.append(filler + item + filler)
+        places = [(a,) for a in range(n)] + ([(a, b) for a in range(n) for b in range(a + 1, n)] if n in (7, 12, 13) else [])
+        for gone in places:
+            texts.append(filler[: r.randrange(3)] + [f"x{k}" if k in gone else w for k, w in enumerate(item)] + filler[:2])
+    texts += [items[13][3:], items[6][1:], items[9][:8], []]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    tests = spark.createDataFrame([(k, " ".join(t)) for k, t in items.items()], "item_id long, text string")
+    want = {(k, n, *best) for k, t in enumerate(texts) for n, item in items.items() if (best := _holds(t, item))}
+    got = {(x.doc_id, x.item_id, x.matched, -x.first_word) for x in decontaminate.contaminated(docs, tests).collect()}
+    assert got == want and sum(len(texts[k]) < 20 and n == 13 for k, n, *_ in want) == 13 + 78
+
+
 # ---- 10 -----------------------------------------------------------------------------------------
 def _strip(data, size=13):
     key = lambda i: math.inf if i is None else i
