@@ -29,11 +29,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near copies (five-word shingles, similarity 0.8), once. Rows without doc_id stay."""
+    """Keep the smallest doc_id of each group of near copies (five-word shingles, similarity 0.8), once. Rows without doc_id stay, and so do rows of one doc_id with different texts."""
     groups = simhash.near_duplicates(docs, shingle=5, similarity=0.8)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select("doc_id", "text", *_others(docs))
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+    named = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
     return named.unionByName(kept.where("doc_id is null"))
 
 

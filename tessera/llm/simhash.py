@@ -170,7 +170,7 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def _wide(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, c0, c1: hash of the word sequence, f0, f1: wide fingerprint, n: distinct shingles, bands: keys of its sketch)."""
+    """(doc_id, c0, c1: hash of the set of shingles, f0, f1: wide fingerprint, n: distinct shingles, bands: keys of its sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -185,7 +185,7 @@ def _wide(docs: DataFrame, shingle: int) -> DataFrame:
                 place = {w: k for k, w in enumerate(count)}
                 shingles = _shingle_hashes(h[np.fromiter(map(place.__getitem__, words), np.int64, len(words)), 0], shingle)
                 bands.append(sketch(shingles).view(np.int64))
-                rows.append((*divmod(xxhash.xxh3_128_intdigest(b" ".join(words), 7), 1 << 64), *bits.view(">u8").tolist(), len(shingles)))
+                rows.append((*divmod(xxhash.xxh3_128_intdigest(shingles.tobytes(), 7), 1 << 64), *bits.view(">u8").tolist(), len(shingles)))
             c0, c1, f0, f1, n = zip(*rows, strict=True) if rows else ((),) * 5
             keys = pa.ListArray.from_arrays(pa.array(range(0, BANDS * len(rows) + 1, BANDS), pa.int32()), pa.array(np.concatenate(bands) if bands else [], pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), *(_signed(list(x)) for x in (c0, c1, f0, f1)), pa.array(n, pa.int64()), keys], ["doc_id", "c0", "c1", "f0", "f1", "n", "bands"])
@@ -210,7 +210,7 @@ def sketch_pairs(nodes: DataFrame, extra: Column, confirm: Callable[[DataFrame],
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) for each row of docs with an integer doc_id: the smallest doc_id of its group of near copies.
 
-    Texts of the same words in order (A-Z in lower case) are copies. Other texts link if the Jaccard similarity of their
+    Texts of the same set of word shingles (A-Z in lower case) are copies. Other texts link if the Jaccard similarity of their
     distinct word shingles is `similarity` or more: candidates come from sketches of the shingles and from wide SimHash
     fingerprints by multi-index hashing, and the similarity of each is then computed exactly from the whole texts. Texts of fewer shingles than could differ
     and still be so similar only have copies. Texts without words (null ones too) are copies of each other. Rows with a

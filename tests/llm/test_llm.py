@@ -258,6 +258,19 @@ def test_near_duplicates_of_block_edits(spark):
     assert sum(want.values()) > 120 and all(got[i] == i // 10 * 10 for i, near in want.items() if near)
 
 
+def test_near_duplicates_of_periodic_texts(spark):
+    data = [(1, "a " * 1000), (2, "a " * 1001), (3, "a b c " * 30), (4, "a b c " * 40), (5, "a b d " * 30), (6, "a b c"), (7, "b a c")]
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(_docs(spark, data)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7}
+
+
+def test_near_dedup_keeps_different_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (1, "four five six")], "doc_id long, text string")
+    assert sorted(r.text for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()) == ["four five six", "one two three"]
+
+
 # ---- 8 ------------------------------------------------------------------------------------------
 def test_nearest_recall_and_edges(spark):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
