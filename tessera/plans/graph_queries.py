@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import answering, evaluation, gates, graph, parsing, retrieval
 from tessera.operators.chunking import sentence_chunks
-from tessera.plans.registry import query, table
+from tessera.plans.registry import ORACLE_SQL, query, table
 from tessera.plans.text_queries import INSTR, N_WORDS, WORDS, chunk_sql, instructions
 
 # ---- a graph of customers, suppliers and nations ------------------------------------------------
@@ -309,8 +311,17 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select(F.concat(F.lit("m"), (F.col("conv_id") % 9).cast("string")).alias("model"), cut(7).alias("a"), cut(3).alias("b"), kind.alias("kind"), (F.col("turn") % 10 / 10).alias("c"))
 
 
-def _scored(spark: SparkSession, d: str, points: Column, most: float = 1.0, expected: int | None = None) -> DataFrame:
-    return evaluation.score_by_model(items(spark, d), points, most, expected).withColumn("score", F.round("score", 9))
+#: The same from whole texts: the instruction and the output of each pair.
+WHOLE_ITEMS = f"SELECT 'm' || (conv_id % 9) AS model, instruction AS a, output AS b, CASE seq % 3 WHEN 0 THEN 'general' WHEN 1 THEN 'date' ELSE '' END AS kind, (seq % 10) / 10.0 AS c FROM ({INSTR}) AS p"
+
+
+def whole_items(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.expr("CASE seq % 3 WHEN 0 THEN 'general' WHEN 1 THEN 'date' ELSE '' END")
+    return instructions(spark, d).select(F.concat(F.lit("m"), (F.col("conv_id") % 9).cast("string")).alias("model"), F.col("instruction").alias("a"), F.col("output").alias("b"), kind.alias("kind"), (F.col("seq") % 10 / 10).alias("c"))
+
+
+def _scored(spark: SparkSession, d: str, points: Column, most: float = 1.0, expected: int | None = None, rows: Callable[[SparkSession, str], DataFrame] = items) -> DataFrame:
+    return evaluation.score_by_model(rows(spark, d), points, most, expected).withColumn("score", F.round("score", 9))
 
 
 @query(sql=f"SELECT model, round(least(avg((CASE WHEN length(trim(a)) >= 10 THEN 0.4::DOUBLE WHEN length(trim(a)) >= 5 THEN 0.2 ELSE 0 END) + (CASE WHEN length(trim(b)) >= 10 THEN 0.3::DOUBLE WHEN length(trim(b)) >= 5 THEN 0.15 ELSE 0 END) + c * 0.3), 1), 9) AS score FROM ({ITEMS}) AS i GROUP BY model")
@@ -333,6 +344,35 @@ def score_facts_v3(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d, evaluation.fact_points_v3(F.col("a"), F.col("b"), F.col("kind"), F.col("c")), 5.0, 5)
 
 
+def _whole_sql(name: str) -> str:
+    return ORACLE_SQL[name].replace(f"({ITEMS})", f"({WHOLE_ITEMS})")
+
+
+@query(sql=_whole_sql("score_facts_v1"))
+def score_facts_v1_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d, evaluation.fact_score(F.col("a"), F.col("b"), F.col("c")), rows=whole_items)
+
+
+@query(sql=_whole_sql("score_facts_v2"))
+def score_facts_v2_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d, evaluation.fact_score_v2(F.col("a"), F.col("b"), F.col("kind"), F.col("c")), rows=whole_items)
+
+
+@query(sql=_whole_sql("score_facts_v3"))
+def score_facts_v3_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d, evaluation.fact_points_v3(F.col("a"), F.col("b"), F.col("kind"), F.col("c")), 5.0, 5, whole_items)
+
+
+@query(sql=_whole_sql("score_qa_v2"))
+def score_qa_v2_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d, evaluation.qa_score_v2(F.col("a"), F.col("b")), rows=whole_items)
+
+
+@query(sql=f"SELECT seq, (CASE WHEN length(trim(instruction)) >= 10 THEN 0.5::DOUBLE WHEN length(trim(instruction)) >= 5 THEN 0.25 ELSE 0 END) + (CASE WHEN length(trim(output)) >= 50 THEN 0.5 WHEN length(trim(output)) >= 20 THEN 0.25 ELSE 0 END) AS score FROM ({INSTR}) AS i")
+def score_qa_v1_whole(spark: SparkSession, d: str) -> DataFrame:
+    return instructions(spark, d).select("seq", evaluation.qa_score(F.col("instruction"), F.col("output")).alias("score"))
+
+
 @query(sql=f"SELECT id, model FROM ({NAMED}) AS n WHERE contains(model, 'llama') OR contains(model, 'gemma')")
 def suitable_models(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.suitable_models(named(spark, d), ("llama", "gemma")).select("id", "model")

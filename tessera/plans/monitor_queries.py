@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import answering, parsing, retrieval
@@ -48,8 +48,16 @@ def parse_consistency_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql=f"SELECT seq, trim(instruction[1:20], ' ' || chr(10)) AS instruction, trim(output[1:30], ' ' || chr(10)) AS output FROM ({INSTR}) AS i")
 def parse_instruction_response(spark: SparkSession, d: str) -> DataFrame:
-    own = instructions(spark, d)
-    a, b = F.trim(F.substring("instruction", 1, 20), F.lit(" \n")), F.trim(F.substring("output", 1, 30), F.lit(" \n"))
+    return _parsed(instructions(spark, d), F.substring("instruction", 1, 20), F.substring("output", 1, 30))
+
+
+@query(sql=f"SELECT seq, CASE WHEN a <> '' AND b <> '' THEN a END AS instruction, CASE WHEN a <> '' AND b <> '' THEN b END AS output FROM (SELECT seq, trim(instruction, ' ' || chr(10)) AS a, trim(output, ' ' || chr(10)) AS b FROM ({INSTR}) AS i) AS j")
+def parse_instruction_response_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(instructions(spark, d), F.col("instruction"), F.col("output"))
+
+
+def _parsed(own: DataFrame, instruction: Column, output: Column) -> DataFrame:
+    a, b = F.trim(instruction, F.lit(" \n")), F.trim(output, F.lit(" \n"))
     made = own.select("seq", F.when(F.col("seq") % 2 == 0, F.to_json(F.struct(a.alias("instruction"), F.lit("").alias("input"), b.alias("output")))).otherwise(F.concat(F.lit("Instruction: "), a, F.lit("\nInput: none\nOutput: "), b)).alias("response"))
     got = parsing.parse_instruction(F.col("response"))
     return made.select("seq", got["instruction"].alias("instruction"), got["output"].alias("output"))

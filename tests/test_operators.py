@@ -238,3 +238,15 @@ def test_generation_loop_stops(spark, tmp_path):
 
     got = gates.generation_loop(generate, write, target=1000, batch=5)
     assert rounds == [0, 1, 2, 3] and got.count() == 15
+
+
+def test_whole_texts_are_parsed_and_scored(spark):
+    import __spark_entry__ as e
+
+    d, made = "/root/testdata/sf0.001", e.queries()
+    rows = {r.seq: r for r in made["conversation_to_instruction"](spark, d).collect()}
+    got = {r.seq: r for r in made["parse_instruction_response_whole"](spark, d).collect()}
+    assert set(got) == set(rows) and max(len(r.output) for r in got.values() if r.output) > 30
+    assert all(got[k].output == r.output.strip(" \n") for k, r in rows.items() if r.instruction.strip() and r.output.strip())
+    scores = {r.seq: r.score for r in made["score_qa_v1_whole"](spark, d).collect()}
+    assert all(scores[k] == 1 for k, r in rows.items() if len(r.instruction.strip()) >= 10 and len(r.output.strip()) >= 50)
