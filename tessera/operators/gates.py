@@ -130,9 +130,14 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def diversity(batch: DataFrame, accepted: DataFrame, last: int = 50, threshold: float = 0.7, by: str = "jaccard") -> DataFrame:
-    """Adds similarity (the largest to the last accepted rows) and diverse. The comparison set is a constant, so it is broadcast."""
-    recent = accepted.orderBy(F.desc("seq")).limit(last).agg(F.collect_list("instruction").alias("recent"))
+    """Adds similarity (the largest to the last accepted rows) and diverse. The comparison set is a constant, so it is broadcast.
+
+    A row of the batch that is itself among the accepted ones is not compared with itself (by seq, if the batch has it).
+    """
+    recent = accepted.orderBy(F.desc("seq")).limit(last).agg(F.collect_list(F.struct("seq", "instruction")).alias("recent"))
     each = batch.join(F.broadcast(recent), F.lit(True))
+    others = F.filter("recent", lambda r: ~r["seq"].eqNullSafe(F.col("seq"))) if "seq" in batch.columns else F.col("recent")
+    each = each.withColumn("recent", F.transform(others, lambda r: r["instruction"]))
     if by == "jaccard":
         best = F.array_max(F.transform("recent", lambda r: jaccard(F.col("instruction"), r)))
         scored = each.withColumn("similarity", F.coalesce(best, F.lit(0.0)))

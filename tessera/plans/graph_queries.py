@@ -422,6 +422,22 @@ def optimize_graph(spark: SparkSession, d: str) -> DataFrame:
     return graph.optimize(nodes(spark, d), edges(spark, d))[2].where("stage <> 'after'")
 
 
+@query(
+    sql=f"""{WITH}, g AS (SELECT * FROM nodes WHERE confidence >= 0.5),
+  e AS (SELECT * FROM edges WHERE strength >= 0.4 AND src IN (SELECT id FROM g) AND dst IN (SELECT id FROM g)),
+  k AS (SELECT lower(name) AS k, type, arg_min(id, (-mentions, id)) AS top FROM g GROUP BY 1, 2 HAVING count(*) > 1),
+  p AS (SELECT id, top FROM g JOIN k ON lower(name) = k AND g.type = k.type WHERE id <> top),
+  m AS (SELECT coalesce(s.top, src) AS src, coalesce(t.top, dst) AS dst, e.type, s.top IS NOT NULL OR t.top IS NOT NULL AS moved FROM e LEFT JOIN p AS s ON src = s.id LEFT JOIN p AS t ON dst = t.id),
+  stay AS (SELECT * FROM m WHERE NOT moved),
+  after AS (SELECT src, dst, type FROM stay UNION SELECT src, dst, 'RELATED_TO' FROM m WHERE moved AND src <> dst AND NOT EXISTS (SELECT 1 FROM stay WHERE stay.src = m.src AND stay.dst = m.dst))
+SELECT 'before' AS stage, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges
+UNION ALL SELECT 'cleaned', (SELECT count(*) FROM g), (SELECT count(*) FROM e)
+UNION ALL SELECT 'after', (SELECT count(*) FROM g) - (SELECT count(*) FROM p), (SELECT count(*) FROM after)"""
+)
+def optimize_graph_stages(spark: SparkSession, d: str) -> DataFrame:
+    return graph.optimize(nodes(spark, d), edges(spark, d))[2]
+
+
 @query(sql=f"{WITH}, q AS (SELECT item_id AS query_id, 'machinery ' || (item_id % 7) AS term FROM benchmark), s AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY quality_score DESC, confidence DESC, id) AS r FROM q, nodes WHERE contains(lower(name), term)), b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges) SELECT DISTINCT query_id, id FROM (SELECT query_id, id FROM s WHERE r <= 10 UNION SELECT query_id, dst FROM s JOIN b ON src = id WHERE r <= 10) AS x")
 def graph_context(spark: SparkSession, d: str) -> DataFrame:
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("MACHINERY "), (F.col("item_id") % 7).cast("string")).alias("name"))

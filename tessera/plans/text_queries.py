@@ -250,10 +250,17 @@ def diversity_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return found.select("seq", F.round("similarity", 9).alias("similarity"), "diverse")
 
 
+@query(sql=f"WITH i AS ({INSTR}), w AS (SELECT seq, conv_id, list_distinct({WORDS.format(LOW)}) AS x FROM i), r AS (SELECT seq AS other, x AS y FROM w WHERE conv_id % 2 = 0 ORDER BY seq DESC LIMIT 50) SELECT seq, round(max({JACCARD}), 9) AS similarity, max({JACCARD}) <= 0.7 AS diverse FROM w, r WHERE seq <> other GROUP BY seq")
+def diversity_jaccard_every(spark: SparkSession, d: str) -> DataFrame:
+    rows = instructions(spark, d)
+    found = gates.diversity(rows, rows.where("conv_id % 2 = 0"))
+    return found.select("seq", F.round("similarity", 9).alias("similarity"), "diverse")
+
+
 @query()
 def diversity_rouge(spark: SparkSession, d: str) -> DataFrame:
     rows = instructions(spark, d).select("seq", "conv_id", "instruction")
-    return gates.diversity(rows.where("conv_id % 2 = 1"), rows.where("conv_id % 2 = 0"), last=100, by="rouge").select("seq", "similarity", "diverse")
+    return gates.diversity(rows, rows.where("conv_id % 2 = 0"), last=100, by="rouge").select("seq", "similarity", "diverse")
 
 
 @query(sql=f"WITH i AS (SELECT {N_WORDS.format('instruction')} AS a, {N_WORDS.format('output')} AS b, instruction, input, lower({WORDS.format('instruction')}[1]) AS f FROM ({INSTR}) AS j) SELECT count(*) AS total_examples, count(DISTINCT instruction) AS unique_instructions, count(DISTINCT instruction) / count(*) AS uniqueness_ratio, count(DISTINCT f) AS unique_first_words, count(DISTINCT f) / count(*) AS verb_diversity, avg(a) AS instruction_mean, CAST(min(a) AS INTEGER) AS instruction_min, CAST(max(a) AS INTEGER) AS instruction_max, avg(b) AS output_mean, CAST(min(b) AS INTEGER) AS output_min, CAST(max(b) AS INTEGER) AS output_max, CAST(0 AS BIGINT) AS with_input, count(*) AS without_input FROM i")

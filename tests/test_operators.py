@@ -250,3 +250,28 @@ def test_whole_texts_are_parsed_and_scored(spark):
     assert all(got[k].output == r.output.strip(" \n") for k, r in rows.items() if r.instruction.strip() and r.output.strip())
     scores = {r.seq: r.score for r in made["score_qa_v1_whole"](spark, d).collect()}
     assert all(scores[k] == 1 for k, r in rows.items() if len(r.instruction.strip()) >= 10 and len(r.output.strip()) >= 50)
+
+
+def test_diversity_judges_every_instruction(spark):
+    import __spark_entry__ as e
+
+    d, made = "/root/testdata/sf0.001", e.queries()
+    every = {r.seq for r in made["conversation_to_instruction"](spark, d).collect()}
+    for name in ("diversity_jaccard_every", "diversity_rouge"):
+        got = made[name](spark, d).collect()
+        assert len(got) == len(every) and {r.seq for r in got} == every
+
+
+def test_optimize_merges_and_strengthens(spark):
+    nodes = spark.createDataFrame([("a", "X", "T", 0.9, 5), ("b", "x", "T", 0.9, 2), ("c", "y", "T", 0.9, 1), ("d", "z", "T", 0.1, 1)], "id string, name string, type string, confidence double, mentions long")
+    edges = spark.createDataFrame([("b", "c", "R", 0.5), ("c", "d", "R", 0.9), ("c", "a", "R", 0.5), ("c", "a", "R", 0.5), ("a", "b", "R", 0.9)], "src string, dst string, type string, strength double")
+    merged, strong, stages = graph.optimize(nodes, edges)
+    assert {(r.id, r.mentions) for r in merged.collect()} == {("a", 7), ("c", 1)}
+    assert {(r.src, r.dst, r.type, round(r.strength, 6), r.evidence) for r in strong.collect()} == {("a", "c", "RELATED_TO", 0.5, 1), ("c", "a", "R", 0.75, 2)}
+    assert {tuple(r) for r in stages.collect()} == {("before", 4, 5), ("cleaned", 3, 4), ("after", 2, 2)}
+
+
+def test_optimize_graph_query_has_all_stages(spark):
+    import __spark_entry__ as e
+
+    assert {r.stage for r in e.queries()["optimize_graph_stages"](spark, "/root/testdata/sf0.001").collect()} == {"before", "cleaned", "after"}
