@@ -4,14 +4,15 @@ A text is cut into pieces (a run of white space, then a run of other characters)
 over the edge of a piece, and it cuts each piece into words. Rows of (word, position, token) join the merge table; each
 round contracts every word's leftmost pair of least rank, until no pair is left: the pair's second row takes the merged
 token, the row before points to it, so no row is numbered anew. An ordered aggregation of the tokens'
-bytes decodes. A partition does this for its distinct words only, in bounded portions.
+bytes decodes. A partition does this for its distinct words only, in bounded portions; texts are then put together from
+the distinct pieces by Arrow's take.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import heapq
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,11 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: The characters with the Unicode property White_Space: what \\s means to the tokenizer.
+from tessera.llm import words as split
+
+#: The characters with the Unicode property White_Space: what \\s means to the tokenizer; those beyond ASCII as UTF-8.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Words in one recursive query and the sum of their squared lengths (twice the rows of all rounds), texts in one portion,
-#: pieces in each of the two generations that are kept between portions: the bounds of memory, which idle workers hold on to.
-WORDS, SQUARES, PORTION, KEPT = 20_000, 3_000_000, 400, 120_000
+_WIDE = [c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+#: Words in one recursive query and the sum of their squared lengths (twice the rows of all rounds), bytes of text in one
+#: portion, pieces in each of the two generations that a task keeps between portions: the bounds of memory.
+WORDS, SQUARES, PORTION, KEPT = 20_000, 3_000_000, 1 << 21, 60_000
+#: Sequences that one query decodes.
+DECODED = 400
 #: A longer word takes as many rounds as it has bytes, so the same contraction is done with a heap.
 LONG = 1000
 
@@ -44,35 +50,50 @@ SELECT w, pos, id FROM step JOIN (SELECT w, max(n) AS n FROM step GROUP BY w) AS
 _DECODE = "SELECT w, string_agg(s, '' ORDER BY pos) AS s FROM {tokens} JOIN vocabulary USING (id) GROUP BY w ORDER BY w"
 
 
+@lru_cache(2)
+def _tables(rank_file: str) -> tuple[pa.Table, pa.Table]:
+    """(merges, vocabulary) of the rank file: a few megabytes that a worker keeps."""
+    with open(rank_file, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    splits = np.array([(ranks[t[:k]], ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks], dtype=np.int32)
+    merges = pa.table({n: pa.array(np.ascontiguousarray(splits[:, k])) for k, n in enumerate(("l", "r", "rank"))})
+    return merges, pa.table({"id": pa.array(ranks.values(), pa.int32()), "s": pa.array([t.decode("latin-1") for t in ranks])})
+
+
 class Tokenizer:
-    """The rank file's merges and vocabulary in a DuckDB database of this process."""
+    """The merges and the vocabulary in a DuckDB database, for one task: it is closed, and what it kept let go, with the task."""
 
     def __init__(self, rank_file: str, pattern: str) -> None:
         import duckdb
         import regex
 
-        with open(rank_file, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        splits = [(ranks[t[:k]], ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        self.pair = {(a, b): i for a, b, i in splits}
-        self.token = {i: t for t, i in ranks.items()}
-        self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.merges, vocabulary = _tables(rank_file)
+        self.token = {i: t.encode("latin-1") for i, t in zip(vocabulary["id"].to_pylist(), vocabulary["s"].to_pylist(), strict=True)}
+        of = {t: i for i, t in self.token.items()}
+        self.byte = np.array([of[bytes([b])] for b in range(256)], dtype=np.int32)
         own = pattern.replace(r"[^\s", f"[^{_WS}").replace(r"\S", f"[^{_WS}]").replace(r"\s", f"[{_WS}]")
         self.words = regex.compile(own).findall
-        self.pieces = re.compile(rf"[{_WS}]*[^{_WS}]+|[{_WS}]+$").findall
-        self.plain = re.compile(r"\s*\S+|\s+$").findall  # the same, and faster, without the four separators that only Python takes for white space
-        self.odd = re.compile("[\x1c-\x1f]").search
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
-        merges = pa.table({"l": pa.array([a for a, _, _ in splits], pa.int32()), "r": pa.array([b for _, b, _ in splits], pa.int32()), "rank": pa.array([i for _, _, i in splits], pa.int32())})
-        vocabulary = pa.table({"id": pa.array(ranks.values(), pa.int32()), "s": pa.array([t.decode("latin-1") for t in ranks])})
-        for name, table in (("merges", merges), ("vocabulary", vocabulary)):
+        for name, table in (("merges", self.merges), ("vocabulary", vocabulary)):
             self.db.register(f"given_{name}", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given_{name}")
             self.db.unregister(f"given_{name}")
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.pair: dict[tuple[int, int], int] = {}
+        self.known: dict[bytes, tuple[bytes, bytes]] = {}
+        self.older: dict[bytes, tuple[bytes, bytes]] = {}
+
+    def __enter__(self) -> Tokenizer:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.db.close()
+        self.pair, self.known, self.older = {}, {}, {}
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
     def _long(self, word: bytes) -> list[int]:
+        if not self.pair:
+            self.pair = {(a, b): i for a, b, i in zip(*(self.merges[c].to_pylist() for c in ("l", "r", "rank")), strict=True)}
         ids = self.byte[np.frombuffer(word, dtype=np.uint8)].tolist()
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         heap = [(self.pair[x], k, x) for k, x in enumerate(zip(ids, ids[1:], strict=False)) if x in self.pair]
@@ -111,21 +132,42 @@ class Tokenizer:
             out |= {w: (raw[a:b], s.encode("latin-1")) for w, a, b, (_, s) in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), texts, strict=True)}
         return out
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """For each text its ids, as little-endian unsigned 32-bit numbers, and the bytes that these ids decode to."""
-        cut = [(self.pieces if self.odd(t) else self.plain)(t) for t in texts]
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.LargeBinaryArray]:
+        """(the first piece of each text, and the end; all pieces)."""
+        white = split.SPACE[data]
+        for c in _WIDE if data.max(initial=0) > 127 else ():
+            at = np.flatnonzero(data[: len(data) - len(c) + 1] == c[0]) if len(data) >= len(c) else np.zeros(0, dtype=np.int64)
+            for k in range(1, len(c)):
+                at = at[data[at + k] == c[k]]
+            for k in range(len(c)):
+                white[at + k] = True
+        opens = white.copy()
+        opens[1:] &= ~white[:-1]
+        opens[offsets[:-1][np.diff(offsets) > 0]] = True
+        start = np.flatnonzero(opens)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+        return np.searchsorted(start, offsets), pieces
+
+    def _each(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """The ids and the decoded ids of distinct pieces."""
         if len(self.known) > KEPT:  # what is in use moves on to the next generation, the rest goes
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        new = {p for own in cut for p in own if p not in known}
-        again = [p for p in new if p in older]
-        known.update((p, older[p]) for p in again)
-        new.difference_update(again)
-        inner = {p: [w.encode("utf-8") for w in self.words(p)] for p in new}
-        words = self._encoded(sorted({w for own in inner.values() for w in own}))
+        new = [p for p in pieces if p not in known]
+        known.update((p, older[p]) for p in new if p in older)
+        inner = {p: [w.encode("utf-8") for w in self.words(p.decode("utf-8"))] for p in new if p not in older}
+        words = self._encoded(sorted({w for own in inner.values() for w in own}, key=len))  # short words need few rounds
         for p, own in inner.items():
             known[p] = words[own[0]] if len(own) == 1 else tuple(b"".join(words[w][k] for w in own) for k in (0, 1))
-        return [(b"".join([known[p][0] for p in own]), b"".join([known[p][1] for p in own])) for own in cut]
+        return [known[p] for p in pieces]
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[int, int, pa.Array, pa.Array]]:
+        """(first row, end row, ids as little-endian unsigned 32-bit numbers, the bytes that they decode to) of some texts at a time."""
+        for a, z, data, offsets in split.texts(column, PORTION):
+            bound, pieces = self._pieces(data, offsets)
+            coded = pieces.dictionary_encode()
+            found = self._each(coded.dictionary.to_pylist())
+            yield a, z, *(_joined(pa.array([x[k] for x in found], pa.large_binary()).take(coded.indices), bound) for k in (0, 1))
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each sequence of ids, by one ordered aggregation."""
@@ -148,14 +190,10 @@ def _groups(words: list[bytes]) -> Iterator[list[bytes]]:
         yield words[at:]
 
 
-@lru_cache(2)
-def _tokenizer(rank_file: str, pattern: str) -> Tokenizer:
-    return Tokenizer(rank_file, pattern)
-
-
-def _portions(rows: int) -> Iterator[tuple[int, int]]:
-    for at in range(0, rows, PORTION):
-        yield at, min(rows, at + PORTION)
+def _joined(parts: pa.LargeBinaryArray, bound: np.ndarray) -> pa.Array:
+    """One value for each range of parts, end to end."""
+    offsets = np.frombuffer(parts.buffers()[1], dtype=np.int64)[parts.offset : parts.offset + len(parts) + 1]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bound) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets[bound])), parts.buffers()[2]]).cast(pa.binary())
 
 
 def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -168,12 +206,10 @@ def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, carry: tuple[str,
     rows = docs.select("doc_id", *carry, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(rank_file, pattern)
-        for b in batches:
-            for a, z in _portions(b.num_rows):
-                found = tok.encode([t or "" for t in b.column("text").slice(a, z - a).to_pylist()])
-                own = [c.slice(a, z - a) for c in b.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*own, pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], [*b.schema.names[:-1], "ids", "decoded"])
+        with Tokenizer(rank_file, pattern) as tok:
+            for b in batches:
+                for a, z, ids, decoded in tok.encode(b.column("text")):
+                    yield pa.RecordBatch.from_arrays([*(c.slice(a, z - a) for c in b.columns[:-1]), ids, decoded], [*b.schema.names[:-1], "ids", "decoded"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in ("doc_id", *carry)), "ids binary", "decoded binary"]))
@@ -184,11 +220,12 @@ def bpe_decode(encoded: DataFrame, rank_file: str, pattern: str, carry: tuple[st
     rows = encoded.select("doc_id", *carry, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(rank_file, pattern)
-        for b in batches:
-            for a, z in _portions(b.num_rows):
-                ids = [x or b"" for x in b.column("ids").slice(a, z - a).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, z - a) for c in b.columns[:-1]), pa.array(tok.decode(ids), pa.binary())], [*b.schema.names[:-1], "decoded"])
+        with Tokenizer(rank_file, pattern) as tok:
+            for b in batches:
+                for a in range(0, b.num_rows, DECODED):
+                    own = b.slice(a, DECODED)
+                    found = tok.decode([x or b"" for x in own.column("ids").to_pylist()])
+                    yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(found, pa.binary())], [*b.schema.names[:-1], "decoded"])
 
     kinds = {f.name: f.dataType.simpleString() for f in encoded.schema.fields}
     return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in ("doc_id", *carry)), "decoded binary"]))

@@ -97,40 +97,53 @@ class EliasFano:
         return lo, inside & (lo < end) & (self._low(np.minimum(lo, self.n - 1)) == low)
 
 
-#: Bits of a follower's key within its context; log10 of a smoothed probability goes from -FLOOR to 0 in LEVELS steps.
-FOLLOWER_BITS = 44
-FLOOR, LEVELS = 12.0, 65535
+#: log10 of a quantised number goes from -FLOOR to 0 in LEVELS steps.
+FLOOR, LEVELS = 16.0, 65535
 
 
-class Trie:
-    """Contexts, pointers to the range of their followers, followers made monotone by their context's rank, probabilities."""
+def quantised(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 to 1 in 16 bits; 0 stays 0."""
+    code = np.rint((np.log10(np.clip(x, 10.0**-FLOOR, 1.0)) + FLOOR) / FLOOR * (LEVELS - 1)) + 1
+    return np.where(x > 0, code, 0).astype("<u2")
 
-    def __init__(self, contexts: np.ndarray, followers: np.ndarray, probability: np.ndarray) -> None:
-        """contexts: ascending keys; followers: ascending rank << FOLLOWER_BITS | key; probability of each follower."""
+
+def value(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes > 0, 10.0 ** ((codes.astype(np.float64) - 1) / (LEVELS - 1) * FLOOR - FLOOR), 0.0)
+
+
+class Level:
+    """A level of a trie: contexts, pointers to the range of their followers, followers relative to their context, codes.
+
+    Followers ascend within a context, so they ascend over all contexts once the context's rank stands in front.
+    """
+
+    def __init__(self, contexts: np.ndarray, followers: np.ndarray, rank: np.ndarray, codes: np.ndarray) -> None:
+        """contexts: ascending; followers: by context, ascending; rank: the place of each follower's context; its code."""
         n = len(contexts)
-        self.contexts = EliasFano(contexts, (1 << 64) - 1)
-        rank = (followers >> U64(FOLLOWER_BITS)).astype(np.int64)
+        self.bits = 64 if n <= 1 else int(followers.max()).bit_length() if len(followers) else 1
+        self.contexts = EliasFano(contexts, int(contexts[-1]) if n else 1)
         self.pointers = EliasFano(np.searchsorted(rank, np.arange(n + 1)).astype(U64), max(1, len(followers)))
-        self.followers = EliasFano(followers, max(1, n << FOLLOWER_BITS))
-        code = np.rint((np.log10(np.maximum(probability, 10.0**-FLOOR)) + FLOOR) / FLOOR * (LEVELS - 1)).astype("<u2") + 1
-        (self.codes,) = mapped([code.astype("<u2")])
+        self.followers = EliasFano(self._keys(rank, followers), int(self._keys(rank[-1:], followers[-1:])[0]) if len(followers) else 1)
+        (self.codes,) = mapped([codes])
 
-    def codes_of(self, contexts: np.ndarray, which: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """The quantised probability of follower keys[i] in contexts[which[i]]; 0 if it was never seen."""
+    def _keys(self, rank: np.ndarray, followers: np.ndarray) -> np.ndarray:
+        return followers if self.bits == 64 else (rank.astype(U64) << U64(self.bits)) | followers
+
+    def search(self, contexts: np.ndarray, followers: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For follower i of contexts[which[i]]: its place or where it would be, and whether it is there.
+
+        which counts for more than one context; a level of one context takes all followers to be its own.
+        """
         rank, known = self.contexts.successor(contexts)
         begin = np.zeros(len(contexts), dtype=np.int64)
         close = begin.copy()
         if known.any():
             begin[known] = self.pointers.access(rank[known]).astype(np.int64)
             close[known] = self.pointers.access(rank[known] + 1).astype(np.int64)
-        out = np.zeros(len(keys), dtype="<u2")
-        ask = np.flatnonzero(known[which])
-        at, found = self.followers.successor((rank[which[ask]].astype(U64) << U64(FOLLOWER_BITS)) | keys[ask])
-        own = which[ask]
-        found &= (at >= begin[own]) & (at < close[own])
-        out[ask[found]] = self.codes[at[found]]
-        return out
-
-
-def probability(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes > 0, 10.0 ** ((codes.astype(np.float64) - 1) / (LEVELS - 1) * FLOOR - FLOOR), 0.0)
+        if self.bits == 64:
+            at, found = self.followers.successor(followers)
+            return at, found
+        own = which
+        fits = (followers >> U64(self.bits)) == 0
+        at, found = self.followers.successor(self._keys(rank[own], np.where(fits, followers, U64((1 << self.bits) - 1))))
+        return at, found & fits & known[own] & (at >= begin[own]) & (at < close[own])

@@ -1,176 +1,261 @@
-"""A smoothed bigram model of the corpus in Elias-Fano tries, and the log probability of every text under it.
+"""A smoothed trigram model of the corpus in Elias-Fano tries, and the log probability of every text under it.
 
-Batches of documents ask shards of the vocabulary for counts, then shards of the bigrams for probabilities
-(tessera.llm.batches). A bigram shard builds the trie of its training bigrams and answers by successor searches in it.
-Keys of one context are dealt to several shards, so a context that follows or precedes much of the corpus does not fill one.
+Batches of documents ask shards of the trie (tessera.llm.batches), one level after the other: words, bigrams, trigrams. A
+shard merges what all batches counted, builds its part of the level and answers by successor searches in it: the count, the
+quantised probability, and a number by which the next level refers to the node. Words are told apart by 128 bits of hash and
+numbered from the most frequent on, so followers of a context are small numbers. A context that holds more than a shard's
+share of the corpus is dealt to several shards by its followers.
 
-P(w | v) = count(v w) / (count(v) + m) + m / (count(v) + m) * P(w) with m = MASS * sqrt(count(v) + 1), and
-P(w) = (count(w) - DISCOUNT) / N, or DISCOUNT * V / N for the unknown word: both sum to one. The smoothed first term is
-what the trie keeps, quantised.
+P1(w) = (count(w) - DISCOUNT) / N, or DISCOUNT * V / N for the unknown word. A longer context c of count k has
+P(w | c) = count(c w) / (k + m) + m / (k + m) * P(w | c without its first word) with m = MASS * sqrt(k + 1). All sum to one. The
+first terms, and count(w) - DISCOUNT, are what the levels keep, quantised.
 """
 
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm import batches, words
-from tessera.llm.elias_fano import FOLLOWER_BITS, Trie, probability
+from tessera.llm.elias_fano import Level, quantised, value
 
 U64 = np.uint64
-#: Hashes of the marks before the first and after the last word, the weight of P(w) in a context, and the discount.
-BEGIN, END = U64((1 << 64) - 1), U64(0x0E4D)
-MASS, DISCOUNT = 10.0, 0.75
-SPLIT = 8  # shards of one context at most
-
-
-def _tokens(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(token hashes of all texts, each with its end; bound)."""
-    parts, counts = [], []
-    for _, _, data, offsets in words.texts(rows.column("text")):
-        w = words.split(data, offsets, lower=True)
-        parts.append(np.insert(np.minimum(w.hashes(), BEGIN - U64(1)), w.bound[1:], END))
-        counts.append(np.diff(w.bound) + 1)
-    bound = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1)
-    return np.concatenate(parts) if parts else np.zeros(0, U64), bound.astype(np.int64)
+#: The weight of the shorter context for contexts of one and two words, and the discount of a word's count.
+MASS, DISCOUNT = (10.0, 10.0), 0.75
+#: The largest count minus the discount that level one can tell from larger ones.
+TOP = 1e12
+#: Any odd number with well mixed bits.
+ODD = U64(0x9E3779B97F4A7C15)
 
 
 def _held_out(ids: list, divisor: int = 7, which: int = 2) -> np.ndarray:
     return np.array([i is not None and zlib.crc32(str(i).encode()) % divisor == which for i in ids], dtype=bool)
 
 
-def _vocabulary(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bound, whether each token trains, vocabulary, each token's place in it, training counts)."""
-    tokens, bound = _tokens(rows)
-    trains = np.repeat(~_held_out(rows.column("doc_id").to_pylist()), np.diff(bound))
-    own, place = np.unique(tokens, return_inverse=True)
-    return bound, trains, own, place, np.bincount(place[trains], minlength=len(own))
-
-
-def _shards_of(own: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's part of the ascending hashes begins."""
-    return np.searchsorted(own, [U64((k << 64) // shards) for k in range(shards)] if shards > 1 else [U64(0)])
-
-
-def _ask_words(rows: pa.Table, shards: int) -> list[tuple[int, bytes]]:
-    _, _, own, _, count = _vocabulary(rows)
-    cuts = [*_shards_of(own, shards), len(own)]
+@dataclass
+class Batch:
+    """tokens: the words of all texts, each text followed by its end, as places in `key` (ascending 128-bit hashes)."""
+
+    tokens: np.ndarray
+    bound: np.ndarray
+    key: np.ndarray
+    trains: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> Batch:
+        index: dict[bytes, int] = {b"": 0}  # no word is empty, so this is the end
+        parts, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for _, _, data, offsets in words.texts(rows.column("text")):
+            w = words.split(data, offsets, lower=True)
+            codes, own = w.distinct()
+            place = np.fromiter((index.setdefault(x, len(index)) for x in own), np.int64, len(own))
+            parts.append(np.insert(place[codes], w.bound[1:], 0))
+            counts.append(np.diff(w.bound) + 1)
+        bound = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        key = words.digests(list(index))
+        order = np.lexsort([key[:, 1], key[:, 0]])  # the same in each pass, whatever the order of the rows
+        new = np.empty(len(order), dtype=np.int64)
+        new[order] = np.arange(len(order))
+        trains = np.repeat(~_held_out(rows.column("doc_id").to_pylist()), np.diff(bound))
+        return cls(new[np.concatenate(parts)], bound, key[order], trains)
+
+
+def _word_cuts(batch: Batch, shards: int) -> list[int]:
+    return [*np.searchsorted(batch.key[:, 0], np.array([(k << 64) // shards for k in range(shards)], dtype=U64)).tolist(), len(batch.key)]
+
+
+def _ask_words(batch: Batch, shards: int) -> list[tuple[int, bytes]]:
+    count = np.bincount(batch.tokens[batch.trains], minlength=len(batch.key)).astype("<u4")
+    cuts = _word_cuts(batch, shards)
     out = []
-    for s in range(shards):  # an empty question too: each answer holds its shard's part of N and V
-        key = batches.pack_sorted(own[cuts[s] : cuts[s + 1]])
-        out.append((s, len(key).to_bytes(8, "little") + key + batches.pack(count[cuts[s] : cuts[s + 1]].astype("<u4"))))
+    for s, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):  # an empty question too: each answer holds its shard's part of N and V
+        out.append((s, batches.join([batches.pack_sorted(batch.key[a:z, 0]), batches.pack(batch.key[a:z, 1]), batches.pack(count[a:z])])))
     return out
 
 
-def _count_words(asked: dict[int, bytes]) -> dict[int, bytes]:
-    parts = []
-    for g, body in asked.items():
-        n = int.from_bytes(body[:8], "little")
-        parts.append((g, batches.unpack_sorted(body[8 : 8 + n]), batches.unpack(body[8 + n :], "<u4")))
-    own, place = np.unique(np.concatenate([k for _, k, _ in parts]), return_inverse=True)
-    count = np.bincount(place, np.concatenate([c for _, _, c in parts]).astype(np.float64), minlength=len(own)).astype("<i8")
+def _answer_words(shard: int, asked: dict[int, bytes], shards: int) -> dict[int, bytes]:
+    given = {g: batches.parts(b) for g, b in asked.items()}
+    first = np.concatenate([batches.unpack_sorted(p[0]) for p in given.values()])
+    second = np.concatenate([batches.unpack(p[1], "<u8") for p in given.values()])
+    order = np.lexsort([second, first])
+    new = np.ones(len(order), dtype=np.int64)
+    new[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    count = np.bincount(place, np.concatenate([batches.unpack(p[2], "<u4") for p in given.values()]).astype(np.float64), minlength=int(new.sum())).astype("<i8")
+    rank = np.empty(len(count), dtype="<i8")
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
+    # the first level: its one context is the empty one, whose followers are the hashes of the words
+    lead = first[order][new == 1]
+    level = Level(np.zeros(1, dtype=U64), lead, np.zeros(len(lead), dtype=np.int64), quantised(np.maximum(count - DISCOUNT, 0) / TOP))
+    at, _ = level.search(np.zeros(1, dtype=U64), lead, np.zeros(len(lead), dtype=np.int64))
+    code = level.codes[at + np.arange(len(lead)) - np.searchsorted(lead, lead)]  # words with equal first halves stand one after the other
+    node = (rank * shards + shard + 1).astype("<u8")  # 0 is the mark before a text
     head = np.array([count.sum(), (count > 0).sum()], dtype="<i8").tobytes()
     out, at = {}, 0
-    for g, k, _ in parts:
-        out[g] = head + batches.pack(count[place[at : at + len(k)]])
-        at += len(k)
+    for g, p in given.items():
+        mine = place[at : at + len(batches.unpack(p[2], "<u4"))]
+        at += len(mine)
+        out[g] = batches.join([head, batches.pack(count[mine]), batches.pack(node[mine]), batches.pack(code[mine])])
     return out
 
 
-def _known(got: dict[int, bytes], shards: int) -> tuple[int, int, np.ndarray]:
-    """(N, V, the count of each word of the batch)."""
-    heads = np.array([np.frombuffer(got[s], "<i8", 2) for s in range(shards)])
-    return int(heads[:, 0].sum()), int(heads[:, 1].sum()), np.concatenate([batches.unpack(got[s][16:], "<i8") for s in range(shards)])
-
-
-def _bigrams(bound: np.ndarray, trains: np.ndarray, own: np.ndarray, place: np.ndarray, shards: int) -> tuple:
-    """(pairs, each token's pair, training counts, order by shard, bounds of shards): a pair is context * (V + 1) + word, the context V being the begin."""
-    before = np.empty(len(place), dtype=np.int64)
-    before[1:] = place[:-1]
-    before[bound[:-1]] = len(own)
-    wide = len(own) + 1
-    pairs, back = np.unique(before * wide + place, return_inverse=True)
-    count = np.bincount(back[trains], minlength=len(pairs))
-    hashes = np.append(own, BEGIN)
-    shard = (words.mix(hashes[pairs // wide] + (hashes[pairs % wide] % U64(SPLIT)) * U64(words.BASES[1])) % U64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    return pairs, back, count, order, np.searchsorted(shard[order], np.arange(shards + 1))
-
-
-def _ask_bigrams(g: int, rows: pa.Table, got: dict[int, bytes], word_shards: int, shards: int) -> list[tuple[int, bytes]]:
-    bound, trains, own, place, _ = _vocabulary(rows)
-    n, v, known = _known(got, word_shards)
-    pairs, _, count, order, cuts = _bigrams(bound, trains, own, place, shards)
-    wide = len(own) + 1
-    hashes = np.append(own, BEGIN)
-    texts = known[np.searchsorted(own, END)] if len(own) else 0
-    total = np.append(known, texts)  # a text begins as often as one ends
-    out = [(-1 - g, np.array([n, v], dtype="<i8").tobytes() + batches.pack(known.astype("<i8")))]
-    for s in range(shards):
-        mine = order[cuts[s] : cuts[s + 1]]
-        if not len(mine):
-            continue
-        context = pairs[mine] // wide
-        new = np.ones(len(mine), dtype=bool)
-        new[1:] = context[1:] != context[:-1]
-        keys = ((np.cumsum(new) - 1).astype(U64) << U64(FOLLOWER_BITS)) | (hashes[pairs[mine] % wide] >> U64(64 - FOLLOWER_BITS))
-        lead = context[new]
-        body = [batches.pack_sorted(hashes[lead]), batches.pack(total[lead].astype("<u4")), batches.pack_sorted(keys), batches.pack(count[mine].astype("<u4"))]
-        out.append((s, np.array([len(b) for b in body], dtype="<i8").tobytes() + b"".join(body)))
-    return out
-
+class Known:
+    """What the shards of words answered to a batch, and the tokens renumbered by node: 0 the mark before a text, then trained words in the order of their nodes, then others."""
+
+    def __init__(self, batch: Batch, got: dict[int, bytes], shards: int) -> None:
+        given = [batches.parts(got[s]) for s in range(shards)]
+        heads = np.array([np.frombuffer(p[0], "<i8") for p in given])
+        self.n, self.v = heads.sum(axis=0).tolist()
+        count, node, code = (np.concatenate([batches.unpack(p[k], kind) for p in given]) for k, kind in ((1, "<i8"), (2, "<u8"), (3, "<u2")))
+        order = np.lexsort([node, count == 0])
+        turn = np.empty(len(order), dtype=np.int64)
+        turn[order] = np.arange(1, len(order) + 1)
+        self.count = np.concatenate([[0], count[order]])
+        self.node = np.concatenate([np.zeros(1, dtype=U64), node[order]])
+        alone = np.where(self.count[1:] > 0, value(code[order]) * TOP, DISCOUNT * self.v) / max(1, self.n)
+        self.alone = np.concatenate([[1.0], alone if self.n else np.ones(len(order))])
+        self.end = int(turn[np.flatnonzero((batch.key == words.digests([b""])[0]).all(axis=1))[0]])
+        self.total = self.count.copy()
+        self.total[0] = self.count[self.end]  # a text begins as often as one ends
+        self.tokens = turn[batch.tokens]
+        self.wide = len(self.count)
+
+
+class Asked:
+    """The distinct (context, token) of a batch: the training count of each, which are asked for, and where their answers are.
+
+    context: a number for each token whose contexts `node` and `total` describe, in the order of their nodes; -1 for none.
+    """
 
-def _read(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    size = np.frombuffer(body, "<i8", 4)
-    at = [32, *(32 + np.cumsum(size)).tolist()]
-    a, b, c, d = (body[x:y] for x, y in zip(at, at[1:], strict=False))
-    return batches.unpack_sorted(a), batches.unpack(b, "<u4"), batches.unpack_sorted(c), batches.unpack(d, "<u4")
+    def __init__(self, known: Known, batch: Batch, context: np.ndarray, node: np.ndarray, total: np.ndarray, shards: int) -> None:
+        held = np.flatnonzero(context >= 0)
+        pairs, back = np.unique(context[held] * known.wide + known.tokens[held], return_inverse=True)
+        self.back = np.full(len(context), -1, dtype=np.int64)
+        self.back[held] = back
+        self.own, self.follower = np.divmod(pairs, known.wide)
+        self.node, self.total = node, total
+        self.count = np.bincount(back[batch.trains[held]], minlength=len(pairs))
+        ask = np.flatnonzero((total[self.own] > 0) & (known.count[self.follower] > 0))
+        ways = np.clip(total[self.own[ask]] * shards // max(1, known.n), 1, shards).astype(U64)
+        word = known.node[self.follower[ask]]
+        shard = (words.mix(node[self.own[ask]] * ODD + words.mix(word) % ways) % U64(shards)).astype(np.uint16 if shards < 1 << 16 else np.int64)
+        turn = np.argsort(shard, kind="stable")
+        self.order, self.word = ask[turn], word[turn]
+        self.cuts = np.searchsorted(shard[turn], np.arange(shards + 1))
+
+    def questions(self) -> list[tuple[int, bytes]]:
+        out = []
+        for s, (a, z) in enumerate(zip(self.cuts.tolist(), self.cuts[1:].tolist(), strict=False)):
+            if a == z:
+                continue
+            mine, word = self.order[a:z], self.word[a:z]
+            lead = np.flatnonzero(np.diff(self.own[mine], prepend=-1))
+            rank = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, z - a))).astype(U64)
+            bits = int(word.max()).bit_length()
+            heads = self.own[mine[lead]]
+            out.append((s, batches.join([bytes([bits]), batches.pack_sorted(self.node[heads]), batches.pack(self.total[heads].astype("<i8")), batches.pack_sorted((rank << U64(bits)) | word), batches.pack(self.count[mine].astype("<u4"))])))
+        return out
+
+    def answers(self, got: dict[int, bytes], level: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(count, probability, node) of each pair, zero where it was never trained."""
+        count, part, node = np.zeros(len(self.own), dtype=np.int64), np.zeros(len(self.own)), np.zeros(len(self.own), dtype=U64)
+        for s in np.flatnonzero(np.diff(self.cuts)).tolist():
+            p = batches.parts(got[level * shards + s])
+            mine = self.order[self.cuts[s] : self.cuts[s + 1]]
+            part[mine] = value(batches.unpack(p[0], "<u2"))
+            if len(p) > 1:
+                count[mine] = batches.unpack(p[1], "<u4")
+                node[mine] = batches.unpack_sorted(p[2]) * U64(shards) + U64(s + 1)
+        return count, part, node
+
+
+def _answer(asked: dict[int, bytes], mass: float, last: bool) -> dict[int, bytes]:
+    """Build a shard's part of a level below the first, and search it for what is asked."""
+    given = {}
+    for g, b in asked.items():
+        bits, heads, total, keys, count = batches.parts(b)
+        given[g] = (bits[0], batches.unpack_sorted(heads), batches.unpack(total, "<i8"), batches.unpack_sorted(keys), batches.unpack(count, "<u4"))
+    bits = max(p[0] for p in given.values())
+    contexts, first = np.unique(np.concatenate([p[1] for p in given.values()]), return_index=True)
+    total = np.concatenate([p[2] for p in given.values()])[first].astype(np.float64)
+    keys = []
+    for b, heads, _, own, _ in given.values():
+        rank = np.searchsorted(contexts, heads).astype(U64)[(own >> U64(b)).astype(np.int64)]
+        keys.append((rank << U64(bits)) | (own & U64((1 << b) - 1)))
+    keys, place = np.unique(np.concatenate(keys), return_inverse=True)
+    count = np.bincount(place, np.concatenate([p[4] for p in given.values()]).astype(np.float64), minlength=len(keys))
+    seen = count > 0
+    rank = (keys >> U64(bits)).astype(np.int64)
+    low = keys & U64((1 << bits) - 1)
+    of = total[rank[seen]]
+    level = Level(contexts, low[seen], rank[seen], quantised(count[seen] / (of + mass * np.sqrt(of + 1))))
+    at, found = level.search(contexts, low, rank)
+    code = np.where(found, level.codes[np.minimum(at, len(level.codes) - 1)], 0).astype("<u2") if len(level.codes) else np.zeros(len(keys), dtype="<u2")
+    out, start = {}, 0
+    for g, p in given.items():
+        mine = place[start : start + len(p[3])]
+        start += len(mine)
+        own = [batches.pack(code[mine])]
+        out[g] = batches.join(own if last else [*own, batches.pack(count[mine].astype("<u4")), batches.pack_sorted(at[mine].astype(U64))])
+    return out
 
 
-def _answer_bigrams(shard: int, asked: dict[int, bytes], mass: float) -> dict[int, bytes]:
-    if shard < 0:  # the batch's own counts of words, on their way to its last step
-        return asked
-    parts = {g: _read(b) for g, b in asked.items()}
-    contexts, first = np.unique(np.concatenate([p[0] for p in parts.values()]), return_index=True)
-    total = np.concatenate([p[1] for p in parts.values()])[first].astype(np.float64)
-    low = U64((1 << FOLLOWER_BITS) - 1)
-    keys = np.concatenate([(np.searchsorted(contexts, p[0]).astype(U64)[(p[2] >> U64(FOLLOWER_BITS)).astype(np.int64)] << U64(FOLLOWER_BITS)) | (p[2] & low) for p in parts.values()])
-    count = np.concatenate([p[3] for p in parts.values()])
-    seen = count > 0
-    keys, place = np.unique(keys[seen], return_inverse=True)
-    count = np.bincount(place, count[seen].astype(np.float64), minlength=len(keys))
-    rank = (keys >> U64(FOLLOWER_BITS)).astype(np.int64)
-    trie = Trie(contexts, keys, count / (total[rank] + mass * np.sqrt(total[rank] + 1)))
-    return {g: batches.pack(trie.codes_of(p[0], (p[2] >> U64(FOLLOWER_BITS)).astype(np.int64), p[2] & low)) for g, p in parts.items()}
-
-
-def _score(g: int, rows: pa.Table, got: dict[int, bytes], shards: int, mass: float) -> dict[str, np.ndarray]:
-    bound, trains, own, place, _ = _vocabulary(rows)
-    n, v = np.frombuffer(got[-1 - g], "<i8", 2).tolist()
-    known = batches.unpack(got[-1 - g][16:], "<i8").astype(np.float64)
-    pairs, back, _, order, cuts = _bigrams(bound, trains, own, place, shards)
-    codes = np.zeros(len(pairs), dtype="<u2")
-    for s in range(shards):
-        if cuts[s + 1] > cuts[s]:
-            codes[order[cuts[s] : cuts[s + 1]]] = batches.unpack(got[s], "<u2")
-    wide = len(own) + 1
-    total = np.append(known, known[np.searchsorted(own, END)] if len(own) else 0.0)[pairs // wide]
-    alone = np.where(known > 0, known - DISCOUNT, DISCOUNT * v) / n if n else np.ones(len(known))
-    m = mass * np.sqrt(total + 1)
-    joint = probability(codes) + m / (total + m) * alone[pairs % wide]
-    return {
-        "n_tokens": np.diff(bound),
-        "n_known": words.sums(known[place] > 0, bound).astype(np.int64),
-        "train_tokens": np.full(len(bound) - 1, n, dtype=np.int64),
-        "base_score": words.sums(np.log10((known + 1) / (n + v + 1))[place], bound),
-        "score": words.sums(np.log10(joint)[back], bound),
-    }
-
-
-def lm_scores(docs: DataFrame, carry: tuple[str, ...] = (), mass: float = MASS) -> DataFrame:
+def _begin(batch: Batch, tokens: np.ndarray) -> np.ndarray:
+    """The token before each one; 0, the mark before a text, for the first."""
+    before = np.empty(len(tokens), dtype=np.int64)
+    before[1:] = tokens[:-1]
+    before[batch.bound[:-1]] = 0
+    return before
+
+
+class Texts:
+    """A batch with what it knows after the first, and then the second, level has answered."""
+
+    def __init__(self, rows: pa.Table, got: dict[int, bytes], shards: int, mass: tuple[float, float]) -> None:
+        self.batch, self.shards, self.mass = Batch.of(rows), shards, mass
+        self.known = Known(self.batch, got, shards)
+        self.two = Asked(self.known, self.batch, _begin(self.batch, self.known.tokens), self.known.node, self.known.total, shards)
+
+    def extend(self, got: dict[int, bytes]) -> None:
+        two, known = self.two, self.known
+        count, part, node = two.answers(got, 1, self.shards)
+        self.pair = part + self._rest(known.total[two.own], 0) * known.alone[two.follower]
+        order = np.lexsort([node, count == 0])
+        turn = np.empty(len(order), dtype=np.int64)
+        turn[order] = np.arange(len(order))
+        before = np.full(len(known.tokens), -1, dtype=np.int64)
+        before[1:] = turn[two.back[:-1]]
+        before[self.batch.bound[:-1]] = -1
+        self.left = count[order]
+        self.three = Asked(known, self.batch, before, node[order], self.left, self.shards)
+
+    def _rest(self, total: np.ndarray, k: int) -> np.ndarray:
+        m = self.mass[k] * np.sqrt(total + 1)
+        return m / (total + m)
+
+    def score(self, got: dict[int, bytes]) -> dict[str, np.ndarray]:
+        known, bound, three = self.known, self.batch.bound, self.three
+        _, part, _ = three.answers(got, 2, self.shards)
+        each = self.pair[self.two.back]
+        longer = np.flatnonzero(three.back >= 0)
+        own = three.back[longer]
+        each[longer] = part[own] + self._rest(self.left[three.own[own]], 1) * each[longer]
+        count = known.count[known.tokens]
+        return {
+            "n_tokens": np.diff(bound),
+            "n_known": words.sums(count > 0, bound).astype(np.int64),
+            "train_tokens": np.full(len(bound) - 1, known.n, dtype=np.int64),
+            "base_score": words.sums(np.log10((count + 1) / (known.n + known.v + 1)), bound),
+            "score": words.sums(np.log10(each), bound),
+        }
+
+
+def lm_scores(docs: DataFrame, carry: tuple[str, ...] = (), mass: tuple[float, float] = MASS) -> DataFrame:
     """doc_id, the carried columns, held_out, n_tokens, n_known, train_tokens, base_score and score, a row for each row of docs.
 
     Tokens are the words of the text in lower case (A-Z), then one end; a null text is empty. The model learns from the
@@ -178,19 +263,47 @@ def lm_scores(docs: DataFrame, carry: tuple[str, ...] = (), mass: float = MASS)
     each. An empty table gives no rows; without training documents every probability is one. Counts
     cover the whole corpus and whole texts. Columns that are not carried are not read; carried ones must not clash.
     """
-    rows, count, total = batches.deal(docs, carry)
-    word_shards = max(8, total >> 24)
-    shards = max(8, total >> 23)
-    words_known = batches.answer(batches.ask(rows, lambda g, t: _ask_words(t, word_shards)), lambda s, asked: _count_words(asked))
-    asked = batches.ask(rows, lambda g, t, got: _ask_bigrams(g, t, got, word_shards, shards), words_known)
-    answered = batches.answer(asked, lambda s, asked: _answer_bigrams(s, asked, mass))
+    rows, total = batches.deal(docs, carry)
+    shards = batches.shards(docs, total)
+
+    def bigrams(g: int, t: pa.Table, got: dict[int, bytes]) -> list[tuple[int, bytes]]:
+        return [(-1 - g, _kept(got)), *((shards + s, b) for s, b in Texts(t, got, shards, mass).two.questions())]
+
+    def trigrams(g: int, t: pa.Table, got: dict[int, bytes]) -> list[tuple[int, bytes]]:
+        got = _given(got)
+        texts = Texts(t, got, shards, mass)
+        texts.extend(got)
+        return [(-1 - g, _kept(got)), *((2 * shards + s, b) for s, b in texts.three.questions())]
+
+    one = batches.answer(batches.ask(rows, lambda g, t: _ask_words(Batch.of(t), shards)), lambda s, asked: _answer_words(s, asked, shards))
+    two = batches.answer(batches.ask(rows, bigrams, one), lambda s, asked: _answer(asked, mass[0], last=False))
+    three = batches.answer(batches.ask(rows, trigrams, two), lambda s, asked: _answer(asked, mass[1], last=True))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        g = key[0].as_py()
+        left, got = batches.opened(left), _given(batches.bodies(right))
+        texts = Texts(left, got, shards, mass)
+        texts.extend(got)
         out = {c: left.column(c) for c in ("doc_id", *carry)}
         out["held_out"] = pa.array(_held_out(left.column("doc_id").to_pylist()))
-        return pa.table(out | {k: pa.array(x) for k, x in _score(g, left, batches.bodies(right), shards, mass).items()})
+        return pa.table(out | {k: pa.array(x) for k, x in texts.score(got).items()})
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = [*(f"`{c}` {kinds[c]}" for c in ("doc_id", *carry)), "held_out boolean", "n_tokens long", "n_known long", "train_tokens long", "base_score double", "score double"]
-    return rows.groupBy("g").cogroup(answered.groupBy("g")).applyInArrow(run, ", ".join(schema))
+    return rows.groupBy("g").cogroup(three.groupBy("g")).applyInArrow(run, ", ".join(schema))
+
+
+def _kept(got: dict[int, bytes]) -> bytes:
+    """All answers so far, on their way to the batch's next step."""
+    return batches.join([np.array(list(got), dtype="<i8").tobytes(), *got.values()])
+
+
+def _given(got: dict[int, bytes]) -> dict[int, bytes]:
+    """Answers with those kept from earlier steps, by level and shard."""
+    out = {}
+    for s, body in got.items():
+        if s >= 0:
+            out[s] = body
+        else:
+            names, *bodies = batches.parts(body)
+            out |= dict(zip(np.frombuffer(names, "<i8").tolist(), bodies, strict=True))
+    return out

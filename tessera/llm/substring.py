@@ -2,7 +2,8 @@
 
 First pass: every batch of documents sends the cells of its windows of words to the merged sketch, which overestimates
 counts; it learns which of its cells other batches hit too. Second pass: only windows that the sketch estimates to be
-repeated, in the batch or elsewhere, are grouped exactly, by 128 bits of hash; none that is repeated can be lost. Third
+repeated, in the batch or elsewhere, are grouped exactly, by 128 bits of hash (of the XXH3-128 of each word); none that is
+repeated can be lost. Third
 pass: words covered by a window that also starts in a smaller doc_id go.
 """
 
@@ -12,28 +13,31 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tessera.llm import batches, words
 
 U64 = np.uint64
 DEPTH = 2
-#: Cells of one shard of a sketch row: the bound of a merging task's memory (one byte a cell).
+#: Odd multipliers from which the weights of a window's words are made: any two odd numbers with well mixed bits.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Least cells of one shard of a sketch row (one byte each in a merging task); with the root of the input they become more.
 SHARD_BITS = 22
 
 
 def _windows(rows: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(order, bound, first, second): rows in the order of doc_id, each one's range of windows, two hashes of each window."""
-    ids = rows.column("doc_id").combine_chunks()
-    order = np.lexsort([np.asarray(ids.fill_null(0)), np.asarray(ids.is_null())])
+    order = np.asarray(pc.sort_indices(rows.select(["doc_id", "text"]), [("doc_id", "ascending"), ("text", "ascending")], null_placement="at_end"))
     text = rows.column("text").take(pa.array(order))
     counts, one, two = [], [], []
-    weights = [words.mix(np.arange(1, size + 1, dtype=U64) * U64(b)) | U64(1) for b in words.BASES]
+    weights = [words.mix(np.arange(1, size + 1, dtype=U64) * U64(b)) | U64(1) for b in BASES]
     for _, _, data, offsets in words.texts(text):
         w = words.split(data, offsets, lower=False)
         n = np.diff(w.bound)
         counts.append(np.maximum(0, n - size + 1))
-        hashes = [w.hashes(b) for b in words.BASES]
+        codes, own = w.distinct()
+        hashes = words.digests(own)[codes].T
         total = max(0, len(w.start) - size + 1)
         mixed = []
         for h, c in zip(hashes, weights, strict=True):
@@ -65,18 +69,18 @@ def _by_shard(values: np.ndarray, shift: int) -> list[tuple[int, np.ndarray]]:
     return [(int(part[0] >> U64(shift)), part) for part in np.split(values, cuts)]
 
 
-def _ask_cells(rows: pa.Table, size: int, bits: int) -> list[tuple[int, bytes]]:
+def _ask_cells(rows: pa.Table, size: int, bits: int, low: int) -> list[tuple[int, bytes]]:
     _, _, first, second = _windows(rows, size)
     out = []
     for cells in _cells(first, second, bits):
-        for shard, part in _by_shard(np.unique(cells), SHARD_BITS):
-            out.append((shard, batches.pack_sorted(part & U64((1 << SHARD_BITS) - 1))))
+        for shard, part in _by_shard(np.unique(cells), low):
+            out.append((shard, batches.pack_sorted(part & U64((1 << low) - 1))))
     return out
 
 
-def _merge(asked: dict[int, bytes]) -> dict[int, bytes]:
+def _merge(asked: dict[int, bytes], low: int) -> dict[int, bytes]:
     """For each batch, a bit for each of its cells: whether another batch hits it too."""
-    count = np.zeros(1 << SHARD_BITS, dtype=np.uint8)
+    count = np.zeros(1 << low, dtype=np.uint8)
     cells = {g: batches.unpack_sorted(b) for g, b in asked.items()}
     for c in cells.values():
         count[c] = np.minimum(count[c] + 1, 2)  # a batch sends a cell once
@@ -99,12 +103,12 @@ def _ids(rows: pa.Table, order: np.ndarray) -> np.ndarray:
     return np.asarray(rows.column("doc_id").combine_chunks().cast(pa.int64()).fill_null(np.iinfo(np.int64).max))[order]
 
 
-def _ask_windows(rows: pa.Table, got: dict[int, bytes], size: int, bits: int, shards: int) -> list[tuple[int, bytes]]:
+def _ask_windows(rows: pa.Table, got: dict[int, bytes], size: int, bits: int, low: int, shards: int) -> list[tuple[int, bytes]]:
     order, bound, first, second = _windows(rows, size)
     maybe = np.ones(len(first), dtype=bool)
     for cells in _cells(first, second, bits):
         own, back, count = np.unique(cells, return_inverse=True, return_counts=True)
-        flags = [np.unpackbits(batches.unpack(got[s], "u1"), count=len(part)) for s, part in _by_shard(own, SHARD_BITS)]
+        flags = [np.unpackbits(batches.unpack(got[s], "u1"), count=len(part)) for s, part in _by_shard(own, low)]
         maybe &= ((np.concatenate(flags) if flags else np.zeros(0)) > 0)[back] | (count > 1)[back]
     at = np.flatnonzero(maybe)
     sort, starts = _groups(first[at], second[at])
@@ -179,16 +183,18 @@ def dedup_substrings(docs: DataFrame, size: int = 13, carry: tuple[str, ...] = (
     `whole` a text that loses nothing stays as it is, white space included. A null text has
     no words and an empty kept text; texts shorter than a window stay whole. A null doc_id counts as larger than any
     other; rows with one doc_id don't remove from each other. An empty table gives no rows. Windows of very long texts
-    are all used. Columns that are not carried are not read; a carried column must not have a name given above.
+    are all used. doc_id must be an integer; equal windows have equal XXH3-128 hashes of their words. Columns that are not carried are not read; a carried column must not have a name given above.
     """
-    rows, _, total = batches.deal(docs, carry)
+    rows, total = batches.deal(docs, carry)
     bits = max(SHARD_BITS, int(total).bit_length())  # about thirteen cells in both rows for each window
-    shards = max(16, total >> 23)
-    cells = batches.answer(batches.ask(rows, lambda g, t: _ask_cells(t, size, bits)), lambda s, asked: _merge(asked))
-    asked = batches.ask(rows, lambda g, t, got: _ask_windows(t, got, size, bits, shards), cells)
+    low = min(bits, max(SHARD_BITS, batches.unit(total, 0).bit_length()))
+    shards = batches.shards(docs, total)
+    cells = batches.answer(batches.ask(rows, lambda g, t: _ask_cells(t, size, bits, low)), lambda s, asked: _merge(asked, low))
+    asked = batches.ask(rows, lambda g, t, got: _ask_windows(t, got, size, bits, low, shards), cells)
     settled = batches.answer(asked, lambda s, asked: _settle(asked))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        left = batches.opened(left)
         order, n_words, n_removed, kept = _strip(left, batches.bodies(right), size, whole)
         moved = left.take(pa.array(order))
         out = {"doc_id": moved.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string())}

@@ -8,18 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-#: Odd multipliers of the two byte hashes: any two odd numbers with well mixed bits.
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 U64 = np.uint64
 
 
@@ -33,15 +31,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(4)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    step = np.full(n, U64(base))
-    step[0] = 1
-    back = np.full(n, U64(pow(base, -1, 1 << 64)))
-    back[0] = 1
-    return np.cumprod(step, dtype=U64), np.cumprod(back, dtype=U64)
-
-
 @dataclass
 class Words:
     """The words of some texts: data[start[i]:end[i]] is word i; text t has the words bound[t] to bound[t + 1] - 1."""
@@ -51,16 +40,30 @@ class Words:
     end: np.ndarray
     bound: np.ndarray
 
-    def hashes(self, base: int = BASES[0]) -> np.ndarray:
-        """A 64-bit hash of each word's bytes: a polynomial modulo 2**64, mixed with the length."""
-        n = len(self.data)
+    def distinct(self) -> tuple[np.ndarray, list[bytes]]:
+        """(the number of each word, the distinct words by number); words are told apart by their bytes."""
         if not len(self.start):
-            return np.zeros(0, dtype=U64)
-        up, down = _powers(base, 1 << max(16, int(n + 1).bit_length()))
-        total = np.zeros(n + 1, dtype=U64)
-        np.cumsum((self.data.astype(U64) + U64(1)) * up[:n], out=total[1:])
-        h = (total[self.end] - total[self.start]) * down[self.start]
-        return mix(h + (self.end - self.start).astype(U64) * U64(base))
+            return np.zeros(0, dtype=np.int32), []
+        edge = np.zeros(len(self.data) + 1, dtype=np.int8)
+        edge[self.start] += 1
+        edge[self.end] -= 1
+        body = self.data[np.cumsum(edge[:-1], dtype=np.int8) > 0]  # the bytes of all words, one after the other
+        offsets = np.zeros(len(self.start) + 1, dtype=np.int64)
+        np.cumsum(self.end - self.start, out=offsets[1:])
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+        coded = column.dictionary_encode()
+        return np.asarray(coded.indices), coded.dictionary.to_pylist()
+
+    def hashes(self) -> np.ndarray:
+        """The XXH3-64 of each word's bytes."""
+        codes, own = self.distinct()
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, own), dtype=U64, count=len(own))[codes]
+
+
+def digests(own: list[bytes]) -> np.ndarray:
+    """The XXH3-128 of each word in two columns of 64 bits."""
+    out = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, own)), dtype=">u8").astype(U64)
+    return out.reshape(-1, 2)
 
 
 def texts(col: pa.Array | pa.ChunkedArray, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm import ann, bpe, components, decontaminate, elias_fano, licenses, lm_trie, quality, sharding, simhash, substring, toxicity, words
+from tessera.llm import ann, batches, bpe, components, decontaminate, elias_fano, licenses, lm_trie, quality, sharding, simhash, substring, toxicity, words
 
 SF = "/root/testdata/sf0.001"
 #: Columns whose names the operators use inside.
@@ -107,11 +107,12 @@ def test_elias_fano_and_trie():
         q = np.concatenate([v, r.integers(0, top, 500, dtype=np.uint64, endpoint=True)])
         at, found = ef.successor(q)
         assert (ef.access(np.arange(len(v))) == v).all() and (found == np.isin(q, v)).all() and (v[at[found]] == q[found]).all()
-    bits = np.uint64(elias_fano.FOLLOWER_BITS)
-    contexts, keys = np.array([5, 9, 70], np.uint64), np.array([1, 7, 7, 3], np.uint64)
-    trie = elias_fano.Trie(contexts, (np.array([0, 0, 1, 2], np.uint64) << bits) | keys, np.array([0.5, 0.25, 1.0, 1e-3]))
-    codes = trie.codes_of(np.array([5, 6, 9], np.uint64), np.array([0, 0, 1, 2, 2]), np.array([1, 7, 7, 7, 3], np.uint64))
-    assert np.allclose(elias_fano.probability(codes), [0.5, 0.25, 0, 1.0, 0], rtol=1e-3)
+    contexts, followers = np.array([5, 9, 70], np.uint64), np.array([1, 7, 7, 3], np.uint64)
+    trie = elias_fano.Level(contexts, followers, np.array([0, 0, 1, 2]), elias_fano.quantised(np.array([0.5, 0.25, 1.0, 1e-3])))
+    at, found = trie.search(np.array([5, 6, 9], np.uint64), np.array([1, 7, 7, 7, 3, 900], np.uint64), np.array([0, 0, 1, 2, 2, 0]))
+    assert found.tolist() == [True, True, False, True, False, False] and np.allclose(elias_fano.value(trie.codes[at[found]]), [0.5, 0.25, 1.0], rtol=1e-3)
+    one = elias_fano.Level(np.zeros(1, np.uint64), np.array([3, 1 << 63], np.uint64), np.zeros(2, np.int64), np.array([7, 8], "<u2"))
+    assert one.search(np.zeros(1, np.uint64), np.array([3, 4, 1 << 63], np.uint64), np.zeros(3, np.int64))[1].tolist() == [True, False, True]
 
 
 def test_lm_scores_against_dictionaries(spark, edge, empty):
@@ -121,15 +122,23 @@ def test_lm_scores_against_dictionaries(spark, edge, empty):
     train = [d for i, d in docs if not held(i)]
     c = Counter(w for d in train for w in d)
     pair = Counter(z for d in train for z in zip([0] + d[:-1], d))
+    three = Counter(z for d in train for z in zip([0] + d[:-2], d[:-1], d[1:]))
     n, v = sum(c.values()), len(c)
 
     def score(d):
         s = 0.0
-        for a, w in zip([0] + d[:-1], d):
-            k = c[None] if a == 0 else c[a]
-            m = lm_trie.MASS * math.sqrt(k + 1)
+        for j, w in enumerate(d):
+            a = d[j - 1] if j else 0
+            k = c[a] if j else c[None]
+            m = lm_trie.MASS[0] * math.sqrt(k + 1)
             p = (c[w] - lm_trie.DISCOUNT) / n if c[w] else lm_trie.DISCOUNT * v / n
-            s += math.log10(pair[a, w] / (k + m) + m / (k + m) * p)
+            p = pair[a, w] / (k + m) + m / (k + m) * p
+            if j:
+                b = d[j - 2] if j > 1 else 0
+                k = pair[b, a]
+                m = lm_trie.MASS[1] * math.sqrt(k + 1)
+                p = three[b, a, w] / (k + m) + m / (k + m) * p
+            s += math.log10(p)
         return s
 
     want = sorted((str(i), held(i), len(d), sum(c[w] > 0 for w in d), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in d), 4)) for i, d in docs)
@@ -139,6 +148,29 @@ def test_lm_scores_against_dictionaries(spark, edge, empty):
     assert lm_trie.lm_scores(empty).count() == 0
 
 
+def _alike():
+    """Two words of 1,024 bytes whose polynomial hashes modulo 2**64 are equal for every odd base."""
+    one = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_equal_polynomial_hashes_are_told_apart(spark):
+    same = " ".join(f"w{k}" for k in range(12))
+    data = [(i, f"{same} {w}") for i, w in zip((4, 9), _alike())]
+    assert all(zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in data)
+    got = lm_trie.lm_scores(_docs(spark, data)).collect()
+    c = Counter({f"w{k}": 2 for k in range(12)} | {None: 2})
+    want = (sum(math.log10((k + 1) / (28 + 15 + 1)) for k in c.values()) + math.log10(2 / 44)) if len(c) else 0
+    assert all(abs(r.base_score - want) < 1e-9 and r.train_tokens == 28 for r in got)
+    assert all(r.n_removed == 0 for r in substring.dedup_substrings(_docs(spark, data)).collect())
+
+
+def test_packed_questions_grow_in_proportion():
+    for total in (10**9, 10**11, 10**13, 10**14):
+        rows = (total / batches.unit(total, 12 << 20)) * (total / batches.unit(total, 8 << 20))
+        assert rows <= 1.01 * total / batches.PACKET
+
+
 # ---- 3 and 5 --------------------------------------------------------------------------------------
 @pytest.mark.parametrize("scores, name", [(toxicity.toxicity_scores, "toxicity_score"), (quality.quality_scores, "quality_score")])
 def test_classifiers_on_edges(spark, edge, empty, scores, name):
