@@ -39,8 +39,8 @@ def shards(docs: DataFrame, total: int, least: int = 8 << 20) -> int:
     return max(scratch.shuffle_width(docs.sparkSession), total // unit(total, least))
 
 
-def deal(docs: DataFrame, columns: tuple[str, ...] = (), target: int = 12 << 20) -> tuple[DataFrame, int]:
-    """(packed tables (g, body) of doc_id, text and the carried columns; all bytes of text).
+def deal(docs: DataFrame, columns: tuple[str, ...] = (), target: int = 12 << 20) -> tuple[DataFrame, int, int]:
+    """(packed tables (g, body) of doc_id, text and the carried columns; the number of batches; all bytes of text).
 
     A batch g holds about `target` bytes of text, or unit(). Rows go by a hash of doc_id and text.
     """
@@ -60,7 +60,7 @@ def deal(docs: DataFrame, columns: tuple[str, ...] = (), target: int = 12 << 20)
         if held:
             yield _packed(held)
 
-    return given.mapInArrow(run, "g long, body binary").repartition(count, "g"), total
+    return given.mapInArrow(run, "g long, body binary").repartition(count, "g"), count, total
 
 
 def _packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -136,13 +136,12 @@ def bodies(got: pa.Table) -> dict[int, bytes]:
     return dict(zip(got.column("shard").to_pylist(), got.column("body").to_pylist(), strict=True))
 
 
-def answer(asked: DataFrame, fn: Callable[[int, dict[int, bytes]], dict[int, bytes]]) -> DataFrame:
-    """fn(shard, {g: question}) gives {g: answer}; one call for each shard. What a batch sends to shard -1 - g is its own again."""
+def answer(asked: DataFrame, count: int, fn: Callable[[int, dict[int, bytes]], dict[int, bytes]]) -> DataFrame:
+    """fn(shard, {g: question}) gives {g: answer}; one call for each shard. The answers lie as the `count` batches do, so a union of several of them meets the batches without a further exchange."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         shard = key[0].as_py()
-        given = dict(zip(rows.column("g").to_pylist(), rows.column("body").to_pylist(), strict=True))
-        found = fn(shard, given) if shard >= 0 else given
+        found = fn(shard, dict(zip(rows.column("g").to_pylist(), rows.column("body").to_pylist(), strict=True)))
         return pa.table({"g": pa.array(list(found), pa.int64()), "shard": pa.array([shard] * len(found), pa.int64()), "body": pa.array(list(found.values()), pa.binary())})
 
-    return asked.groupBy("shard").applyInArrow(run, ANSWER)
+    return asked.groupBy("shard").applyInArrow(run, ANSWER).repartition(count, "g")

@@ -38,7 +38,7 @@ def _select(word: np.ndarray, k: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    """Ascending 64-bit numbers: low bits packed, high bits as gaps in unary, with a count of zeros for each 64 bits."""
+    """Ascending 64-bit numbers: low bits packed, high bits as gaps in unary, with counts of zeros and ones for each 64 bits."""
 
     def __init__(self, values: np.ndarray, top: int) -> None:
         n = self.n = len(values)
@@ -52,8 +52,9 @@ class EliasFano:
         low = (values & U64((1 << self.bits) - 1)).astype("<u8")
         bits = np.unpackbits(low.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")[:, : self.bits]
         lower = np.concatenate([np.packbits(bits.reshape(-1), bitorder="little"), np.zeros(16, np.uint8)])
-        zeros = np.cumsum(64 - np.bitwise_count(upper).astype(np.int64))
-        self.upper, self.lower, self.zeros = mapped([upper, lower, zeros])
+        ones = np.cumsum(np.bitwise_count(upper).astype(np.int64))
+        zeros = 64 * np.arange(1, len(upper) + 1) - ones
+        self.upper, self.lower, self.zeros, self.ones = mapped([upper, lower, zeros, ones])
         self.words = np.ndarray(len(self.lower) - 8, dtype="<u8", buffer=self.lower, strides=(1,))
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
@@ -67,14 +68,11 @@ class EliasFano:
         return (self.words[at >> 3] >> (at & 7).astype(U64)) & U64((1 << self.bits) - 1)
 
     def access(self, i: np.ndarray) -> np.ndarray:
-        """Value number i, by a search for its bucket among the zeros."""
-        lo, hi = np.zeros(len(i), dtype=np.int64), np.full(len(i), self.buckets - 1, dtype=np.int64)
-        while (lo < hi).any():  # the first bucket that ends after i
-            mid = (lo + hi) >> 1
-            done = self._zero(mid) - mid > i
-            hi = np.where(done, mid, hi)
-            lo = np.where(done, lo, mid + 1)
-        return (lo.astype(U64) << U64(self.bits)) | self._low(i)
+        """Value number i: its bucket is the number of zeros before one number i."""
+        w = np.searchsorted(self.ones, i, "right")
+        before = np.where(w > 0, self.ones[w - 1], 0)
+        high = 64 * w + _select(self.upper[w], i - before) - i
+        return (high.astype(U64) << U64(self.bits)) | self._low(i)
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first value >= x among those with x's high bits, or where they end; whether that value is x)."""

@@ -25,11 +25,11 @@ from tessera.llm.elias_fano import Level, quantised, value
 
 U64 = np.uint64
 #: The weight of the shorter context for contexts of one and two words, and the discount of a word's count.
-MASS, DISCOUNT = (10.0, 10.0), 0.75
+MASS, DISCOUNT = (20.0, 1.0), 0.75
 #: The largest count minus the discount that level one can tell from larger ones.
 TOP = 1e12
-#: Any odd number with well mixed bits.
-ODD = U64(0x9E3779B97F4A7C15)
+#: What stands for the end of a text: the digest of a word without bytes, which no text has.
+END = words.Words(np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)).digests()[0]
 
 
 def _held_out(ids: list, divisor: int = 7, which: int = 2) -> np.ndarray:
@@ -47,21 +47,15 @@ class Batch:
 
     @classmethod
     def of(cls, rows: pa.Table) -> Batch:
-        index: dict[bytes, int] = {b"": 0}  # no word is empty, so this is the end
-        parts, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        parts, counts = [np.zeros((0, 2), dtype=U64)], [np.zeros(0, dtype=np.int64)]
         for _, _, data, offsets in words.texts(rows.column("text")):
             w = words.split(data, offsets, lower=True)
-            codes, own = w.distinct()
-            place = np.fromiter((index.setdefault(x, len(index)) for x in own), np.int64, len(own))
-            parts.append(np.insert(place[codes], w.bound[1:], 0))
+            parts.append(np.insert(w.digests(), w.bound[1:], END, axis=0))
             counts.append(np.diff(w.bound) + 1)
         bound = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-        key = words.digests(list(index))
-        order = np.lexsort([key[:, 1], key[:, 0]])  # the same in each pass, whatever the order of the rows
-        new = np.empty(len(order), dtype=np.int64)
-        new[order] = np.arange(len(order))
+        key, tokens = words.numbered(np.concatenate(parts))  # the same key in each pass, whatever the order of the rows
         trains = np.repeat(~_held_out(rows.column("doc_id").to_pylist()), np.diff(bound))
-        return cls(new[np.concatenate(parts)], bound, key[order], trains)
+        return cls(tokens, bound, key, trains)
 
 
 def _word_cuts(batch: Batch, shards: int) -> list[int]:
@@ -79,18 +73,12 @@ def _ask_words(batch: Batch, shards: int) -> list[tuple[int, bytes]]:
 
 def _answer_words(shard: int, asked: dict[int, bytes], shards: int) -> dict[int, bytes]:
     given = {g: batches.parts(b) for g, b in asked.items()}
-    first = np.concatenate([batches.unpack_sorted(p[0]) for p in given.values()])
-    second = np.concatenate([batches.unpack(p[1], "<u8") for p in given.values()])
-    order = np.lexsort([second, first])
-    new = np.ones(len(order), dtype=np.int64)
-    new[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.cumsum(new) - 1
-    count = np.bincount(place, np.concatenate([batches.unpack(p[2], "<u4") for p in given.values()]).astype(np.float64), minlength=int(new.sum())).astype("<i8")
+    key, place = words.numbered(np.stack([np.concatenate([batches.unpack_sorted(p[0]) for p in given.values()]), np.concatenate([batches.unpack(p[1], "<u8") for p in given.values()])], axis=1))
+    count = np.bincount(place, np.concatenate([batches.unpack(p[2], "<u4") for p in given.values()]).astype(np.float64), minlength=len(key)).astype("<i8")
     rank = np.empty(len(count), dtype="<i8")
     rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
     # the first level: its one context is the empty one, whose followers are the hashes of the words
-    lead = first[order][new == 1]
+    lead = key[:, 0]
     level = Level(np.zeros(1, dtype=U64), lead, np.zeros(len(lead), dtype=np.int64), quantised(np.maximum(count - DISCOUNT, 0) / TOP))
     at, _ = level.search(np.zeros(1, dtype=U64), lead, np.zeros(len(lead), dtype=np.int64))
     code = level.codes[at + np.arange(len(lead)) - np.searchsorted(lead, lead)]  # words with equal first halves stand one after the other
@@ -119,7 +107,7 @@ class Known:
         self.node = np.concatenate([np.zeros(1, dtype=U64), node[order]])
         alone = np.where(self.count[1:] > 0, value(code[order]) * TOP, DISCOUNT * self.v) / max(1, self.n)
         self.alone = np.concatenate([[1.0], alone if self.n else np.ones(len(order))])
-        self.end = int(turn[np.flatnonzero((batch.key == words.digests([b""])[0]).all(axis=1))[0]])
+        self.end = int(turn[np.flatnonzero((batch.key == END).all(axis=1))[0]])
         self.total = self.count.copy()
         self.total[0] = self.count[self.end]  # a text begins as often as one ends
         self.tokens = turn[batch.tokens]
@@ -143,7 +131,7 @@ class Asked:
         ask = np.flatnonzero((total[self.own] > 0) & (known.count[self.follower] > 0))
         ways = np.clip(total[self.own[ask]] * shards // max(1, known.n), 1, shards).astype(U64)
         word = known.node[self.follower[ask]]
-        shard = (words.mix(node[self.own[ask]] * ODD + words.mix(word) % ways) % U64(shards)).astype(np.uint16 if shards < 1 << 16 else np.int64)
+        shard = (words.mix(node[self.own[ask]] * words.ODD[0] + words.mix(word) % ways) % U64(shards)).astype(np.uint16 if shards < 1 << 16 else np.int64)
         turn = np.argsort(shard, kind="stable")
         self.order, self.word = ask[turn], word[turn]
         self.cuts = np.searchsorted(shard[turn], np.arange(shards + 1))
@@ -263,24 +251,23 @@ def lm_scores(docs: DataFrame, carry: tuple[str, ...] = (), mass: tuple[float, f
     each. An empty table gives no rows; without training documents every probability is one. Counts
     cover the whole corpus and whole texts. Columns that are not carried are not read; carried ones must not clash.
     """
-    rows, total = batches.deal(docs, carry)
+    rows, count, total = batches.deal(docs, carry)
     shards = batches.shards(docs, total)
 
     def bigrams(g: int, t: pa.Table, got: dict[int, bytes]) -> list[tuple[int, bytes]]:
-        return [(-1 - g, _kept(got)), *((shards + s, b) for s, b in Texts(t, got, shards, mass).two.questions())]
+        return [(shards + s, b) for s, b in Texts(t, got, shards, mass).two.questions()]
 
     def trigrams(g: int, t: pa.Table, got: dict[int, bytes]) -> list[tuple[int, bytes]]:
-        got = _given(got)
         texts = Texts(t, got, shards, mass)
         texts.extend(got)
-        return [(-1 - g, _kept(got)), *((2 * shards + s, b) for s, b in texts.three.questions())]
+        return [(2 * shards + s, b) for s, b in texts.three.questions()]
 
-    one = batches.answer(batches.ask(rows, lambda g, t: _ask_words(Batch.of(t), shards)), lambda s, asked: _answer_words(s, asked, shards))
-    two = batches.answer(batches.ask(rows, bigrams, one), lambda s, asked: _answer(asked, mass[0], last=False))
-    three = batches.answer(batches.ask(rows, trigrams, two), lambda s, asked: _answer(asked, mass[1], last=True))
+    one = batches.answer(batches.ask(rows, lambda g, t: _ask_words(Batch.of(t), shards)), count, lambda s, asked: _answer_words(s, asked, shards))
+    two = one.unionByName(batches.answer(batches.ask(rows, bigrams, one), count, lambda s, asked: _answer(asked, mass[0], last=False)))
+    three = two.unionByName(batches.answer(batches.ask(rows, trigrams, two), count, lambda s, asked: _answer(asked, mass[1], last=True)))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        left, got = batches.opened(left), _given(batches.bodies(right))
+        left, got = batches.opened(left), batches.bodies(right)
         texts = Texts(left, got, shards, mass)
         texts.extend(got)
         out = {c: left.column(c) for c in ("doc_id", *carry)}
@@ -290,20 +277,3 @@ def lm_scores(docs: DataFrame, carry: tuple[str, ...] = (), mass: tuple[float, f
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = [*(f"`{c}` {kinds[c]}" for c in ("doc_id", *carry)), "held_out boolean", "n_tokens long", "n_known long", "train_tokens long", "base_score double", "score double"]
     return rows.groupBy("g").cogroup(three.groupBy("g")).applyInArrow(run, ", ".join(schema))
-
-
-def _kept(got: dict[int, bytes]) -> bytes:
-    """All answers so far, on their way to the batch's next step."""
-    return batches.join([np.array(list(got), dtype="<i8").tobytes(), *got.values()])
-
-
-def _given(got: dict[int, bytes]) -> dict[int, bytes]:
-    """Answers with those kept from earlier steps, by level and shard."""
-    out = {}
-    for s, body in got.items():
-        if s >= 0:
-            out[s] = body
-        else:
-            names, *bodies = batches.parts(body)
-            out |= dict(zip(np.frombuffer(names, "<i8").tolist(), bodies, strict=True))
-    return out

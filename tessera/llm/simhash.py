@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import scratch
 from tessera.llm.components import components
-from tessera.llm.words import mix
+from tessera.llm.words import distinct, mix
 
 BITS = 64
 
@@ -155,7 +155,7 @@ def _shingle_hashes(each: np.ndarray, size: int) -> np.ndarray:
     grams = np.full(max(1, len(each) - size + 1), size, dtype=np.uint64)
     for k in range(size):
         grams = mix(grams + each[k : len(each) - size + k + 1])
-    return np.unique(grams)
+    return distinct(grams)
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:

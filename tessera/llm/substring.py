@@ -2,9 +2,8 @@
 
 First pass: every batch of documents sends the cells of its windows of words to the merged sketch, which overestimates
 counts; it learns which of its cells other batches hit too. Second pass: only windows that the sketch estimates to be
-repeated, in the batch or elsewhere, are grouped exactly, by 128 bits of hash (of the XXH3-128 of each word); none that is
-repeated can be lost. Third
-pass: words covered by a window that also starts in a smaller doc_id go.
+repeated, in the batch or elsewhere, are grouped exactly, by 128 bits of hash; none that is
+repeated can be lost. Third pass: words covered by a window that also starts in a smaller doc_id go.
 """
 
 from __future__ import annotations
@@ -36,8 +35,7 @@ def _windows(rows: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         w = words.split(data, offsets, lower=False)
         n = np.diff(w.bound)
         counts.append(np.maximum(0, n - size + 1))
-        codes, own = w.distinct()
-        hashes = words.digests(own)[codes].T
+        hashes = w.digests().T
         total = max(0, len(w.start) - size + 1)
         mixed = []
         for h, c in zip(hashes, weights, strict=True):
@@ -73,7 +71,7 @@ def _ask_cells(rows: pa.Table, size: int, bits: int, low: int) -> list[tuple[int
     _, _, first, second = _windows(rows, size)
     out = []
     for cells in _cells(first, second, bits):
-        for shard, part in _by_shard(np.unique(cells), low):
+        for shard, part in _by_shard(words.distinct(cells), low):
             out.append((shard, batches.pack_sorted(part & U64((1 << low) - 1))))
     return out
 
@@ -183,15 +181,15 @@ def dedup_substrings(docs: DataFrame, size: int = 13, carry: tuple[str, ...] = (
     `whole` a text that loses nothing stays as it is, white space included. A null text has
     no words and an empty kept text; texts shorter than a window stay whole. A null doc_id counts as larger than any
     other; rows with one doc_id don't remove from each other. An empty table gives no rows. Windows of very long texts
-    are all used. doc_id must be an integer; equal windows have equal XXH3-128 hashes of their words. Columns that are not carried are not read; a carried column must not have a name given above.
+    are all used. doc_id must be an integer; windows are equal if 128 bits of hash are. Columns that are not carried are not read; a carried column must not have a name given above.
     """
-    rows, total = batches.deal(docs, carry)
+    rows, count, total = batches.deal(docs, carry)
     bits = max(SHARD_BITS, int(total).bit_length())  # about thirteen cells in both rows for each window
     low = min(bits, max(SHARD_BITS, batches.unit(total, 0).bit_length()))
     shards = batches.shards(docs, total)
-    cells = batches.answer(batches.ask(rows, lambda g, t: _ask_cells(t, size, bits, low)), lambda s, asked: _merge(asked, low))
+    cells = batches.answer(batches.ask(rows, lambda g, t: _ask_cells(t, size, bits, low)), count, lambda s, asked: _merge(asked, low))
     asked = batches.ask(rows, lambda g, t, got: _ask_windows(t, got, size, bits, low, shards), cells)
-    settled = batches.answer(asked, lambda s, asked: _settle(asked))
+    settled = batches.answer(asked, count, lambda s, asked: _settle(asked))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         left = batches.opened(left)

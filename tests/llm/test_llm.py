@@ -51,6 +51,10 @@ def test_words_match_split():
     got = [[w.data[s:e].tobytes() for s, e in zip(w.start[a:b], w.end[a:b])] for a, b in zip(w.bound, w.bound[1:])]
     assert got == [t.encode().lower().split() for t in data]
     assert len(set(w.hashes().tolist())) == len({x for g in got for x in g})
+    key, place = words.numbered(w.digests())
+    assert (key[place] == w.digests()).all() and len(key) == len(set(w.hashes().tolist()))
+    clash = np.array([[5, 2], [5, 1], [3, 9], [5, 2]], np.uint64)
+    assert words.numbered(clash)[0].tolist() == [[3, 9], [5, 1], [5, 2]] and words.numbered(clash)[1].tolist() == [2, 1, 0, 2]
 
 
 def test_components_against_union_find(spark):
