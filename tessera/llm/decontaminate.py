@@ -20,8 +20,9 @@ ORACLE_MASKS = MASKS[:2]
 SHORT, SPLIT = 10, 7
 #: Words of the compared window, and how many of them must be equal.
 WINDOW, EQUAL = 13, 11
-#: Most seeds of test items that are broadcast; beyond it both sides are shuffled by hash.
-BROADCAST_SEEDS = 500_000
+#: Most seeds of test items (20 bytes each) and most bytes of their texts that are broadcast. Beyond either, seeds of both
+#: sides are shuffled by hash, without words, and words are joined to the hits.
+BROADCAST_SEEDS, BROADCAST_BYTES = 500_000, 64 << 20
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _MARKS = ".,;:!?\"'()[]{}|*#%$&-_/\\<>`~^+=@"
@@ -70,14 +71,20 @@ def _short_seeds(rows: DataFrame, lengths: list[int]) -> DataFrame:
     return placed.select("doc_id", "words", "at", F.explode(seeds).alias("seed"))
 
 
-def _lined(own: DataFrame, test: DataFrame) -> DataFrame:
-    """A row for each seed that a document shares with an item: the words of both where they lie over each other (a, b)."""
-    seeds = test.select("seed", "item_id", F.col("at").alias("item_at"), F.col("words").alias("item_words")).distinct()
-    small = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
-    hits = own.join(F.broadcast(seeds) if small else seeds, "seed")
+def _lined(rows: DataFrame, own: DataFrame, test: DataFrame, small: bool) -> DataFrame:
+    """A row for each alignment of a document and an item that a seed found: the words of both where they lie over each other (a, b)."""
+    named = test.withColumn("item", F.xxhash64("words"))
+    seeds = named.select("seed", "item_id", "item", F.col("at").alias("item_at")).distinct()
+    items = named.select("item", F.col("words").alias("item_words")).dropDuplicates(["item"])
     shift = (F.col("at") - F.col("item_at")).alias("first_word")
+    if small:
+        hits = own.join(F.broadcast(seeds), "seed").join(F.broadcast(items), "item").select("doc_id", "item_id", shift, "words", "item_words")
+    else:
+        found = own.select("doc_id", F.xxhash64("words").alias("text"), "at", "seed").join(seeds, "seed").select("doc_id", "text", "item_id", "item", shift).distinct()
+        texts = rows.select(F.col("doc_id").alias("own_id"), F.xxhash64("words").alias("text"), "words")
+        hits = found.join(items, "item").join(texts, ["text"]).where(F.col("doc_id").eqNullSafe(F.col("own_id")))
     low = F.greatest(F.col("first_word"), F.lit(0))
-    return hits.select("doc_id", "item_id", shift, "words", "item_words").select(
+    return hits.select(
         "doc_id",
         "item_id",
         "first_word",
@@ -87,7 +94,7 @@ def _lined(own: DataFrame, test: DataFrame) -> DataFrame:
     )
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, most_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """One row (doc_id, item_id, matched, first_word) for each test item that a document holds.
 
     An item is held if, on some alignment that a seed found, `EQUAL` of `WINDOW` consecutive words are equal (of all words
@@ -97,15 +104,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     others; rows with equal ids are taken together. Empty tables give no rows. Whole texts are compared; columns other
     than doc_id, item_id and text are not read.
 
-    Documents are not shuffled: test seeds are joined by broadcast while there are BROADCAST_SEEDS at most, and only the
-    hits go on. With more seeds the same join is left to Spark's shuffled joins.
+    Documents are not shuffled while the test items are few (`most_seeds` seeds and BROADCAST_BYTES at most): their seeds,
+    and their words once for each item, are broadcast, and only the hits go on. Of more test items, the seeds of both sides
+    meet in a shuffled join of narrow rows (hash, id, place), and words are joined to the distinct alignments. The rows
+    that come out are the same.
     """
     test = benchmark.select("item_id", _words(F.col("text")).alias("words"))
     rows = docs.select("doc_id", _words(F.col("text")).alias("words"))
-    lined = _lined(_seeded(rows, ["doc_id"]), _seeded(test, ["item_id"]))
+    seeded = _seeded(test, ["item_id"])
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    small = size <= BROADCAST_BYTES and seeded.limit(most_seeds + 1).count() <= most_seeds
+    lined = _lined(rows, _seeded(rows, ["doc_id"]), seeded, small)
     lengths = sorted(r[0] for r in test.select(F.size("words").alias("n")).where(F.col("n").between(1, SHORT - 1)).distinct().collect())
     if lengths:
-        lined = lined.unionByName(_lined(_short_seeds(rows, lengths), _short_items(test, lengths)))
+        lined = lined.unionByName(_lined(rows, _short_seeds(rows, lengths), _short_items(test, lengths), small))
     # an alignment has many hits; the maximum also keeps the comparison out of the join, whose rows hold whole documents
     lined = lined.groupBy("doc_id", "item_id", "first_word", "n").agg(F.max(F.struct("a", "b")).alias("pair")).select("doc_id", "item_id", "first_word", "n", "pair.a", "pair.b")
     equal = F.zip_with("a", "b", lambda x, y: F.when(x == y, 1).otherwise(0))

@@ -92,6 +92,29 @@ def test_hilbert_steps_are_adjacent():
     assert all(sum(abs(x - y) for x, y in zip(p, q)) == 1 for p, q in zip(cells, cells[1:]))
 
 
+def test_hilbert_index_fills_the_cube_step_by_step(spark):
+    side = 8
+    cube = spark.range(side**3).selectExpr("cast(id div 64 as int) as a", "cast(id div 8 % 8 as int) as b", "cast(id % 8 as int) as c")
+    got = cube.select("a", "b", "c", sharding.hilbert_index([F.col("a"), F.col("b"), F.col("c")], 3).alias("h")).orderBy("h").collect()
+    assert [r.h for r in got] == list(range(side**3))
+    assert all(abs(p.a - q.a) + abs(p.b - q.b) + abs(p.c - q.c) == 1 for p, q in zip(got, got[1:]))
+
+
+def test_written_shards_prune_by_each_dimension(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sharding.write_shards(docs, str(tmp_path / "s"), 40)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == docs.count() and set(docs.columns) <= set(back.columns)
+    size = F.octet_length("text")
+    span = back.groupBy("shard").agg(*[f(c).alias(n + k) for n, c in (("source", F.col("source")), ("lang", F.col("lang")), ("size", size)) for k, f in (("_lo", F.min), ("_hi", F.max))]).collect()
+    rows = docs.select("source", "lang", size.alias("size")).collect()
+    for name in ("source", "lang", "size"):
+        values = sorted(r[name] for r in rows if r[name] is not None)
+        probes = values[:: len(values) // 50]
+        met = sum(s[name + "_lo"] is not None and s[name + "_lo"] <= x <= s[name + "_hi"] for x in probes for s in span) / (40 * len(probes))
+        assert met < 0.75, (name, met)
+
+
 def test_hilbert_shards(spark, edge, empty):
     got = sharding.hilbert_shards(_docs(spark, edge), 4).collect()
     assert len(got) == len(edge) and sharding.hilbert_shards(empty, 4).count() == 0
@@ -369,6 +392,8 @@ def test_contaminated_by_every_substitution(spark):
     tests = spark.createDataFrame([(k, " ".join(t)) for k, t in items.items()], "item_id long, text string")
     want = {(k, n, *best) for k, t in enumerate(texts) for n, item in items.items() if (best := _holds(t, item))}
     got = {(x.doc_id, x.item_id, x.matched, -x.first_word) for x in decontaminate.contaminated(docs, tests).collect()}
+    shuffled = {(x.doc_id, x.item_id, x.matched, -x.first_word) for x in decontaminate.contaminated(docs, tests, most_seeds=0).collect()}
+    assert shuffled == want
     assert got == want and sum(len(texts[k]) < 20 and n == 13 for k, n, *_ in want) == 13 + 78
 
 
