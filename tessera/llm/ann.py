@@ -1,24 +1,30 @@
-"""Approximate nearest neighbours by low-dimensional stable projections in kd-trees.
+"""Approximate nearest neighbours by low-dimensional stable projections in a kd-tree.
 
 Unit vectors are projected by a few normal (2-stable) random directions: the squared projected distance over the squared
-distance is chi-square distributed. Each block of the index keeps a kd-tree of its projections; a query takes the leaves
-in the order of their projected distance and verifies their vectors, until a vector nearer than the k-th found so far
-would, with the given confidence, have been projected nearer than the next leaf.
+distance is chi-square distributed. The top of one kd-tree over all projections is fitted on a bounded sample; every row is
+placed in one of its regions, and each region grows the rest of the tree from its own rows. A query visits its own region
+first, then the next nearest ones in rounds, each four times as far as the one before, and leaves off as soon as a vector
+nearer than the k-th found so far would, with the given confidence, have been projected nearer than the next region or leaf.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm import scratch
+
 #: Projected dimensions (even), confidence of the stopping test, points of a leaf.
 DIMENSIONS, CONFIDENCE, LEAF = 8, 0.98, 32
-#: Rows of an index block and queries of a search round, about: the bounds of a task's memory.
-BLOCK, ROUND = 1 << 14, 256
+#: Rows of a region, about (a larger one is dealt to several tasks), most levels of the top of the tree, rows of its sample.
+REGION, LEVELS, SAMPLE = 1 << 14, 12, 1 << 15
+#: Queries that are searched at once: with REGION the bound of a task's memory.
+ROUND = 256
 
 
 def _chi_square(x: np.ndarray, m: int) -> np.ndarray:
@@ -27,110 +33,229 @@ def _chi_square(x: np.ndarray, m: int) -> np.ndarray:
     return 1 - np.exp(-half) * sum(half**i / math.factorial(i) for i in range(m // 2))
 
 
-def _leaves(points: np.ndarray) -> list[np.ndarray]:
-    """The kd-tree's leaves: halves by rank along the widest axis, so that ties split too."""
-    todo, done = [np.arange(len(points))], []
-    while todo:
-        own = todo.pop()
-        if len(own) <= LEAF:
-            done.append(own)
-            continue
-        p = points[own]
-        axis = int(np.argmax(p.max(axis=0) - p.min(axis=0)))
-        half = np.argpartition(p[:, axis], len(own) // 2)
-        todo += [own[half[: len(own) // 2]], own[half[len(own) // 2 :]]]
-    return done
+def _sure(away: np.ndarray, kth: np.ndarray) -> np.ndarray:
+    """Whether nothing at this squared projected distance is nearer than the squared distance kth, with confidence."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(kth > 0, away / kth, np.where(away > 0, np.inf, 0.0))
+    return _chi_square(np.where(np.isinf(kth), 0.0, ratio), DIMENSIONS) >= CONFIDENCE
+
+
+def _even(vectors: np.ndarray) -> np.ndarray:
+    """Each vector by a power of two, so that its largest component is near one: exact, and norms neither overflow nor vanish."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+class Tree:
+    """A complete kd-tree: node n splits at cut[n] of axis[n], its children are 2n + 1 and 2n + 2; low and high bound each node."""
+
+    def __init__(self, points: np.ndarray, depth: int, tight: bool) -> None:
+        """tight: nodes are bounded by their points, not by the splits above them (then points placed later are inside too)."""
+        self.depth, nodes = depth, (1 << (depth + 1)) - 1
+        d = points.shape[1]
+        self.axis, self.cut = np.zeros(nodes, dtype=np.int64), np.zeros(nodes)
+        self.low, self.high = np.full((nodes, d), -np.inf), np.full((nodes, d), np.inf)
+        own = {0: np.arange(len(points))}
+        self.leaves: list[np.ndarray] = []
+        for node in range(nodes):
+            rows = own.pop(node)
+            p = points[rows]
+            if tight and len(rows):
+                self.low[node], self.high[node] = p.min(axis=0), p.max(axis=0)
+            elif tight:
+                self.low[node] = np.inf
+            if node >= nodes // 2:
+                self.leaves.append(rows)
+                continue
+            axis = int(np.argmax(p.max(axis=0) - p.min(axis=0))) if len(rows) else 0
+            half = len(rows) // 2
+            by = np.argpartition(p[:, axis], half) if len(rows) else rows  # by rank, so that ties split too
+            cut = float(p[by[half], axis]) if len(rows) else 0.0
+            self.axis[node], self.cut[node] = axis, cut
+            for child in (2 * node + 1, 2 * node + 2):
+                self.low[child], self.high[child] = self.low[node], self.high[node]
+            self.high[2 * node + 1, axis] = self.low[2 * node + 2, axis] = cut
+            own[2 * node + 1], own[2 * node + 2] = rows[by[:half]], rows[by[half:]]
+
+    def place(self, points: np.ndarray) -> np.ndarray:
+        """The leaf (from 0) in whose region each point lies."""
+        node = np.zeros(len(points), dtype=np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (points[np.arange(len(points)), self.axis[node]] >= self.cut[node])
+        return node - ((1 << self.depth) - 1)
+
+    def _away(self, points: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        gap = np.maximum(0, np.maximum(self.low[nodes] - points, points - self.high[nodes]))
+        return (gap**2).sum(axis=-1)
+
+    def within(self, points: np.ndarray, kth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(point, leaf, squared distance) of every leaf that the stopping test leaves to a point, by descent from the root."""
+        which, node = np.arange(len(points)), np.zeros(len(points), dtype=np.int64)
+        away = self._away(points, node)
+        for _ in range(self.depth):
+            which = np.repeat(which, 2)
+            node = (2 * node[:, None] + np.array([1, 2])).reshape(-1)
+            away = self._away(points[which], node)
+            go = ~_sure(away, kth[which]) & np.isfinite(away)
+            which, node, away = which[go], node[go], away[go]
+        return which, node - ((1 << self.depth) - 1), away
 
 
 class Index:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, keep: int, seed: int) -> None:
-        """Of equal vectors, the `keep` with the smallest ids can be in an answer; they share one point."""
+    """The rows of a region: points of equal direction share one, of which the `keep` smallest ids can be in an answer."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, directions: np.ndarray, keep: int) -> None:
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
-        unit = self.vectors / np.linalg.norm(self.vectors, axis=1, keepdims=True)
+        self.ids, self.vectors = ids[order], _even(vectors[order])
         _, first, back = np.unique(self.vectors, axis=0, return_index=True, return_inverse=True)
         by = np.argsort(back.reshape(-1), kind="stable")
         starts = np.searchsorted(back.reshape(-1)[by], np.arange(len(first)))
         self.members = [by[a:b][:keep] for a, b in zip(starts, [*starts[1:], len(by)], strict=True)]
-        self.unit = unit[first]
-        self.directions = np.random.default_rng(seed).standard_normal((vectors.shape[1], DIMENSIONS))
-        points = self.unit @ self.directions
-        leaves = _leaves(points)
-        self.low = np.array([points[x].min(axis=0) for x in leaves])
-        self.high = np.array([points[x].max(axis=0) for x in leaves])
-        self.leaf = np.full((len(leaves), LEAF), -1)
-        for k, x in enumerate(leaves):
+        self.unit = _unit(self.vectors[first])
+        self.directions = directions
+        points = self.unit @ directions
+        self.tree = Tree(points, max(0, math.ceil(math.log2(max(1, len(points)) / LEAF))), tight=True)
+        self.leaf = np.full((len(self.tree.leaves), max(1, max(map(len, self.tree.leaves)))), -1)
+        for k, x in enumerate(self.tree.leaves):
             self.leaf[k, : len(x)] = x
 
-    def search(self, ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    def search(self, ids: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int) -> list[tuple[int, int, float]]:
         out = []
         for a in range(0, len(ids), ROUND):
-            out += self._round(ids[a : a + ROUND], queries[a : a + ROUND], k)
+            out += self._round(ids[a : a + ROUND], _even(queries[a : a + ROUND]), kth[a : a + ROUND], k)
         return out
 
-    def _round(self, ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-        unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+    def _visit(self, active: np.ndarray, leaf: np.ndarray, unit: np.ndarray) -> None:
+        cand = self.leaf[leaf]
+        score = np.einsum("qld,qd->ql", self.unit[cand], unit[active])
+        score[cand < 0] = -np.inf
+        both, own = np.concatenate([self.best[active], score], axis=1), np.concatenate([self.which[active], cand], axis=1)
+        top = np.argsort(-both, axis=1, kind="stable")[:, : self.best.shape[1]]
+        self.best[active], self.which[active] = np.take_along_axis(both, top, 1), np.take_along_axis(own, top, 1)
+
+    def _round(self, ids: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+        unit = _unit(queries)
         p = unit @ self.directions
-        gap = np.maximum(0, np.maximum(self.low[None] - p[:, None], p[:, None] - self.high[None]))
-        away = (gap**2).sum(axis=2)  # to each leaf's box, in the projection
-        turn = np.argsort(away, axis=1, kind="stable")
         want = k + 1  # the query's own point may be among them
-        best = np.full((len(ids), want), -np.inf)
-        which = np.full((len(ids), want), -1)
-        active = np.arange(len(ids))
-        for step in range(turn.shape[1]):
-            leaf = turn[active, step]
-            kth = 2 - 2 * best[active, -1]  # the squared distance of unit vectors
-            sure = _chi_square(np.where(kth > 0, away[active, leaf] / np.maximum(kth, 1e-12), np.where(away[active, leaf] > 0, np.inf, 0.0)), DIMENSIONS) >= CONFIDENCE
-            active, leaf = active[~sure], leaf[~sure]
-            if not len(active):
-                break
-            cand = self.leaf[leaf]
-            score = np.einsum("qld,qd->ql", self.unit[cand], unit[active])
-            score[cand < 0] = -np.inf
-            both, own = np.concatenate([best[active], score], axis=1), np.concatenate([which[active], cand], axis=1)
-            top = np.argsort(-both, axis=1, kind="stable")[:, :want]
-            best[active], which[active] = np.take_along_axis(both, top, 1), np.take_along_axis(own, top, 1)
+        self.best, self.which = np.full((len(ids), want), -np.inf), np.full((len(ids), want), -1)
+        home = self.tree.place(p)
+        self._visit(np.arange(len(ids)), home, unit)
+        bound = lambda rows: np.minimum(kth[rows], 2 - 2 * self.best[rows, -1])  # noqa: E731  the squared distance of unit vectors
+        which, leaf, away = self.tree.within(p, bound(np.arange(len(ids))))
+        rest = leaf != home[which]
+        which, leaf, away = which[rest], leaf[rest], away[rest]
+        order = np.lexsort([away, which])
+        which, leaf, away = which[order], leaf[order], away[order]
+        turn = np.arange(len(which)) - np.searchsorted(which, which)
+        by = np.argsort(turn, kind="stable")
+        cuts = np.searchsorted(turn[by], np.arange(turn.max(initial=-1) + 2))
+        for a, z in zip(cuts, cuts[1:], strict=False):  # the nearest leaf of each query, then the next
+            step = by[a:z]
+            step = step[~_sure(away[step], bound(which[step]))]
+            if len(step):
+                self._visit(which[step], leaf[step], unit)
         out = []
         norms = np.linalg.norm(queries, axis=1)
-        for q, (qid, found) in enumerate(zip(ids.tolist(), which, strict=True)):
+        for q, (qid, found) in enumerate(zip(ids.tolist(), self.which, strict=True)):
             rows = np.concatenate([self.members[x] for x in found if x >= 0]) if (found >= 0).any() else np.zeros(0, dtype=np.int64)
             rows = rows[self.ids[rows] != qid]
             v = self.vectors[rows]
             exact = (v * queries[q]).sum(axis=1) / (np.linalg.norm(v, axis=1) * norms[q])
-            out += [(qid, int(self.ids[r]), float(x)) for x, r in sorted(zip((-exact).tolist(), rows.tolist(), strict=True))[:k]]
-        return [(q, i, -x) for q, i, x in out]
+            out += [(qid, int(self.ids[r]), float(-x)) for x, r in sorted(zip((-exact).tolist(), rows.tolist(), strict=True))[:k]]
+        return out
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """The vectors of a column, shorter ones with zeros at their end."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.asarray(column.value_lengths()).astype(np.int64)
+    out = np.zeros((len(column), width))
+    out[np.arange(width) < sizes[:, None]] = np.asarray(column.flatten())
+    return out
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest cosine found for each row whose vec_id is divisible by `every`.
 
     All other rows are candidates, nearest first, ties to the smaller vec_id. Rows with a null vec_id, and vectors that are
-    null, empty, zero, or hold null or non-finite components, take no part; vectors must have one length. Rows that repeat
-    a vec_id are candidates each, but a query is searched once and never finds its own vec_id. Fewer candidates than k are
-    all given; an empty table gives no rows. Scores are exact, of the original vectors in double precision; which rows
-    are found is approximate, with a recall of 0.9 or more in tests. Columns other than vec_id and embedding are not read.
+    null, empty, zero, or hold null or non-finite components, take no part. A shorter vector counts as if it ended in zeros;
+    lengths may be as large or small as doubles go. Rows that repeat a vec_id are candidates each, but a query is searched
+    once and never finds its own vec_id. Fewer candidates than k are all given; an empty table gives no rows. Scores are
+    exact, of the original vectors in double precision; which rows are found is approximate, with a recall of 0.9 or more in
+    tests. Columns other than vec_id and embedding are not read.
 
-    Rows are dealt to index blocks by a hash of vec_id, so equal vectors spread; the queries, a stated set, meet each
-    block; the best k of each block are merged by query.
+    The top of the tree has REGION rows a region, about, and LEVELS levels at most; it is fitted on the projections of SAMPLE
+    rows (the least by a hash of vec_id), while every row is placed and searched. A region with more rows, as of one vector
+    that a third of the rows repeat, is dealt to several tasks by a hash of vec_id. Each round sends a query only to the
+    regions that its stopping test leaves, and rows meet queries by region.
     """
-    clean = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    spark = vectors.sparkSession
+    clean = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     clean = clean.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
-    blocks = max(1, -(-clean.count() // BLOCK))
-    dealt = clean.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    asked = clean.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select("vec_id", "embedding", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("b"))
+    rows, width = clean.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    directions = np.random.default_rng(seed).standard_normal((width or 1, DIMENSIONS))
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = _unit(_even(_matrix(b.column(1), width))) @ directions
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(p), pa.list_(pa.float64()))], ["vec_id", "p"])
+
+    sample = clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).mapInArrow(project, "vec_id long, p array<double>").orderBy("vec_id").collect()
+    depth = min(LEVELS, max(0, math.ceil(math.log2(max(1, rows) / REGION))))
+    top = Tree(np.array([r.p for r in sample]).reshape(-1, DIMENSIONS), depth, tight=False)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            region = top.place(_unit(_even(_matrix(b.column(1), width))) @ directions)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(region)], ["vec_id", "embedding", "region"])
+
+    placed = scratch.cut(clean.mapInArrow(place, "vec_id long, embedding array<double>, region long"))
+    ways = placed.groupBy("region").agg(F.ceil(F.count("*") / (2 * REGION)).cast("int").alias("ways"))  # one row for each region
+    dealt = placed.join(F.broadcast(ways), "region").withColumn("way", F.pmod(F.xxhash64("vec_id"), F.col("ways")).cast("int")).drop("ways")
+    queries = scratch.cut(placed.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select("vec_id", "embedding"))
+
+    def route(near: int, far: int):  # noqa: ANN202
+        leaves = np.arange(1 << depth) + (1 << depth) - 1
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for a in range(0, b.num_rows, ROUND):
+                    own = b.slice(a, ROUND)
+                    p = _unit(_even(_matrix(own.column(1), width))) @ directions
+                    kth = np.asarray(own.column(2).fill_null(np.inf))
+                    away = top._away(p[:, None], leaves[None])
+                    away[np.arange(len(p)), top.place(p)] = -1.0  # its own region comes first
+                    turn = np.argsort(away, axis=1, kind="stable")[:, near:far]
+                    away = np.take_along_axis(away, turn, 1)
+                    go = ~_sure(np.maximum(away, 0), kth[:, None] + np.zeros_like(away)) if near else np.ones_like(away, dtype=bool)
+                    q, at = np.nonzero(go)
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(q)) for c in own.columns), pa.array(turn[q, at].astype(np.int64))], ["vec_id", "embedding", "kth", "region"])
 
-    def run(key: tuple, rows: pa.Table, queries: pa.Table) -> pa.Table:
-        def arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-            ids = np.asarray(t.column("vec_id").combine_chunks().cast(pa.int64()))
-            return ids, np.asarray(t.column("embedding").combine_chunks().flatten()).reshape(len(ids), -1)
+        return run
 
+    def search(key: tuple, own: pa.Table, asked: pa.Table) -> pa.Table:
         found: list[tuple[int, int, float]] = []
-        if len(rows) and len(queries):
-            found = Index(*arrays(rows), keep=k + 1, seed=seed).search(*arrays(queries), k)
+        if len(own) and len(asked):
+            index = Index(own.column("vec_id").to_numpy(), _matrix(own.column("embedding"), width), directions, k + 1)
+            kth = asked.column("kth").combine_chunks().fill_null(np.inf)
+            found = index.search(asked.column("vec_id").to_numpy(), _matrix(asked.column("embedding"), width), np.asarray(kth), k)
         q, i, s = zip(*found, strict=True) if found else ((), (), ())
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    each = dealt.groupBy("b").cogroup(asked.groupBy("b")).applyInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    near, far = 0, 1
+    while near < 1 << depth:
+        kth = best.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), (2 - 2 * F.col("score")).alias("kth"))
+        asked = scratch.cut(queries.join(kth, "vec_id", "left").select("vec_id", "embedding", "kth").mapInArrow(route(near, far), "vec_id long, embedding array<double>, kth double, region long"))
+        if near and asked.isEmpty():
+            break
+        asked = asked.join(F.broadcast(ways), "region").withColumn("way", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).drop("ways")
+        found = dealt.groupBy("region", "way").cogroup(asked.groupBy("region", "way")).applyInArrow(search, "query_id long, vec_id long, score double")
+        both = best.select("query_id", "vec_id", "score").unionByName(found)
+        best = scratch.cut(both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        near, far = far, 4 * far
+    return best.select("query_id", "rank", "vec_id", "score")

@@ -19,15 +19,19 @@ def held_out(doc_id: Column, divisor: int = 4, which: int = 2) -> Column:
     return F.coalesce(remainder(doc_id, divisor) == which, F.lit(False))
 
 
+#: Labelled texts of more bytes are scored, but nothing is learned from them: with the number of texts the bound of the fitting task.
+LEARNED_BYTES = 1 << 17
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str, most: int, learn: Callable[[list[str], list[int]], bytes]) -> bytes:
     """The model that learn(texts, labels) makes in one task from `most` labelled training texts at most.
 
     The ids are the first by a hash of doc_id among the labelled rows that are not held out and whose label is no
-    null; for repeated labels the largest counts. Held-out labels are never read. Only the model comes to the driver.
+    null; for repeated labels the largest counts. Texts of more than LEARNED_BYTES among them are left out. Held-out labels are never read. Only the model comes to the driver.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     ids = known.groupBy(F.col("doc_id")).agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= LEARNED_BYTES).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
 
     def run(batches):  # noqa: ANN001, ANN202
         found = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)))

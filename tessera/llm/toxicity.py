@@ -14,10 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import labelled, words
+from tessera.llm.simhash import sketch
 
 #: Most labelled texts that training reads, and the dictionaries' sizes in bytes: the bounds of training and of the model.
 TRAIN_ROWS = 4000
@@ -60,12 +62,14 @@ def evidence(column: pa.Array, distance: Distance, memo: dict[int, int]) -> np.n
             if got is None:
                 got = memo[x] = distance.of(raw[s:e])
             each[k] = got
-        each = np.minimum(each, 20)
         n = np.diff(w.bound)
-        power = np.exp(2 * each)[back] if len(h) else np.zeros(0)
-        out[a:b, 0] = np.log((words.sums(power, w.bound) + 1) / (n + 1))
+        each = each[back]
+        top = np.zeros(len(n))
+        np.maximum.at(top, np.repeat(np.arange(len(n)), n), each)
+        power = np.exp(2 * (each - np.repeat(top, n)))  # no larger than one, however long a word is
+        out[a:b, 0] = 2 * top + np.log((words.sums(power, w.bound) + np.exp(-2 * top)) / (n + 1))
         out[a:b, 1] = np.log1p(n)
-        out[a:b, 2] = np.log1p(words.sums((each[back] >= 3).astype(float) if len(h) else power, w.bound))
+        out[a:b, 2] = np.log1p(words.sums((each >= 3).astype(float), w.bound))
     return out
 
 
@@ -79,16 +83,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> list[float]:
     return beta.tolist()
 
 
+def _apart(sets: list[set[bytes]], labels: list[int]) -> list[int]:
+    """One of each group of texts of one label whose sets of words have a Jaccard similarity of 0.8 or more: copies say nothing more of the class."""
+    kept: list[int] = []
+    buckets: dict[tuple[int, int], list[int]] = {}
+    for k, own in enumerate(sets):
+        keys = [(labels[k], x) for x in sketch(np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))).tolist()]
+        near = {j for key in keys for j in buckets.get(key, ())}
+        if any(5 * len(own & sets[j]) >= 4 * len(own | sets[j]) for j in near):
+            continue
+        kept.append(k)
+        for key in keys:
+            buckets.setdefault(key, []).append(k)
+    return kept
+
+
 def _dictionaries(sets: list[set[bytes]], labels: list[int], rows: list[int]) -> list[bytes]:
     """The toxic and the ordinary dictionary, from windows that stand out in either class; empty ones if there are too few."""
     import zstandard
 
-    import xxhash
-
-    # copies and near copies share their least word hash, and count once: their rare words say nothing of the class
-    alike = {(labels[k], min(map(xxhash.xxh64_intdigest, sets[k]), default=0)): k for k in rows}.values()
-    many = [sum(labels[k] == y for k in alike) for y in (0, 1)]
-    seen = [Counter(w for k in alike if labels[k] == y for w in sets[k]) for y in (0, 1)]
+    many = [sum(labels[k] == y for k in rows) for y in (0, 1)]
+    seen = [Counter(w for k in rows if labels[k] == y for w in sets[k]) for y in (0, 1)]
     marks = sorted(w for w, n in seen[1].items() if n >= max(LEAST, SHARE * many[1]) and n / max(1, many[1]) >= RATIO * (seen[0][w] + 0.5) / max(1, many[0]))
     plain = sorted(w for w, n in seen[0].items() if n >= LEAST and w not in set(marks))
     made = []  # the trainer keeps its last samples for a trial of its own, so each string comes in every turn
@@ -103,19 +118,20 @@ def _dictionaries(sets: list[set[bytes]], labels: list[int], rows: list[int]) ->
 def train(texts: list[str], labels: list[int]) -> bytes:
     """Both dictionaries, learned from all texts, and the curve, learned from evidence by dictionaries of the other folds; pickled."""
     sets = [set(t.encode("utf-8", "surrogatepass").lower().split()) for t in texts]
+    apart = _apart(sets, labels)
     x = np.zeros((len(texts), 3))
     for fold in range(FOLDS):
         own = [k for k in range(len(texts)) if k % FOLDS == fold]
-        others = [k for k in range(len(texts)) if k % FOLDS != fold]
+        others = [k for k in apart if k % FOLDS != fold]
         x[own] = evidence(pa.array([texts[k] for k in own], pa.large_string()), Distance(*_dictionaries(sets, labels, others)), {})
     curve = _logistic(x, np.array(labels, dtype=float)) if texts else [0.0] * 4
-    return pickle.dumps((*_dictionaries(sets, labels, list(range(len(texts)))), curve))
+    return pickle.dumps((*_dictionaries(sets, labels, apart), curve))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (), train_rows: int = TRAIN_ROWS) -> DataFrame:
     """docs' doc_id, text and the carried columns, with toxicity_score: the probability that labels.toxic is 1.
 
-    Learns from `train_rows` labelled texts at most that are not held out (labelled.fit); every window of every whole
+    Learns from `train_rows` labelled texts at most that are not held out (labelled.fit), of near copies from one; every window of every whole
     text is compared. A null or empty text has no windows and no evidence. Repeated rows are scored each; an empty table
     gives no rows; without labels the score is 0.5. Columns that are not carried are not read, whatever their names.
     """

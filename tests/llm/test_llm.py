@@ -352,6 +352,32 @@ def test_nearest_recall_and_edges(spark):
     assert ann.nearest(v.limit(0)).count() == 0 and ann.nearest(v.where("vec_id in (0, 1, 2)")).count() == 2
 
 
+def test_nearest_in_several_regions(spark, monkeypatch):
+    monkeypatch.setattr(ann, "REGION", 500)
+    r = np.random.default_rng(3)
+    m = r.standard_normal((40, 24))[r.integers(0, 40, 6000)] + 0.6 * r.standard_normal((6000, 24))
+    m[1000:2500] = m[7]  # a quarter are copies of one
+    got = ann.nearest(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(m)], "vec_id long, embedding array<double>"), 50, 5).collect()
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 6000, 50):
+        s = np.round(u @ u[q], 12)
+        s[q] = -9
+        best = np.lexsort([np.arange(6000), -s])[:5]
+        mine = [x.vec_id for x in sorted((x for x in got if x.query_id == q), key=lambda x: x.rank)]
+        hits += len({*mine} & {*best.tolist()})
+    assert len(got) == 600 and hits >= 0.9 * 600
+
+
+def test_nearest_ties_and_extreme_lengths(spark):
+    r = np.random.default_rng(5)
+    base = r.standard_normal(16)
+    data = [(0, r.standard_normal(16)), *((10 + k, base * 2.0 ** (20 - k)) for k in range(20)), (50, base), (60, base * 2.0**-660), (61, base * 2.0**660), (62, np.append(base, 0.0)), (63, r.standard_normal(3))]
+    got = ann.nearest(spark.createDataFrame([(k, list(map(float, x))) for k, x in data], "vec_id long, embedding array<double>"), 50, 5).collect()
+    by = {q: [x.vec_id for x in sorted((x for x in got if x.query_id == q), key=lambda x: x.rank)] for q in (0, 50)}
+    assert by[50] == [10, 11, 12, 13, 14] and len(by[0]) == 5 and all(abs(x.score - 1) < 1e-12 for x in got if x.query_id == 50)
+
+
 # ---- 9 ------------------------------------------------------------------------------------------
 def test_contaminated(spark, edge, empty):
     r, v = random.Random(8), _vocabulary(300)
