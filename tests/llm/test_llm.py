@@ -260,6 +260,20 @@ def test_license_scan(spark, edge, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_license_scan_of_other_wordings(spark, edge):
+    said = {
+        "MIT": "This library is licensed under the terms of the MIT license, see the file.",
+        "Apache-2.0": "Code is licensed under the Apache License, Version 2.0 by its authors",
+        "GPL-2.0": "SPDX-License-Identifier: GPL-2.0",
+        "AGPL-3.0": "This tool is licensed under the GNU Affero General Public License, version 3.",
+        "ISC": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted",
+    }
+    none = ["The shop needs a license for the public sale of free drinks.", "Permission is granted to visitors who use the pool.", "SPDX-License-Identifier: Proprietary-Foo", "All files of the work are provided by the city."]
+    data = [(100 + k, t) for k, t in enumerate(said.values())] + [(200 + k, t) for k, t in enumerate(none)] + [(300, " ".join(["word"] * 20000) + " released under the ISC License. " + " ".join(["word"] * 20000))]
+    got = licenses.license_scan(_docs(spark, edge + data)).collect()
+    assert {r.doc_id: r.family for r in got} == {100 + k: f for k, f in enumerate(said)} | {300: "ISC"}
+
+
 # ---- 7 ------------------------------------------------------------------------------------------
 def test_simhash_against_all_pairs(spark, edge, empty):
     r = random.Random(9)
