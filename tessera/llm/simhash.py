@@ -8,7 +8,7 @@ shared out: the keys of either side reach one bit.
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import scratch
+from tessera.llm import scratch, words
 from tessera.llm.components import components
 from tessera.llm.words import distinct, mix
 
@@ -36,10 +36,10 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The 64-bit fingerprint of a text's word shingles with repeats; 0 without words."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    own = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not own:
         return 0
-    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
+    grams = map(b" ".join, zip(*(own[k:] for k in range(shingle)), strict=False)) if len(own) >= shingle else [b" ".join(own)]
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(x, 42) for x in grams], dtype=np.uint64)
     return int.from_bytes(_majority(hashes).tobytes(), "big")
@@ -82,8 +82,8 @@ def segments_of(bits: int, count: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _distance(words: int) -> Column:
-    return sum((F.bit_count(F.col(f"l.f{k}").bitwiseXOR(F.col(f"r.f{k}"))) for k in range(words)), F.lit(0))
+def _distance(parts: int) -> Column:
+    return sum((F.bit_count(F.col(f"l.f{k}").bitwiseXOR(F.col(f"r.f{k}"))) for k in range(parts)), F.lit(0))
 
 
 def close_pairs(fps: DataFrame, bits: int, radius: int, segments: int, extra: Column | None = None, confirm: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, linked: DataFrame | None = None) -> DataFrame:
@@ -97,8 +97,7 @@ def close_pairs(fps: DataFrame, bits: int, radius: int, segments: int, extra: Co
     """
     cut = segments_of(bits, segments)
     reach = radius // segments
-    words = bits // 64
-    near = _distance(words) <= radius
+    near = _distance(bits // 64) <= radius
     if extra is not None:
         near = near & extra
     cols = [F.col(c) for c in fps.columns]
@@ -140,13 +139,12 @@ WIDE = {"bits": 128, "radius": 11, "segments": 4}
 #: Texts of similarity J share a band with probability 1 - (1 - J**5)**30, which is 0.99999 at 0.8.
 BANDS, DEPTH = 30, 5
 _FACTORS = mix(np.arange(1, BANDS * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
+#: Standard deviations below the least similarity from which on the share of equal least hashes rules a pair out.
+DEVIATIONS = 6
 #: Most ids whose texts are found by a broadcast; beyond it the texts are shuffled.
 BROADCAST_IDS = 200_000
-
-
-def _shingles(text: str | None, size: int) -> set:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return set(zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else {tuple(words)}
+#: Pairs whose shingles are compared at once.
+COMPARED = 256
 
 
 def _shingle_hashes(each: np.ndarray, size: int) -> np.ndarray:
@@ -158,44 +156,53 @@ def _shingle_hashes(each: np.ndarray, size: int) -> np.ndarray:
     return distinct(grams)
 
 
+def _word_hashes(column: pa.Array) -> Iterator[np.ndarray]:
+    """The digests of the words of each text, in lower case (A-Z)."""
+    for a, b, data, offsets in words.texts(column):
+        w = words.split(data, offsets, lower=True)
+        digests = w.digests()
+        for k in range(b - a):
+            yield digests[w.bound[k] : w.bound[k + 1]]
+
+
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """The keys of a text's bands, from the hashes of its shingles."""
+    """The least value of each of BANDS * DEPTH hash functions over the hashes of a text's shingles, in 32 bits."""
     low = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max)
     for at in range(0, len(shingles), 1024):
         low = np.minimum(low, (_FACTORS[:, None] * shingles[None, at : at + 1024]).min(axis=1))
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for column in low.reshape(BANDS, DEPTH).T:
-        keys = mix(keys + column)
-    return keys
+    return mix(low).astype(np.uint32)
+
+
+def bands(sketched: Column) -> list[Column]:
+    """A key for each band of a sketch."""
+    return [F.xxhash64(F.lit(b), *[F.get(sketched, F.lit(DEPTH * b + k)) for k in range(DEPTH)]) for b in range(BANDS)]
 
 
 def _wide(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, c0, c1: hash of the set of shingles, f0, f1: wide fingerprint, n: distinct shingles, bands: keys of its sketch)."""
+    """(doc_id, c0, c1: hash of the set of shingles, f0, f1: wide fingerprint, n: distinct shingles, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            rows, bands = [], []
-            for text in b.column(1).to_pylist():
-                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                count = Counter(words)
-                h = np.array([divmod(xxhash.xxh3_128_intdigest(w, 42), 1 << 64) for w in count], dtype=np.uint64).reshape(-1, 2)
-                bits = _majority(h, np.sqrt(np.array(list(count.values()), dtype=float))) if count else np.zeros(16, np.uint8)
-                place = {w: k for k, w in enumerate(count)}
-                shingles = _shingle_hashes(h[np.fromiter(map(place.__getitem__, words), np.int64, len(words)), 0], shingle)
-                bands.append(sketch(shingles).view(np.int64))
+            rows, sketches = [], []
+            for each in _word_hashes(b.column(1)):
+                own, count = np.unique(each[:, 0], return_index=True, return_counts=True)[1:] if len(each) else (np.zeros(0, np.int64),) * 2
+                bits = _majority(each[own].reshape(-1, 2), np.sqrt(count.astype(float))) if len(own) else np.zeros(16, np.uint8)
+                shingles = _shingle_hashes(each[:, 0], shingle)
+                sketches.append(sketch(shingles).view(np.int32))
                 rows.append((*divmod(xxhash.xxh3_128_intdigest(shingles.tobytes(), 7), 1 << 64), *bits.view(">u8").tolist(), len(shingles)))
             c0, c1, f0, f1, n = zip(*rows, strict=True) if rows else ((),) * 5
-            keys = pa.ListArray.from_arrays(pa.array(range(0, BANDS * len(rows) + 1, BANDS), pa.int32()), pa.array(np.concatenate(bands) if bands else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(_signed(list(x)) for x in (c0, c1, f0, f1)), pa.array(n, pa.int64()), keys], ["doc_id", "c0", "c1", "f0", "f1", "n", "bands"])
+            width = BANDS * DEPTH
+            keys = pa.ListArray.from_arrays(pa.array(range(0, width * len(rows) + 1, width), pa.int32()), pa.array(np.concatenate(sketches) if sketches else [], pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(_signed(list(x)) for x in (c0, c1, f0, f1)), pa.array(n, pa.int64()), keys], ["doc_id", "c0", "c1", "f0", "f1", "n", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, c0 long, c1 long, f0 long, f1 long, n long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, c0 long, c1 long, f0 long, f1 long, n long, sketch array<int>")
 
 
 def sketch_pairs(nodes: DataFrame, extra: Column, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b) of rows (node, n, bands) that share a band and that extra and confirm keep; large groups as in close_pairs."""
-    table = nodes.select("node", "n", F.explode("bands").alias("key"))
+    """Links (a, b) of rows (node, n, sketch) that share a band and that extra and confirm keep; large groups as in close_pairs."""
+    table = nodes.select("node", "n", F.explode(F.array(*bands(F.col("sketch")))).alias("key"))
     least = table.groupBy("key").agg(F.min(F.struct("node", "n")).alias("s")).select("key", "s.*")
     pair = [F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")]
     stars = scratch.cut(confirm(table.alias("l").join(least.alias("r"), "key").where((F.col("l.node") > F.col("r.node")) & extra).select(*pair).distinct()))
@@ -212,30 +219,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 
     Texts of the same set of word shingles (A-Z in lower case) are copies. Other texts link if the Jaccard similarity of their
     distinct word shingles is `similarity` or more: candidates come from sketches of the shingles and from wide SimHash
-    fingerprints by multi-index hashing, and the similarity of each is then computed exactly from the whole texts. Texts of fewer shingles than could differ
-    and still be so similar only have copies. Texts without words (null ones too) are copies of each other. Rows with a
-    null doc_id take no part; repeated rows come out each; an empty table gives no rows; other columns are not read.
+    fingerprints by multi-index hashing. Pairs whose sketches agree in a share that lies DEVIATIONS standard deviations below
+    `similarity` are ruled out; the similarity of the others is then computed from the 64-bit hashes of all shingles of the
+    whole texts. Texts of fewer shingles than could differ and still be so similar only have copies. Texts without words (null
+    ones too) are copies of each other. Rows with a null doc_id take no part; repeated rows come out each; an empty table gives
+    no rows; other columns are not read.
     """
     named = docs.where(F.col("doc_id").isNotNull())
     each = scratch.cut(_wide(named, shingle))
-    nodes = scratch.cut(each.groupBy("c0", "c1").agg(F.min("doc_id").alias("node"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    nodes = scratch.cut(each.groupBy("c0", "c1").agg(F.min("doc_id").alias("node"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    width = BANDS * DEPTH
+    agree = max(0, math.floor(width * similarity - DEVIATIONS * math.sqrt(width * similarity * (1 - similarity))))
+    sketches = nodes.select("node", "sketch")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.cut(pairs)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("s")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("t")), "b")
+        same = F.size(F.filter(F.zip_with("s", "t", lambda x, y: x == y), lambda x: x))
+        likely = scratch.cut(both.where(same >= agree).select("a", "b"))
+        ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         texts = named.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
         texts = scratch.cut(texts)
-        both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+        both = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = []
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    one, two = _shingles(x, shingle), _shingles(y, shingle)
-                    common = len(one & two)
-                    keep.append(common >= similarity * (len(one) + len(two) - common))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                for at in range(0, batch.num_rows, COMPARED):
+                    own = batch.slice(at, COMPARED)
+                    keep = []
+                    for x, y in zip(_word_hashes(own.column(2)), _word_hashes(own.column(3)), strict=True):
+                        one, two = _shingle_hashes(x[:, 0], shingle), _shingle_hashes(y[:, 0], shingle)
+                        common = len(one) + len(two) - len(distinct(np.concatenate([one, two])))
+                        keep.append(common >= similarity * (len(one) + len(two) - common))
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         return both.mapInArrow(run, "a long, b long")
 

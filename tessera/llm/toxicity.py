@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import labelled, words
-from tessera.llm.simhash import sketch
+from tessera.llm.simhash import BANDS, sketch
 
 #: Most labelled texts that training reads, and the dictionaries' sizes in bytes: the bounds of training and of the model.
 TRAIN_ROWS = 4000
@@ -86,9 +86,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> list[float]:
 def _apart(sets: list[set[bytes]], labels: list[int]) -> list[int]:
     """One of each group of texts of one label whose sets of words have a Jaccard similarity of 0.8 or more: copies say nothing more of the class."""
     kept: list[int] = []
-    buckets: dict[tuple[int, int], list[int]] = {}
+    buckets: dict[tuple[int, int, bytes], list[int]] = {}
     for k, own in enumerate(sets):
-        keys = [(labels[k], x) for x in sketch(np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))).tolist()]
+        low = sketch(np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))).reshape(BANDS, -1)
+        keys = [(labels[k], b, x.tobytes()) for b, x in enumerate(low)]
         near = {j for key in keys for j in buckets.get(key, ())}
         if any(5 * len(own & sets[j]) >= 4 * len(own | sets[j]) for j in near):
             continue

@@ -314,6 +314,21 @@ def test_near_duplicates(spark, edge, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def _shingles(text, size):
+    words = text.encode().lower().split()
+    return set(zip(*(words[k:] for k in range(size)))) if len(words) >= size else {tuple(words)}
+
+
+def test_fingerprint_bit_by_bit():
+    import xxhash
+
+    for text in ("One two three four FIVE two", "a b", "", None, "a b c " * 40):
+        words = (text or "").encode().lower().split()
+        grams = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+        assert simhash.fingerprint(text) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 def test_near_duplicates_of_block_edits(spark):
     r, v = random.Random(16), _vocabulary(3000)
     text = lambda n: [r.choice(v) for _ in range(n)]
@@ -325,7 +340,7 @@ def test_near_duplicates_of_block_edits(spark):
         edits = [w + text(max(1, n // 6)), w[:at] + text(n // 12) + w[at + n // 12 :], w[: n - n // 7], text(1) + w]
         for j, words in enumerate([w, *edits]):
             data.append((10 * k + j, " ".join(words)))
-            one, two = simhash._shingles(data[5 * k][1], 5), simhash._shingles(data[-1][1], 5)
+            one, two = _shingles(data[5 * k][1], 5), _shingles(data[-1][1], 5)
             want[10 * k + j] = len(one & two) >= 0.8 * len(one | two)
     got = {x.doc_id: x.component_id for x in simhash.near_duplicates(_docs(spark, data)).collect()}
     assert sum(want.values()) > 120 and all(got[i] == i // 10 * 10 for i, near in want.items() if near)
