@@ -133,8 +133,9 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, segme
 
 
 #: Wide fingerprints of a text's distinct words, weighted by the root of their counts, for candidates of near copies: texts
-#: whose shingles agree in 0.8 differ in about 8 of 128 bits if the edits are scattered, in more if they are in one block.
-WIDE = {"bits": 128, "radius": 11, "segments": 4}
+#: whose shingles agree in 0.8 differ in about 8 of 128 bits if the edits are scattered, in more if they are in one block. A
+#: wider ball finds more of these, but also all pairs of texts that share a passage; the sketches below find the rest.
+WIDE = {"bits": 128, "radius": 7, "segments": 4}
 #: Sketches of a text's shingles, which find near copies whatever the kind of edit: so many bands of so many least hashes.
 #: Texts of similarity J share a band with probability 1 - (1 - J**5)**30, which is 0.99999 at 0.8.
 BANDS, DEPTH = 30, 5
@@ -143,7 +144,7 @@ _FACTORS = mix(np.arange(1, BANDS * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
 DEVIATIONS = 6
 #: Most ids whose texts are found by a broadcast; beyond it the texts are shuffled.
 BROADCAST_IDS = 200_000
-#: Pairs whose shingles are compared at once.
+#: Texts whose shingles are hashed at once.
 COMPARED = 256
 
 
@@ -238,22 +239,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
         likely = scratch.cut(both.where(same >= agree).select("a", "b"))
         ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        texts = named.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-        texts = scratch.cut(texts)
-        both = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, COMPARED):
-                    own = batch.slice(at, COMPARED)
-                    keep = []
-                    for x, y in zip(_word_hashes(own.column(2)), _word_hashes(own.column(3)), strict=True):
-                        one, two = _shingle_hashes(x[:, 0], shingle), _shingle_hashes(y[:, 0], shingle)
-                        common = len(one) + len(two) - len(distinct(np.concatenate([one, two])))
-                        keep.append(common >= similarity * (len(one) + len(two) - common))
-                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        return both.mapInArrow(run, "a long, b long")
+        texts = named.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id").dropDuplicates(["doc_id"])
+        own = scratch.cut(texts.mapInArrow(run, "doc_id long, grams array<long>"))
+        both = likely.join(own.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))  # row by row in the JVM, so a long text is held once for each task
+        return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, COMPARED):
+                own = batch.slice(at, COMPARED)
+                grams = [_shingle_hashes(x[:, 0], shingle).view(np.int64) for x in _word_hashes(own.column(1))]
+                offsets = pa.array(np.cumsum([0, *map(len, grams)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(grams)))], ["doc_id", "grams"])
 
     alike = (F.least("l.n", "r.n") >= F.greatest("l.n", "r.n") * similarity)
     least = int(similarity / (1 - similarity)) if similarity < 1 else 1
