@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import mean_of, word_count
+from tessera.operators.graph import dedupe_entities, extract_entities
 
 
 def answer_confidence(entities: Column, relations: Column, graph_confidence: Column, similarity: Column, answer: Column) -> Column:
@@ -63,3 +64,35 @@ def graph_context(asked: DataFrame, nodes: DataFrame, edges: DataFrame, depth: i
         edge = edge.withColumnRenamed("id", "src").join(both, "src").select("term", F.col("dst").alias("id")).distinct()
         reached = reached.unionByName(edge).distinct()
     return asked.select("query_id", F.lower("name").alias("term")).join(reached, "term").select("query_id", "id").distinct()
+
+
+def query_entities(queries: DataFrame) -> DataFrame:
+    """(query_id, name, type) of the entities that each query's text names."""
+    found = extract_entities(queries.select(F.col("query_id").alias("doc_id"), "text"))
+    return dedupe_entities(found).select(F.col("doc_id").alias("query_id"), "name", "type")
+
+
+def avg_confidence(found: DataFrame) -> DataFrame:
+    """(query_id, avg_confidence): a missing confidence counts 0."""
+    return found.groupBy("query_id").agg(F.avg(F.coalesce("confidence", F.lit(0.0))).alias("avg_confidence"))
+
+
+def graph_rag_query(queries: DataFrame, asked: DataFrame, nodes: DataFrame, edges: DataFrame, excerpts: DataFrame, answers: DataFrame, depth: int = 1) -> DataFrame:
+    """One row for each query: entities, relations, avg_confidence, excerpts, similarity, coverage, confidence, quality, reasoning_path.
+
+    queries (query_id), asked (query_id, name; query_entities gives it), excerpts (query_id, similarity) of a vector search and
+    answers (query_id, answer) of a model, as batch_inference writes them. The graph context of all queries is one plan.
+    """
+    reached = graph_context(asked, nodes, edges, depth).join(nodes.select("id", "name", "confidence"), "id")
+    graph = reached.groupBy("query_id").agg(F.count("*").alias("entities"))
+    inside = edges.join(reached.select("query_id", F.col("id").alias("src")), "src").join(reached.select("query_id", F.col("id").alias("dst")), ["query_id", "dst"])
+    relations = inside.groupBy("query_id").agg(F.count_distinct("src", "dst", "type").alias("relations"))
+    named = coverage_score(asked, reached.select("query_id", "name"))
+    vector = excerpts.groupBy("query_id").agg(F.count("*").alias("excerpts"), F.avg("similarity").alias("similarity"))
+    every = queries.select("query_id").distinct()
+    for part in (graph, relations, avg_confidence(reached), named, vector, answers.select("query_id", "answer")):
+        every = every.join(part, "query_id", "left")
+    every = every.na.fill(0, ["entities", "relations", "excerpts"]).na.fill(0.0, ["avg_confidence"]).na.fill({"coverage": 1.0, "answer": ""})
+    n, e, c, s = F.col("entities"), F.col("relations"), F.col("avg_confidence"), F.col("similarity")
+    sure = every.withColumn("confidence", answer_confidence(n, e, c, s, F.col("answer")))
+    return sure.withColumn("quality", result_quality(n, c, s, F.col("confidence"))).withColumn("reasoning_path", reasoning_path(n, e, F.col("excerpts"), s)).drop("answer")

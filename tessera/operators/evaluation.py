@@ -60,6 +60,28 @@ def fact_points_v3(content: Column, context: Column, kind: Column, confidence: C
     return _tier(content, (20, 2.0), (10, 1.0)) + _tier(context, (10, 1.0)) + typed + F.coalesce(confidence.cast("double"), F.lit(0.5))
 
 
+def concept_points_v3(name: Column, definition: Column, examples: Column, relationships: Column, confidence: Column) -> Column:
+    """Of six points."""
+    real = lambda a: F.size(F.filter(F.coalesce(a, F.array().cast("array<string>")), lambda x: F.length(F.trim(x)) >= 3))
+    shown = F.when(real(examples) >= 2, 1.0).when(real(examples) >= 1, 0.5).otherwise(0.0)
+    return _tier(name, (3, 1.0)) + _tier(definition, (50, 2.0), (20, 1.0), (5, 0.5)) + shown + F.when(real(relationships) >= 1, 1.0).otherwise(0.0) + F.coalesce(confidence.cast("double"), F.lit(0.5))
+
+
+#: Words of an instruction that ask for an analysis.
+ANALYTICAL = ("compare", "contrast", "analyze", "relationship", "difference", "similarity")
+
+
+def qa_points_v3(instruction: Column, output: Column) -> Column:
+    """Of four points: a valid instruction (3 words or more), a valid output (5 or more), a pair in which both hold and differ, and depth.
+
+    What makes an instruction, an output and a pair valid is ours; only that they count is given.
+    """
+    good, full = word_count(instruction) >= 3, word_count(output) >= 5
+    point = lambda c, x: F.when(c, x).otherwise(0.0)
+    asks = contains_any(F.lower(instruction), ANALYTICAL)
+    return point(good, 1.0) + point(full, 1.0) + point(good & full & (F.lower(F.trim(instruction)) != F.lower(F.trim(output))), 1.0) + point(asks & (output != ""), 0.5) + point((word_count(output) >= 30) & (instruction != ""), 0.5)
+
+
 def score_by_model(items: DataFrame, points: Column, most: float = 1.0, expected: int | None = None) -> DataFrame:
     """(model, score): the mean share of the points, 1 at most; with an expected count .8 of it and .2 of the share of items there are."""
     share = F.least(F.avg(points) / most, F.lit(1.0))
@@ -167,3 +189,17 @@ def performance_report(ratios: DataFrame, *names: str) -> DataFrame:
         total = total + F.col(n)
     mean = total / len(names)
     return ratios.withColumn("overall", mean).withColumn("status", F.when(mean >= 0.9, "excellent").when(mean >= 0.7, "good").when(mean >= 0.5, "fair").otherwise("poor"))
+
+
+def model_subset_analysis(board: DataFrame, subset: DataFrame, helped: DataFrame) -> DataFrame:
+    """Models of subset in the order of their total: (model, total, percent, assistance), assistance being how often helped names the model."""
+    help_ = helped.groupBy("model").agg(F.count("*").alias("assistance"))
+    own = board.join(subset.select("model").distinct(), "model", "left_semi").join(help_, "model", "left")
+    return own.select("model", "total", "percent", F.coalesce("assistance", F.lit(0)).cast("long").alias("assistance"))
+
+
+def evaluation_recommendations(board: DataFrame, latest: DataFrame) -> DataFrame:
+    """(kind, model, score): the best model over all (the least name on a tie), and the best of each task that has a score above 0."""
+    best = board.agg(F.min(F.struct((-F.col("total")).alias("low"), "model")).alias("b")).where("b is not null").select(F.lit("overall").alias("kind"), "b.model", (-F.col("b.low")).alias("score"))
+    each = latest.where("score > 0").groupBy("task").agg(F.min(F.struct((-F.col("score")).alias("low"), "model")).alias("b"))
+    return best.unionByName(each.select(F.col("task").alias("kind"), "b.model", (-F.col("b.low")).alias("score")))

@@ -155,7 +155,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str = "update
 def with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges both of whose ends are nodes."""
     ids = nodes.select("id").distinct()
-    return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
 
 
 def by_type(nodes: DataFrame, kind: str, most: int = 50) -> DataFrame:
@@ -256,3 +256,27 @@ def optimize(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame,
     strong = strengthen(moved)
     stages = count("before", nodes, edges).unionByName(count("cleaned", good, kept)).unionByName(count("after", merged, strong))
     return merged, strong, stages
+
+
+def upsert_edges(old: DataFrame, new: DataFrame, nodes: DataFrame, order: str = "updated_at") -> DataFrame:
+    """The latest row of each (src, dst, type) of both tables whose two ends are nodes."""
+    return with_ends(upsert(old, new, ["src", "dst", "type"], order), nodes)
+
+
+def upsert_docs(old: DataFrame, new: DataFrame, order: str = "updated_at") -> DataFrame:
+    """The latest row of each document."""
+    return upsert(old, new, ["doc_id"], order)
+
+
+def link_mentions(mentions: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, doc_id, context): one edge for each node and document that exist, with the latest context (of equal times the larger)."""
+    known = mentions.join(nodes.select("id").distinct(), "id", "left_semi").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    return known.groupBy("id", "doc_id").agg(F.max(F.struct("created_at", "context"))["context"].alias("context"))
+
+
+def recompute_quality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes with quality_score = .5 confidence + .3 min(mentions / 10, 1) + .2 min(edges / 5, 1). (A placeholder in the reference; the rule is ours.)"""
+    ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).groupBy("id").agg(F.count("*").alias("__n"))
+    part = lambda c, n: F.least(F.coalesce(c, F.lit(0)) / n, F.lit(1.0))
+    score = F.coalesce("confidence", F.lit(0.0)) * 0.5 + part(F.col("mentions"), 10) * 0.3 + part(F.col("__n"), 5) * 0.2
+    return nodes.join(ends, "id", "left").withColumn("quality_score", score).select(*nodes.columns)

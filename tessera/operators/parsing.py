@@ -22,23 +22,22 @@ NUMBER = r"([0-9]*\.?[0-9]+)"
 
 def _valid(text: Column) -> Column:
     """The text if it is a JSON object or array, else null. In brackets, for the parser lets text after the first value pass."""
-    trimmed = F.trim(text)
+    trimmed = F.trim(text, F.lit(" \n\r\t"))
     return F.when(trimmed.rlike(r"^[\[{]") & F.try_parse_json(F.concat(F.lit("["), trimmed, F.lit("]"))).isNotNull(), trimmed)
 
 
 @F.pandas_udf(T.StringType())
 def _scan(texts: pd.Series) -> pd.Series:
-    """The first balanced {..} or [..] that is JSON, by a scan for brackets outside strings."""
+    """The first {..} or [..] that is JSON, tried from every bracket; null for a null text."""
     import json
+    import re
 
     def one(text: str | None) -> str | None:
-        text = text or ""
-        starts = [k for k, c in enumerate(text) if c in "{["]
-        for start in starts[:1000]:
+        for start in re.finditer(r"[{\[]", text or ""):
             try:
-                _, end = json.JSONDecoder().raw_decode(text, start)
-                return text[start:end]
-            except ValueError:
+                _, end = json.JSONDecoder().raw_decode(text, start.start())
+                return text[start.start() : end]
+            except (ValueError, RecursionError):
                 continue
         return None
 
@@ -48,7 +47,8 @@ def _scan(texts: pd.Series) -> pd.Series:
 def extract_json(responses: DataFrame) -> DataFrame:
     """Adds json and strategy: whole text, fenced block, greedy brackets, cleaned text, then a bracket scan on what is left.
 
-    The native strategies run first, and only responses without a result go to Python. json is null if none applies.
+    The native strategies are an array that is filtered once, and the scan gets a null where one of them applied. json is
+    null if none does.
     """
     r = F.coalesce("response", F.lit(""))
     cleaned = strip_boilerplate(F.trim(strip_reasoning_tags(r)))
@@ -60,11 +60,11 @@ def extract_json(responses: DataFrame) -> DataFrame:
         "cleaned": cleaned,
         "from_bracket": F.regexp_extract(cleaned, r"(?s)([\[{].*)$", 1),
     }
-    found = F.coalesce(*[F.when(_valid(c).isNotNull(), F.struct(_valid(c).alias("json"), F.lit(n).alias("strategy"))) for n, c in steps.items()])
+    tried = F.array(*[F.struct(c.alias("json"), F.lit(n).alias("strategy")) for n, c in steps.items()])
+    found = F.get(F.filter(F.transform(tried, lambda t: F.struct(_valid(t["json"]).alias("json"), t["strategy"].alias("strategy"))), lambda t: t["json"].isNotNull()), F.lit(0))
     first = responses.withColumn("__f", found)
-    done = first.where(F.col("__f").isNotNull()).select(*responses.columns, "__f.json", "__f.strategy")
-    rest = first.where(F.col("__f").isNull()).drop("__f").withColumn("json", _scan("response"))
-    return done.unionByName(rest.withColumn("strategy", F.when(F.col("json").isNotNull(), "scan")))
+    both = first.withColumn("__s", _scan(F.when(F.col("__f").isNull(), r)))
+    return both.select(*responses.columns, F.coalesce("__f.json", "__s").alias("json"), F.coalesce("__f.strategy", F.when(F.col("__s").isNotNull(), "scan")).alias("strategy"))
 
 
 def first_array_or_object(text: Column) -> Column:
@@ -152,3 +152,30 @@ def batch_inference(prompts: DataFrame, model: Callable[[list[str]], list[str]],
     rows = prompts.repartition(partitions) if partitions else prompts
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields)
     return rows.mapInPandas(run, f"{schema}, response string, error string")
+
+
+def valid_concepts(json: Column) -> Column:
+    """Whether a JSON array's items all are objects with the four keys, and examples and relationships, where given, arrays."""
+    items = F.from_json(json, "array<map<string,variant>>")
+    keys = F.array(*map(F.lit, ("name", "definition", "domain", "confidence")))
+    listed = lambda m, k: F.coalesce(F.schema_of_variant(m[k]).startswith("ARRAY"), F.lit(True))
+    return F.coalesce(F.forall(items, lambda m: F.size(F.array_intersect(F.map_keys(m), keys)).eqNullSafe(4) & listed(m, "examples") & listed(m, "relationships")), F.lit(False))
+
+
+def explode_facts(parsed: DataFrame, most: int = 5) -> DataFrame:
+    """parsed's columns but json, with pos (from 0), content, context, fact_type and confidence of the first facts of its array; missing ones get defaults."""
+    items = F.slice(F.from_json("json", "array<struct<content:string,context:string,fact_type:string,confidence:string>>"), 1, most)
+    rest = [c for c in parsed.columns if c != "json"]
+    each = parsed.select(*rest, F.posexplode(items).alias("pos", "f"))
+    given = {"content": "", "context": "", "fact_type": "general", "confidence": "0.5"}
+    return each.select(*rest, "pos", *[F.coalesce(F.col("f")[k], F.lit(v)).alias(k) for k, v in given.items()])
+
+
+def explode_concepts(parsed: DataFrame, most: int = 3) -> DataFrame:
+    """The same for concepts: name, definition, domain, confidence, examples and relationships."""
+    items = F.slice(F.from_json("json", "array<struct<name:string,definition:string,domain:string,confidence:string,examples:array<string>,relationships:array<string>>>"), 1, most)
+    rest = [c for c in parsed.columns if c != "json"]
+    each = parsed.select(*rest, F.posexplode(items).alias("pos", "f"))
+    given = {"name": "", "definition": "", "domain": "", "confidence": "medium"}
+    none = F.array().cast("array<string>")
+    return each.select(*rest, "pos", *[F.coalesce(F.col("f")[k], F.lit(v)).alias(k) for k, v in given.items()], *[F.coalesce(F.col("f")[k], none).alias(k) for k in ("examples", "relationships")])

@@ -58,3 +58,20 @@ def write_instructions(rows: DataFrame, path: str) -> None:
 def write_chunk_index(chunks: DataFrame, path: str, buckets: int = 16) -> None:
     """Parquet by a hash bucket of doc_id, so that one document's chunks are found and replaced in one folder."""
     chunks.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def scan_model_registry(spark: SparkSession, path: str, kind: str = "text_generation") -> DataFrame:
+    """Models of one type from JSON lines (name, type, strengths, weaknesses, cost, speed)."""
+    schema = "name string, type string, strengths array<string>, weaknesses array<string>, cost string, speed string"
+    return spark.read.schema(schema).json(path).where(F.col("type") == kind)
+
+
+def newest_first(rows: DataFrame, at: str = "upload_time", then: str = "id") -> DataFrame:
+    """Document metadata or results by time, the newest first, ties by id."""
+    return rows.orderBy(F.desc_nulls_last(at), then)
+
+
+def write_envelopes(results: DataFrame, path: str) -> None:
+    """Each result (id, title, description, type, data, created_at, workflow_id) as JSON in path/full, and its data alone in path/data."""
+    results.write.json(f"{path}/full")
+    results.select("id", "data").write.json(f"{path}/data")

@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.gates import gate
+
 
 def recent(log: DataFrame, most: int, condition: Column | None = None) -> DataFrame:
     """The newest rows, ties by the larger event_id."""
@@ -60,3 +62,12 @@ def windowed_rating(events: DataFrame, days: int = 7, least: int = 100, below: f
 def run_available(spark: SparkSession, source: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Run a stream over what its source holds now; each batch goes to `each`, exactly once by the checkpoint."""
     source.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def stream_quality_gate(rows: DataFrame, path: str, checkpoint: str) -> None:
+    """Pass what a stream of instruction rows has now through the gates of a batch, and append it with its checks to path as Parquet."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        gate(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
+
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
