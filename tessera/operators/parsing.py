@@ -28,17 +28,24 @@ def _valid(text: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _scan(texts: pd.Series) -> pd.Series:
-    """The first {..} or [..] that is JSON, tried from every bracket; null for a null text."""
+    """The first {..} or [..] that is JSON, tried from every bracket; null for a null text. Of a run of brackets nested too deep to parse, the last 1,000 are tried."""
     import json
     import re
 
+    opening, run = re.compile(r"[{\[]"), re.compile(r"[{\[\s]*")
+    decode = json.JSONDecoder().raw_decode
+
     def one(text: str | None) -> str | None:
-        for start in re.finditer(r"[{\[]", text or ""):
+        start = opening.search(text or "")
+        while start:
+            at = start.start()
             try:
-                _, end = json.JSONDecoder().raw_decode(text, start.start())
-                return text[start.start() : end]
-            except (ValueError, RecursionError):
-                continue
+                return text[at : decode(text, at)[1]]
+            except ValueError:
+                at += 1
+            except RecursionError:  # so are the next ones of a long run of brackets; the last thousand of it may not be
+                at = max(at + 1, run.match(text, at).end() - 1000)
+            start = opening.search(text, at)
         return None
 
     return texts.map(one)
@@ -55,8 +62,8 @@ def extract_json(responses: DataFrame) -> DataFrame:
     steps = {
         "whole": r,
         "fenced": F.regexp_extract(r, r"(?s)```(?:json)?\s*(.*?)```", 1),
-        "array": F.regexp_extract(r, r"(?s)(\[.*\])", 1),
-        "object": F.regexp_extract(r, r"(?s)(\{.*\})", 1),
+        "array": F.when(F.contains(r, F.lit("]")), F.regexp_extract(r, r"(?s)(\[.*\])", 1)),  # without a closing bracket every opening one would be tried to the end
+        "object": F.when(F.contains(r, F.lit("}")), F.regexp_extract(r, r"(?s)(\{.*\})", 1)),
         "cleaned": cleaned,
         "from_bracket": F.regexp_extract(cleaned, r"(?s)([\[{].*)$", 1),
     }
