@@ -173,15 +173,25 @@ def size_bonus(model: Column) -> Column:
     return _family(model, SIZE, (("gpt-4", 0.9), ("gpt-3.5", 0.7)), 0.6)
 
 
+STRATEGIES = ("performance", "balanced", "speed", "quality")
+
+
 def select_model(scored: DataFrame) -> DataFrame:
     """(task, strategy, model, value) for four strategies over (task, position, model, score); the first of equals wins."""
     p, v, s = F.col("score"), speed_score(F.col("model")), size_bonus(F.col("model"))
-    each = F.array(*[F.struct(F.lit(n).alias("strategy"), F.round(x, 9).alias("value")) for n, x in (("performance", p), ("balanced", p * 0.6 + v * 0.4), ("speed", v), ("quality", p * 0.8 + s * 0.2))])
+    each = F.array(*[F.struct(F.lit(n).alias("strategy"), F.round(x, 9).alias("value")) for n, x in zip(STRATEGIES, (p, p * 0.6 + v * 0.4, v, p * 0.8 + s * 0.2), strict=True)])
     flat = scored.select("task", "position", "model", F.inline(each))
     best = F.min(F.struct((-F.col("value")).alias("v"), "position", "model"))
     return flat.groupBy("task", "strategy").agg(best.alias("b")).select("task", "strategy", "b.model", (-F.col("b.v")).alias("value"))
 
 
+def model_recommendations(scored: DataFrame) -> DataFrame:
+    """(task, the model that each strategy selects, models: how many distinct ones there are to select from); a task without models has no row."""
+    many = scored.groupBy("task").agg(F.count_distinct("model").alias("models"))
+    chosen = select_model(scored).groupBy("task").agg(*[F.max(F.when(F.col("strategy") == n, F.col("model"))).alias(n) for n in STRATEGIES])
+    return chosen.join(many, "task")
+
+
 def performance_report(ratios: DataFrame, *names: str) -> DataFrame:
     """Adds overall, the mean of the ratios, and status by bands."""
     total = F.lit(0.0)

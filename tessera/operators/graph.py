@@ -57,6 +57,18 @@ def extract_entities(docs: DataFrame, patterns: tuple = PATTERNS) -> DataFrame:
     return docs.select("doc_id", F.inline(run("text")))
 
 
+def pattern_table(patterns: DataFrame, most: int = 10_000) -> tuple:
+    """The rows (type, confidence, ignore_case, pattern) of a table as extract_entities takes them, in the order of these columns.
+
+    Null confidences count .5, null ignore_case is false; rows without a type or a pattern name nothing and are left out. A table of more
+    than `most` rows is no list of patterns and raises a ValueError: the patterns travel with every task.
+    """
+    rows = patterns.where("type is not null and pattern is not null").select("type", F.coalesce(F.col("confidence").cast("double"), F.lit(0.5)), F.coalesce("ignore_case", F.lit(False)), "pattern").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} patterns")
+    return tuple(sorted(tuple(r) for r in rows))
+
+
 def dedupe_entities(entities: DataFrame) -> DataFrame:
     """The best of each (doc_id, lower-case name, type): confidence, then pattern, then position."""
     w = Window.partitionBy("doc_id", F.lower("name"), "type").orderBy(F.desc("confidence"), "pattern", "position")

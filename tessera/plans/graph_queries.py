@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import answering, evaluation, gates, graph, parsing, retrieval
 from tessera.operators.chunking import sentence_chunks
-from tessera.plans.registry import ORACLE_SQL, query, table
+from tessera.plans.registry import query, table
 from tessera.plans.text_queries import INSTR, N_WORDS, WORDS, chunk_sql, instructions
 
 # ---- a graph of customers, suppliers and nations ------------------------------------------------
@@ -278,15 +276,22 @@ def size_bonus(spark: SparkSession, d: str) -> DataFrame:
     return named(spark, d).select("id", evaluation.size_bonus(F.col("model")).alias("bonus"))
 
 
-@query(sql=f"SELECT task, strategy, arg_min(model, (-v, id, model)) AS model, max(v) AS value FROM (SELECT task, id, model, unnest(['performance', 'balanced', 'speed', 'quality']) AS strategy, unnest([round(CAST(score AS DOUBLE), 9), round(score * 0.6 + {SPEEDS} * 0.4, 9), round(CAST({SPEEDS} AS DOUBLE), 9), round(score * 0.8 + {SIZES} * 0.2, 9)]) AS v FROM ({NAMED}) AS n) AS x GROUP BY task, strategy")
+SELECTED = f"SELECT task, strategy, arg_min(model, (-v, id, model)) AS model, max(v) AS value FROM (SELECT task, id, model, unnest(['performance', 'balanced', 'speed', 'quality']) AS strategy, unnest([round(CAST(score AS DOUBLE), 9), round(score * 0.6 + {SPEEDS} * 0.4, 9), round(CAST({SPEEDS} AS DOUBLE), 9), round(score * 0.8 + {SIZES} * 0.2, 9)]) AS v FROM ({NAMED}) AS n) AS x GROUP BY task, strategy"
+
+
+@query(sql=SELECTED)
 def select_model(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.select_model(named(spark, d).withColumnRenamed("id", "position"))
 
 
-@query(sql="SELECT conv_id, turn, (CASE WHEN length(trim(t)) >= 10 THEN 0.5::DOUBLE WHEN length(trim(t)) >= 5 THEN 0.25 ELSE 0 END) + (CASE WHEN length(trim(text)) >= 50 THEN 0.5 WHEN length(trim(text)) >= 20 THEN 0.25 ELSE 0 END) AS score FROM (SELECT *, text[1:turn + 3] AS t FROM conversations) AS c")
+@query(sql=f"SELECT task, {', '.join(f"max(model) FILTER (strategy = '{n}') AS {n}" for n in evaluation.STRATEGIES)}, any_value(models) AS models FROM ({SELECTED}) AS s JOIN (SELECT task, count(DISTINCT model) AS models FROM ({NAMED}) AS n GROUP BY task) AS m USING (task) GROUP BY task")
+def model_recommendations(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.model_recommendations(named(spark, d).withColumnRenamed("id", "position"))
+
+
+@query(sql=f"SELECT seq, (CASE WHEN length(trim(instruction)) >= 10 THEN 0.5::DOUBLE WHEN length(trim(instruction)) >= 5 THEN 0.25 ELSE 0 END) + (CASE WHEN length(trim(output)) >= 50 THEN 0.5 WHEN length(trim(output)) >= 20 THEN 0.25 ELSE 0 END) AS score FROM ({INSTR}) AS i")
 def score_qa_v1(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "conversations").withColumn("t", F.expr("substring(text, 1, turn + 3)"))
-    return own.select("conv_id", "turn", evaluation.qa_score(F.col("t"), F.col("text")).alias("score"))
+    return instructions(spark, d).select("seq", evaluation.qa_score(F.col("instruction"), F.col("output")).alias("score"))
 
 
 @query(sql="SELECT event_id, CASE WHEN w = 'high' THEN 0.9 WHEN w = 'medium' THEN 0.7 WHEN w = 'low' THEN 0.5 ELSE coalesce(try_cast(w AS DOUBLE), 0.5) END AS confidence FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' WHEN 3 THEN 'sure' ELSE '0.' || (event_id % 97) END AS w FROM events) AS e")
@@ -301,27 +306,17 @@ def quality_decision(spark: SparkSession, d: str) -> DataFrame:
     return own.select(F.col("event_id").alias("seq"), gates.quality_decision(F.col("value") / 100, F.col("event_type") == "error", F.col("event_id") % 4 / 20).alias("decision"))
 
 
-# ---- scores of responses in two further versions; conversations are the items, their id modulo 9 the model ---------
-ITEMS = "SELECT 'm' || (conv_id % 9) AS model, text[1:turn * 7] AS a, text[1:turn * 3] AS b, CASE turn % 3 WHEN 0 THEN 'general' WHEN 1 THEN 'date' ELSE '' END AS kind, (turn % 10) / 10.0 AS c FROM conversations"
+# ---- scores of responses in three versions; the pairs of conversations are the items, conv_id modulo 9 the model ---------
+ITEMS = f"SELECT 'm' || (conv_id % 9) AS model, instruction AS a, output AS b, CASE seq % 3 WHEN 0 THEN 'general' WHEN 1 THEN 'date' ELSE '' END AS kind, (seq % 10) / 10.0 AS c FROM ({INSTR}) AS p"
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
-    cut = lambda n: F.expr(f"substring(text, 1, turn * {n})")
-    kind = F.expr("CASE turn % 3 WHEN 0 THEN 'general' WHEN 1 THEN 'date' ELSE '' END")
-    return table(spark, d, "conversations").select(F.concat(F.lit("m"), (F.col("conv_id") % 9).cast("string")).alias("model"), cut(7).alias("a"), cut(3).alias("b"), kind.alias("kind"), (F.col("turn") % 10 / 10).alias("c"))
-
-
-#: The same from whole texts: the instruction and the output of each pair.
-WHOLE_ITEMS = f"SELECT 'm' || (conv_id % 9) AS model, instruction AS a, output AS b, CASE seq % 3 WHEN 0 THEN 'general' WHEN 1 THEN 'date' ELSE '' END AS kind, (seq % 10) / 10.0 AS c FROM ({INSTR}) AS p"
-
-
-def whole_items(spark: SparkSession, d: str) -> DataFrame:
     kind = F.expr("CASE seq % 3 WHEN 0 THEN 'general' WHEN 1 THEN 'date' ELSE '' END")
     return instructions(spark, d).select(F.concat(F.lit("m"), (F.col("conv_id") % 9).cast("string")).alias("model"), F.col("instruction").alias("a"), F.col("output").alias("b"), kind.alias("kind"), (F.col("seq") % 10 / 10).alias("c"))
 
 
-def _scored(spark: SparkSession, d: str, points: Column, most: float = 1.0, expected: int | None = None, rows: Callable[[SparkSession, str], DataFrame] = items) -> DataFrame:
-    return evaluation.score_by_model(rows(spark, d), points, most, expected).withColumn("score", F.round("score", 9))
+def _scored(spark: SparkSession, d: str, points: Column, most: float = 1.0, expected: int | None = None) -> DataFrame:
+    return evaluation.score_by_model(items(spark, d), points, most, expected).withColumn("score", F.round("score", 9))
 
 
 @query(sql=f"SELECT model, round(least(avg((CASE WHEN length(trim(a)) >= 10 THEN 0.4::DOUBLE WHEN length(trim(a)) >= 5 THEN 0.2 ELSE 0 END) + (CASE WHEN length(trim(b)) >= 10 THEN 0.3::DOUBLE WHEN length(trim(b)) >= 5 THEN 0.15 ELSE 0 END) + c * 0.3), 1), 9) AS score FROM ({ITEMS}) AS i GROUP BY model")
@@ -344,35 +339,6 @@ def score_facts_v3(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d, evaluation.fact_points_v3(F.col("a"), F.col("b"), F.col("kind"), F.col("c")), 5.0, 5)
 
 
-def _whole_sql(name: str) -> str:
-    return ORACLE_SQL[name].replace(f"({ITEMS})", f"({WHOLE_ITEMS})")
-
-
-@query(sql=_whole_sql("score_facts_v1"))
-def score_facts_v1_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d, evaluation.fact_score(F.col("a"), F.col("b"), F.col("c")), rows=whole_items)
-
-
-@query(sql=_whole_sql("score_facts_v2"))
-def score_facts_v2_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d, evaluation.fact_score_v2(F.col("a"), F.col("b"), F.col("kind"), F.col("c")), rows=whole_items)
-
-
-@query(sql=_whole_sql("score_facts_v3"))
-def score_facts_v3_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d, evaluation.fact_points_v3(F.col("a"), F.col("b"), F.col("kind"), F.col("c")), 5.0, 5, whole_items)
-
-
-@query(sql=_whole_sql("score_qa_v2"))
-def score_qa_v2_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d, evaluation.qa_score_v2(F.col("a"), F.col("b")), rows=whole_items)
-
-
-@query(sql=f"SELECT seq, (CASE WHEN length(trim(instruction)) >= 10 THEN 0.5::DOUBLE WHEN length(trim(instruction)) >= 5 THEN 0.25 ELSE 0 END) + (CASE WHEN length(trim(output)) >= 50 THEN 0.5 WHEN length(trim(output)) >= 20 THEN 0.25 ELSE 0 END) AS score FROM ({INSTR}) AS i")
-def score_qa_v1_whole(spark: SparkSession, d: str) -> DataFrame:
-    return instructions(spark, d).select("seq", evaluation.qa_score(F.col("instruction"), F.col("output")).alias("score"))
-
-
 @query(sql=f"SELECT id, model FROM ({NAMED}) AS n WHERE contains(model, 'llama') OR contains(model, 'gemma')")
 def suitable_models(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.suitable_models(named(spark, d), ("llama", "gemma")).select("id", "model")
@@ -417,11 +383,6 @@ def render_prompt_scoring(spark: SparkSession, d: str) -> DataFrame:
     return parsing.scoring_prompt(own, "fact_extraction").select("doc_id", "prompt")
 
 
-@query(sql=f"{WITH}, {DUPLICATES}, g AS (SELECT * FROM nodes WHERE confidence >= 0.5) SELECT 'before' AS stage, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges UNION ALL SELECT 'cleaned', (SELECT count(*) FROM g), (SELECT count(*) FROM edges WHERE strength >= 0.4 AND src IN (SELECT id FROM g) AND dst IN (SELECT id FROM g))")
-def optimize_graph(spark: SparkSession, d: str) -> DataFrame:
-    return graph.optimize(nodes(spark, d), edges(spark, d))[2].where("stage <> 'after'")
-
-
 @query(
     sql=f"""{WITH}, g AS (SELECT * FROM nodes WHERE confidence >= 0.5),
   e AS (SELECT * FROM edges WHERE strength >= 0.4 AND src IN (SELECT id FROM g) AND dst IN (SELECT id FROM g)),
@@ -434,7 +395,7 @@ SELECT 'before' AS stage, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*
 UNION ALL SELECT 'cleaned', (SELECT count(*) FROM g), (SELECT count(*) FROM e)
 UNION ALL SELECT 'after', (SELECT count(*) FROM g) - (SELECT count(*) FROM p), (SELECT count(*) FROM after)"""
 )
-def optimize_graph_stages(spark: SparkSession, d: str) -> DataFrame:
+def optimize_graph(spark: SparkSession, d: str) -> DataFrame:
     return graph.optimize(nodes(spark, d), edges(spark, d))[2]
 
 

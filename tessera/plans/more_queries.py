@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import answering, evaluation, gates, graph, parsing, retrieval
 from tessera.operators.chunking import word_chunks
-from tessera.plans.graph_queries import BOARD, WHOLE_ITEMS, WITH, board, edges, nodes, scores, whole_items
+from tessera.plans.graph_queries import BOARD, ITEMS, WITH, board, edges, items, nodes, scores
 from tessera.plans.registry import query, table
 from tessera.plans.text_queries import INSTR, WORDS, instructions
 
@@ -68,11 +68,11 @@ def run_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- scores of concepts and pairs --------------------------------------------------------------------
 #: Examples and relationships of an item: the parts of its texts between commas and points.
-LISTED = f"(SELECT *, string_split(b, ',') AS ex, string_split(a, '.') AS rel FROM ({WHOLE_ITEMS}) AS w)"
+LISTED = f"(SELECT *, string_split(b, ',') AS ex, string_split(a, '.') AS rel FROM ({ITEMS}) AS w)"
 
 
 def listed(spark: SparkSession, d: str) -> DataFrame:
-    return whole_items(spark, d).withColumns({"ex": F.split("b", ","), "rel": F.split("a", r"\.")})
+    return items(spark, d).withColumns({"ex": F.split("b", ","), "rel": F.split("a", r"\.")})
 
 
 def _by_model(rows: DataFrame, points: Column, most: float = 1.0, expected: int | None = None) -> DataFrame:
@@ -183,3 +183,14 @@ def graph_rag_query(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def query_entities(spark: SparkSession, d: str) -> DataFrame:
     return answering.query_entities(table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), "text"))
+
+
+# ---- entities by a table of patterns -------------------------------------------------------------------
+CUSTOM = (("Metric", 0.9, False, "[0-9]+(?:[.][0-9]+)?%"), ("Section", None, None, "[A-Z][a-z]+ [0-9]+"), ("Link", 0.6, True, "(?:and|with) the"))
+
+
+@query(sql="SELECT doc_id, type, name, confidence, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{t}' AS type, {c or 0.5}::DOUBLE AS confidence, unnest(regexp_extract_all(text, '{'(?i)' * bool(i)}{r}')) AS name FROM documents" for t, c, i, r in CUSTOM) + ") AS m GROUP BY doc_id, type, name, confidence")
+def custom_entity_patterns(spark: SparkSession, d: str) -> DataFrame:
+    given = spark.createDataFrame(CUSTOM, "type string, confidence double, ignore_case boolean, pattern string")
+    found = graph.extract_entities(table(spark, d, "documents"), graph.pattern_table(given))
+    return found.groupBy("doc_id", "type", "name", "confidence").agg(F.count("*").alias("n"))

@@ -59,6 +59,18 @@ def windowed_rating(events: DataFrame, days: int = 7, least: int = 100, below: f
     return own.select(F.col("w.start").alias("start"), "n", "average", ((F.col("n") >= least) & (F.col("average") < below)).alias("retrain"))
 
 
+def append_log(rows: DataFrame, path: str, checkpoint: str | None = None) -> None:
+    """Append log rows (event_id, ts, ..) to the Parquet log at path, which is read whole with a column batch; `recent` holds readers to the newest.
+
+    What a stream's source holds now comes in once by its checkpoint: each batch is one folder, which a repeated batch replaces. A
+    table is added as it is, each time.
+    """
+    if not rows.isStreaming:
+        rows.write.mode("append").parquet(f"{path}/batch=table")
+    else:
+        run_available(rows.sparkSession, rows, checkpoint, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}"))
+
+
 def run_available(spark: SparkSession, source: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Run a stream over what its source holds now; each batch goes to `each`, exactly once by the checkpoint."""
     source.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

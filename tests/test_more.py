@@ -121,3 +121,30 @@ def test_run_statistics(spark, seconds):
     rows = spark.sql(f"SELECT timestamp'2024-01-01 00:00:00' AS started_at, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,{seconds}) AS ended_at")
     r = gates.run_statistics(rows, 4).first()
     assert (r.generated, r.completion_rate, r.seconds) == (1, 0.25, seconds)
+
+
+def test_pattern_table_is_bounded_and_ordered(spark):
+    rows = spark.createDataFrame([("B", None, None, "x+"), ("A", 0.9, True, "y"), (None, 0.1, True, "z"), ("C", 0.1, True, None)], "type string, confidence double, ignore_case boolean, pattern string")
+    made = graph.pattern_table(rows)
+    assert made == (("A", 0.9, True, "y"), ("B", 0.5, False, "x+"))
+    docs = spark.createDataFrame([(1, "xx Y"), (2, None), (3, "")], "doc_id long, text string")
+    assert {(r.doc_id, r.name, r.type) for r in graph.extract_entities(docs, made).collect()} == {(1, "xx", "B"), (1, "Y", "A")}
+    with pytest.raises(ValueError):
+        graph.pattern_table(rows, most=1)
+
+
+def test_append_log_of_tables_and_streams(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 10, "a"), (2, 11, "b")], "event_id long, ts long, what string")
+    path = str(tmp_path / "log")
+    monitoring.append_log(rows.where("event_id = 1"), path)
+    rows.where("event_id = 2").write.parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second run finds nothing new
+        monitoring.append_log(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), path, str(tmp_path / "seen"))
+    assert sorted((r.event_id, r.what, str(r.batch)) for r in spark.read.parquet(path).collect()) == [(1, "a", "table"), (2, "b", "0")]
+
+
+def test_model_recommendations(spark):
+    scored = spark.createDataFrame([("t", 1, "ollama:gemma3:27b", 0.9), ("t", 2, "ollama:llama2:13b", 0.2), ("u", 1, "other", 0.1)], "task string, position int, model string, score double")
+    got = {r.task: r for r in evaluation.model_recommendations(scored).collect()}
+    assert (got["t"].performance, got["t"].speed, got["t"].models) == ("ollama:gemma3:27b", "ollama:llama2:13b", 2)
+    assert got["u"].balanced == got["u"].quality == "other"

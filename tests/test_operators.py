@@ -245,10 +245,10 @@ def test_whole_texts_are_parsed_and_scored(spark):
 
     d, made = "/root/testdata/sf0.001", e.queries()
     rows = {r.seq: r for r in made["conversation_to_instruction"](spark, d).collect()}
-    got = {r.seq: r for r in made["parse_instruction_response_whole"](spark, d).collect()}
+    got = {r.seq: r for r in made["parse_instruction_response"](spark, d).collect()}
     assert set(got) == set(rows) and max(len(r.output) for r in got.values() if r.output) > 30
     assert all(got[k].output == r.output.strip(" \n") for k, r in rows.items() if r.instruction.strip() and r.output.strip())
-    scores = {r.seq: r.score for r in made["score_qa_v1_whole"](spark, d).collect()}
+    scores = {r.seq: r.score for r in made["score_qa_v1"](spark, d).collect()}
     assert all(scores[k] == 1 for k, r in rows.items() if len(r.instruction.strip()) >= 10 and len(r.output.strip()) >= 50)
 
 
@@ -257,7 +257,7 @@ def test_diversity_judges_every_instruction(spark):
 
     d, made = "/root/testdata/sf0.001", e.queries()
     every = {r.seq for r in made["conversation_to_instruction"](spark, d).collect()}
-    for name in ("diversity_jaccard_every", "diversity_rouge"):
+    for name in ("diversity_jaccard", "diversity_rouge"):
         got = made[name](spark, d).collect()
         assert len(got) == len(every) and {r.seq for r in got} == every
 
@@ -274,4 +274,4 @@ def test_optimize_merges_and_strengthens(spark):
 def test_optimize_graph_query_has_all_stages(spark):
     import __spark_entry__ as e
 
-    assert {r.stage for r in e.queries()["optimize_graph_stages"](spark, "/root/testdata/sf0.001").collect()} == {"before", "cleaned", "after"}
+    assert {r.stage for r in e.queries()["optimize_graph"](spark, "/root/testdata/sf0.001").collect()} == {"before", "cleaned", "after"}
