@@ -148,3 +148,14 @@ def test_model_recommendations(spark):
     got = {r.task: r for r in evaluation.model_recommendations(scored).collect()}
     assert (got["t"].performance, got["t"].speed, got["t"].models) == ("ollama:gemma3:27b", "ollama:llama2:13b", 2)
     assert got["u"].balanced == got["u"].quality == "other"
+
+
+def test_embed_batch_fails_by_row(spark):
+    def model(texts):
+        if "bad" in texts:
+            raise ValueError("no")
+        return [[1.0, float(len(t))] for t in texts]
+
+    rows = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "ccc")], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.embedding, r.error) for r in retrieval.embed_batch(rows, model, 2).collect()}
+    assert got == {1: ([1.0, 1.0], None), 2: ([0.0, 0.0], "no"), 3: ([1.0, 3.0], None)}
