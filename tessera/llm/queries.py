@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, labelled, quality, toxicity
+from tessera.llm import decontaminate, labelled, periodic, prefix_trie, quality, token_counts, toxicity
 from tessera.llm.ann import nearest
 from tessera.llm.bpe import bpe_encode
 from tessera.llm.licenses import license_scan
@@ -22,19 +22,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of equal row counts along a Hilbert curve."""
     return hilbert_shards(_table(spark, sf_dir, "documents"), shards=40)
 
 
 def op2_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents by the trie of the training documents."""
     return lm_scores(_table(spark, sf_dir, "documents"))
 
 
 def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by two compression dictionaries."""
     found = toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return toxicity.with_decision(found, 0.3).select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity_score").alias("score"), "predicted")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of the token ids of all documents and of the bytes that they decode to."""
     import public_tokenizers
 
     found = bpe_encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -43,32 +47,55 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by hashed n-grams."""
     found = quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return quality.with_decision(found, 0.7).select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), "predicted")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license notices of all documents."""
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components of their links."""
     found = simhash_components(_table(spark, sf_dir, "documents"), shingle=3, radius=3, segments=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_stable_projection_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
     return nearest(_table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of documents and benchmark items that share a passage."""
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the windows of an earlier document, as counts and a hash."""
     found = dedup_substrings(_table(spark, sf_dir, "documents"), size=13)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of all documents (one in ten made periodic first), the strongest one and hashes of all and of the words kept."""
+    return periodic.digests(periodic.periodic_runs(periodic.with_planted_runs(_table(spark, sf_dir, "documents"))))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all conversations, rebuilt with shared first turns."""
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_heads(prefix_trie.ordered_turns(_table(spark, sf_dir, "conversations"))))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token counts of all documents by the word-level BPE vocabulary."""
+    import public_tokenizers
+
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_lm_trie": op2_lm_trie,
@@ -80,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_stable_projection_ann": op8_stable_projection_ann,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_token_counts": op13_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_benchmark_decontamination": decontaminate.ORACLE_SQL,
