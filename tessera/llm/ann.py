@@ -23,6 +23,8 @@ from tessera.llm import scratch
 DIMENSIONS, CONFIDENCE, LEAF = 8, 0.98, 32
 #: Rows of a region, about (a larger one is dealt to several tasks), most levels of the top of the tree, rows of its sample.
 REGION, LEVELS, SAMPLE = 1 << 14, 12, 1 << 15
+#: Differences of scores and of squared distances of unit vectors that rounding may make.
+SLACK = 1e-12
 #: Queries that are searched at once: with REGION the bound of a task's memory.
 ROUND = 256
 
@@ -34,7 +36,8 @@ def _chi_square(x: np.ndarray, m: int) -> np.ndarray:
 
 
 def _sure(away: np.ndarray, kth: np.ndarray) -> np.ndarray:
-    """Whether nothing at this squared projected distance is nearer than the squared distance kth, with confidence."""
+    """Whether nothing at this squared projected distance is nearer than the squared distance kth, with confidence. Distances within rounding are none."""
+    away = np.where(away < SLACK, 0.0, away)
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = np.where(kth > 0, away / kth, np.where(away > 0, np.inf, 0.0))
     return _chi_square(np.where(np.isinf(kth), 0.0, ratio), DIMENSIONS) >= CONFIDENCE
@@ -136,6 +139,19 @@ class Index:
         top = np.argsort(-both, axis=1, kind="stable")[:, : self.best.shape[1]]
         self.best[active], self.which[active] = np.take_along_axis(both, top, 1), np.take_along_axis(own, top, 1)
 
+    def _tied(self, unit: np.ndarray, p: np.ndarray, kth: np.ndarray) -> list[np.ndarray]:
+        """For each query the points that were kept, and all that score within rounding of the least of them: which of these come first, exact scores and ids decide."""
+        last = self.best[:, -1]
+        which, leaf, _ = self.tree.within(p, np.minimum(kth, 2 - 2 * last) + SLACK)
+        found = [[x[x >= 0]] for x in self.which]
+        for a in range(0, len(which), 4 * ROUND):
+            own = which[a : a + 4 * ROUND]
+            cand = self.leaf[leaf[a : a + 4 * ROUND]]
+            near = (np.einsum("qld,qd->ql", self.unit[cand], unit[own]) >= last[own, None] - SLACK) & (cand >= 0)
+            for q, at in zip(*np.nonzero(near), strict=True):
+                found[own[q]].append(cand[q, at : at + 1])
+        return [np.unique(np.concatenate(x)) for x in found]
+
     def _round(self, ids: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int) -> list[tuple[int, int, float]]:
         unit = _unit(queries)
         p = unit @ self.directions
@@ -159,8 +175,8 @@ class Index:
                 self._visit(which[step], leaf[step], unit)
         out = []
         norms = np.linalg.norm(queries, axis=1)
-        for q, (qid, found) in enumerate(zip(ids.tolist(), self.which, strict=True)):
-            rows = np.concatenate([self.members[x] for x in found if x >= 0]) if (found >= 0).any() else np.zeros(0, dtype=np.int64)
+        for q, (qid, found) in enumerate(zip(ids.tolist(), self._tied(unit, p, kth), strict=True)):
+            rows = np.concatenate([self.members[x] for x in found]) if len(found) else np.zeros(0, dtype=np.int64)
             rows = rows[self.ids[rows] != qid]
             v = self.vectors[rows]
             exact = (v * queries[q]).sum(axis=1) / (np.linalg.norm(v, axis=1) * norms[q])
