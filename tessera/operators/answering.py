@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import mean_of, word_count
 from tessera.operators.graph import dedupe_entities, extract_entities
+from tessera.operators.traversal import search_terms, walk
 
 
 def answer_confidence(entities: Column, relations: Column, graph_confidence: Column, similarity: Column, answer: Column) -> Column:
@@ -52,18 +53,12 @@ def answer_sources(entities: DataFrame, excerpts: DataFrame) -> DataFrame:
 def graph_context(asked: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 1, most: int = 10) -> DataFrame:
     """(query_id, id): for each name asked the best nodes that hold it in any case, and what they reach in `depth` steps.
 
-    The names asked are a small table: each distinct one is broadcast to the nodes, and only the best of each go on.
+    Distinct names meet the nodes by an index of n-grams (traversal.search_terms); all of them walk at once, each with its own
+    visited nodes.
     """
-    names = asked.select(F.lower("name").alias("term")).distinct()
-    hits = nodes.join(F.broadcast(names), F.contains(F.lower("name"), F.col("term")))
-    rank = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("quality_score"), F.desc("confidence"), "id"))
-    best = hits.withColumn("r", rank).where(F.col("r") <= most).select("term", "id")
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    reached, edge = best, best
-    for _ in range(depth):
-        edge = edge.withColumnRenamed("id", "src").join(both, "src").select("term", F.col("dst").alias("id")).distinct()
-        reached = reached.unionByName(edge).distinct()
-    return asked.select("query_id", F.lower("name").alias("term")).join(reached, "term").select("query_id", "id").distinct()
+    names = asked.select("query_id", F.lower("name").alias("term"))
+    best = search_terms(nodes, names.select("term"), most).select("term", "id")
+    return names.join(walk(edges, best, depth, ("term",)), "term").select("query_id", "id").distinct()
 
 
 def query_entities(queries: DataFrame) -> DataFrame:

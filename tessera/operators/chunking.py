@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import words
 
 # Words that are no topics.
 STOP_WORDS = (
-    "that this with from they been have their said each which them than many some time very when much new two may first also "
-    "after back other well large should come could state over think its during without again place around however home small "
-    "found mrs thought went say part once general high upon school every don does got united left number course war until "
-    "always away something fact though water less public put almost hand enough far took head yet government system better "
-    "set told nothing night end why called didn eyes find going look asked later knew point next week room came turn start "
-    "might show move live seem country help talk where problem american about against between before under among"
-).split()
+    "that", "this", "with", "from", "they", "been", "have", "their", "said", "each", "which", "them", "than", "many", "some", "time", "very", "when",
+    "much", "new", "two", "may", "first", "also", "after", "back", "other", "well", "large", "should", "come", "could", "state", "over", "think",
+    "its", "during", "without", "again", "place", "around", "however", "home", "small", "found", "mrs", "thought", "went", "say", "part", "once",
+    "general", "high", "upon", "school", "every", "don", "does", "got", "united", "left", "number", "course", "war", "until", "always", "away",
+    "something", "fact", "though", "water", "less", "public", "put", "almost", "hand", "enough", "far", "took", "head", "yet", "government", "system",
+    "better", "set", "told", "nothing", "night", "end", "why", "called", "didn", "eyes", "find", "going", "look", "asked", "later", "knew", "point",
+    "next", "week", "room", "came", "turn", "start", "might", "show", "move", "live", "seem", "country", "help", "talk", "where", "problem",
+    "american", "about", "against", "between", "before", "under", "among",
+)
 REASONING_TAGS = ("think", "thinking", "reasoning", "analysis")
 
 
@@ -66,31 +68,70 @@ def chunk_summary(chunks: DataFrame) -> DataFrame:
 
 
 def topics(docs: DataFrame, most: int = 10) -> DataFrame:
-    """doc_id, topics: the most frequent words of four ASCII letters or more, ties by first appearance; documents without one are absent."""
-    runs = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))  # so that an accent is no edge of a word
-    found = docs.select("doc_id", F.posexplode(runs).alias("pos", "word")).where(F.col("word").rlike("^[a-z]{4,}$") & ~F.col("word").isin(*STOP_WORDS))
-    counts = found.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "pos"))
-    top = counts.withColumn("rank", rank).where(F.col("rank") <= most)
-    return top.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("topics"))
+    """doc_id, topics: the most frequent words of four ASCII letters or more, ties by first appearance; documents without one are absent.
+
+    A document is one row, so its words are counted in its row: nothing is shuffled. An accent is no edge of a word.
+    """
+    return docs.select("doc_id", frequent_words(F.col("text"), most).alias("topics")).where(F.size("topics") > 0)
+
+
+def frequent_words(text: Column, most: int = 10) -> Column:
+    """The topics of a text as an array; empty for a null."""
+    import re
+    from collections import Counter
+
+    find, skip = re.compile(r"(?<!\w)[a-z]{4,}(?!\w)").findall, frozenset(STOP_WORDS)
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[str]:
+            count = Counter(find(t or ""))
+            for w in skip & count.keys():
+                del count[w]
+            return [w for w, _ in count.most_common(most)]
+
+        return texts.map(one)
+
+    return run(F.lower(text))
 
 
 def document_context(docs: DataFrame, size: int = 500) -> DataFrame:
-    """doc_id, length, n_chunks and topics of every document with words: everything a prompt about it needs but the texts."""
+    """doc_id, length, n_chunks and topics of every document with words: everything a prompt about it needs but the texts. One pass over the rows."""
     base = docs.where(F.coalesce(F.length(F.trim("text")), F.lit(0)) > 0)
-    counted = base.select("doc_id", F.length("text").alias("length"), F.ceil(F.size(words(F.col("text"))) / size).cast("long").alias("n_chunks"))
-    return counted.join(topics(base), "doc_id", "left").select("doc_id", "length", "n_chunks", F.coalesce(F.array_join("topics", ","), F.lit("")).alias("topics"))
+    chunks = F.ceil(F.size(words(F.col("text"))) / size).cast("long")
+    return base.select("doc_id", F.length("text").alias("length"), chunks.alias("n_chunks"), F.array_join(frequent_words(F.col("text")), ",").alias("topics"))
 
 
 def paragraph_chunks(docs: DataFrame, size: int = 1000, most: int = 5) -> DataFrame:
-    """doc_id, chunk_index, text: whole paragraphs put together up to about `size` characters, the first `most` chunks. (Built from a description.)"""
-    split = docs.select("doc_id", F.filter(F.split("text", r"\n\s*\n"), lambda p: F.trim(p) != "").alias("p")).where(F.size("p") > 0)
-    lengths = F.transform("p", F.length)
-    before = F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda k: F.floor(F.aggregate(F.slice(lengths, 1, k), F.lit(0), lambda s, x: s + x) / size))
-    buckets = split.select("doc_id", F.posexplode(F.arrays_zip(F.col("p").alias("text"), before.alias("bucket"))).alias("pos", "z"))
-    joined = buckets.groupBy("doc_id", F.col("z.bucket").alias("bucket")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "z.text"))), lambda x: x["text"]), "\n\n").alias("text"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("bucket")) - 1
-    return joined.withColumn("chunk_index", rank).where(F.col("chunk_index") < most).select("doc_id", "chunk_index", "text")
+    """doc_id, chunk_index, text: whole paragraphs put together up to about `size` characters, the first `most` chunks. (Built from a description.)
+
+    A paragraph goes to the bucket in which the sum of the lengths before it falls; buckets without one are left out, and the
+    running sum stops with the last chunk that is wanted. Paragraphs stand between blank lines; those of spaces alone are none.
+    """
+    import re
+
+    split = re.compile(r"\n[ \t\n\x0b\f\r]*\n").split
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[str]:
+            found: list[list[str]] = []
+            before, bucket = 0, -1
+            for p in split(text or ""):
+                if not p.strip(" "):
+                    continue
+                if before // size != bucket:
+                    if len(found) == most:
+                        break
+                    bucket = before // size
+                    found.append([])
+                found[-1].append(p)
+                before += len(p)
+            return ["\n\n".join(own) for own in found]
+
+        return texts.map(one)
+
+    return docs.select("doc_id", F.posexplode(cut("text")).alias("chunk_index", "text"))
 
 
 def strip_reasoning_tags(text: Column) -> Column:

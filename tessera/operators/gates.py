@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.text import contains_any, issues, word_count, words
+from tessera.operators.similarity import jaccard, largest_rouge_l
 
 # Fixed values.
 BLACKLIST = (
@@ -101,50 +100,23 @@ def category(instruction: Column) -> Column:
     return F.coalesce(*found, F.lit("general"))
 
 
-@F.pandas_udf(T.DoubleType())
-def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The F measure of the longest common subsequence of the lower-case runs of ASCII letters and digits."""
-    import re
-
-    split = re.compile("[a-z0-9]+").findall
-
-    def one(x: str | None, y: str | None) -> float:
-        p, q = split((x or "").lower()), split((y or "").lower())
-        if not p or not q:
-            return 0.0
-        row = [0] * (len(q) + 1)
-        for w in p:
-            left = corner = 0
-            for k, v in enumerate(q, 1):
-                up = row[k]
-                row[k] = left = corner + 1 if v == w else max(up, left)
-                corner = up
-        return 2 * row[-1] / (len(p) + len(q))
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    x, y = F.array_distinct(words(F.lower(a))), F.array_distinct(words(F.lower(b)))
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
-
-
 def diversity(batch: DataFrame, accepted: DataFrame, last: int = 50, threshold: float = 0.7, by: str = "jaccard") -> DataFrame:
-    """Adds similarity (the largest to the last accepted rows) and diverse. The comparison set is a constant, so it is broadcast.
+    """Adds similarity (the largest to the last accepted rows) and diverse; every row of the batch comes out once.
 
+    The comparison set is a constant: by Jaccard it is broadcast as one row, by ROUGE-L its rows travel with the tasks.
     A row of the batch that is itself among the accepted ones is not compared with itself (by seq, if the batch has it).
     """
-    recent = accepted.orderBy(F.desc("seq")).limit(last).agg(F.collect_list(F.struct("seq", "instruction")).alias("recent"))
-    each = batch.join(F.broadcast(recent), F.lit(True))
+    recent = accepted.orderBy(F.desc("seq")).limit(last).select("seq", "instruction")
+    if by == "rouge":
+        own = "seq" in batch.columns
+        known = [(r.s if own else "another", r.instruction) for r in recent.select(F.col("seq").cast("string").alias("s"), "instruction").collect()]
+        scored = batch.withColumn("similarity", largest_rouge_l(known, F.col("instruction"), F.col("seq").cast("string") if own else F.lit("")))
+        return scored.withColumn("diverse", F.col("similarity") <= threshold)
+    each = batch.join(F.broadcast(recent.agg(F.collect_list(F.struct("seq", "instruction")).alias("recent"))), F.lit(True))
     others = F.filter("recent", lambda r: ~r["seq"].eqNullSafe(F.col("seq"))) if "seq" in batch.columns else F.col("recent")
     each = each.withColumn("recent", F.transform(others, lambda r: r["instruction"]))
-    if by == "jaccard":
-        best = F.array_max(F.transform("recent", lambda r: jaccard(F.col("instruction"), r)))
-        scored = each.withColumn("similarity", F.coalesce(best, F.lit(0.0)))
-    else:
-        pairs = each.select(*batch.columns, F.explode_outer("recent").alias("other"))
-        scored = pairs.withColumn("s", rouge_l("instruction", "other")).groupBy(*batch.columns).agg(F.max("s").alias("similarity"))
-    return scored.drop("recent").withColumn("diverse", F.col("similarity") <= threshold)
+    best = F.array_max(F.transform("recent", lambda r: jaccard(F.col("instruction"), r)))
+    return each.withColumn("similarity", F.coalesce(best, F.lit(0.0))).drop("recent").withColumn("diverse", F.col("similarity") <= threshold)
 
 
 def validate_batch(rows: DataFrame, batch: str = "batch_id") -> DataFrame:
@@ -259,25 +231,6 @@ def training_data_check(rows: DataFrame, least: int = 1000) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), missing.alias("missing")).withColumn("ok", (F.col("n") >= least) & (F.col("missing") == 0))
 
 
-@F.pandas_udf(T.StructType([T.StructField(x, T.DoubleType()) for x in ("rouge1", "rouge2")]))
-def rouge_n(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """The F measures of common words and pairs of words (no stemming)."""
-    import re
-    from collections import Counter
-
-    split = re.compile("[a-z0-9]+").findall
-
-    def f(x: list, y: list) -> float:
-        both = sum((Counter(x) & Counter(y)).values())
-        return 2 * both / (len(x) + len(y)) if both else 0.0
-
-    out = []
-    for x, y in zip(a, b, strict=True):
-        p, q = split((x or "").lower()), split((y or "").lower())
-        out.append((f(p, q), f(list(zip(p, p[1:], strict=False)), list(zip(q, q[1:], strict=False)))))
-    return pd.DataFrame(out, columns=["rouge1", "rouge2"])
-
-
 def generation_checklist(rows: DataFrame, target: int, least_parsed: float = 0.8, least_diverse: float = 0.7) -> DataFrame:
     """(item, value, ok, critical): parsed share, share of distinct instructions, and whether the target was met."""
     n = F.greatest(F.count("*"), F.lit(1))
@@ -287,17 +240,15 @@ def generation_checklist(rows: DataFrame, target: int, least_parsed: float = 0.8
     return one.select(F.inline(F.array(item("parse_success", "p", F.col("p") > least_parsed, True), item("diversity", "d", F.col("d") > least_diverse, False), item("target", "n", F.col("n") >= target, True))))
 
 
-def generation_loop(generate: Callable[[int, int], DataFrame], write: Callable[[DataFrame], DataFrame], target: int, batch: int = 20, least_rate: float = 0.1, most_rounds: int = 1000) -> DataFrame:
+def generation_loop(generate: Callable[[int, int], DataFrame], write: Callable[[DataFrame], DataFrame], target: int, batch: int = 20, least_rate: float = 0.1) -> DataFrame:
     """Accepted rows (seq, instruction, input, output) of batches that generate(round, how many) makes, until the target.
 
     Each batch passes the gates and is compared with rows accepted in earlier batches, never with itself. The loop ends
-    early when a batch's pass rate falls below `least_rate`. write stores the accepted rows so far and reads them again,
+    early when a batch's pass rate falls below `least_rate`; otherwise every round accepts a row at least. write stores the accepted rows so far and reads them again,
     so that no round computes the ones before it anew.
     """
-    accepted, have = None, 0
-    for k in range(most_rounds):
-        if have >= target:
-            break
+    accepted, have, k = None, 0, 0
+    while have < target:
         want = min(batch, target - have)
         rows = gate(generate(k, want)).where("accepted").select("seq", "instruction", "input", "output")
         if accepted is not None:
@@ -306,34 +257,10 @@ def generation_loop(generate: Callable[[int, int], DataFrame], write: Callable[[
         now = accepted.count()
         if (now - have) / want < least_rate:
             break
-        have = now
+        have, k = now, k + 1
     return accepted
 
 
-#: Bands and hashes of a band of the sketches by which near duplicates meet: at a similarity of 0.8 one pair in 600,000 is missed.
-NEAR_BANDS, NEAR_DEPTH = 25, 4
-
-
-def dedup_near(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows but those whose instruction has a word-set Jaccard similarity of `threshold` or more with that of a row of smaller seq.
-
-    Instructions of one set of words are one candidate. Others meet by bands of least hashes, and the similarity of each
-    pair is then computed. Instructions without words are copies of each other; a null seq counts as larger than any other.
-    """
-    own = F.array_sort(F.array_distinct(words(F.lower(_text("instruction")))))
-    keyed = rows.withColumn("__w", own).withColumn("__k", F.xxhash64("__w"))
-    seq = F.coalesce("seq", F.lit((1 << 63) - 1))
-    sets = keyed.groupBy("__k").agg(F.min(seq).alias("first"), F.min("__w").alias("w"))
-    low = lambda b, k: F.array_min(F.transform("w", lambda x: F.xxhash64(F.lit(NEAR_DEPTH * b + k), x)))
-    bands = F.array(*[F.xxhash64(F.lit(b), *[low(b, k) for k in range(NEAR_DEPTH)]) for b in range(NEAR_BANDS)])
-    met = sets.where(F.size("w") > 0).select("first", "w", F.explode(bands).alias("band"))
-    both = F.size(F.array_intersect("l.w", "r.w"))
-    pairs = met.alias("l").join(met.alias("r"), "band").where((F.col("l.first") > F.col("r.first")) & (both >= threshold * (F.size("l.w") + F.size("r.w") - both)))
-    gone = pairs.select(F.col("l.first").alias("first")).distinct()
-    kept = sets.join(gone, "first", "left_anti").select("__k", "first")
-    return keyed.join(kept, "__k").where(seq == F.col("first")).select(*rows.columns).dropDuplicates(["seq"])
-
-
 def run_statistics(rows: DataFrame, target: int, started: str = "started_at", ended: str = "ended_at") -> DataFrame:
     """One row: generated, target, completion_rate and seconds from the first start to the last end."""
     took = F.unix_timestamp(F.max(ended)) - F.unix_timestamp(F.min(started))

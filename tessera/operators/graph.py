@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import issues
+from tessera.operators.traversal import holds, walk
 
 # Fixed values: (type, confidence, ignore case, pattern) in order.
 PATTERNS = (
@@ -31,22 +32,75 @@ NOT_PERSONS = ("The Company", "This Report", "Last Year", "Next Month", "First T
 NODE_COLORS = {"Person": "#FF6B6B", "Place": "#4ECDC4", "Thing": "#45B7D1", "Concept": "#96CEB4", "Event": "#FFEAA7", "Organization": "#DDA0DD", "Entity": "#95A5A6"}
 
 
+def required_words(pattern: str, ignore_case: bool = False) -> tuple[str, ...]:
+    """Words one of which every match of the pattern holds, in lower case if the case is ignored; none if the pattern doesn't say.
+
+    Read from the parsed pattern: runs of literals and alternatives of plain literals that no match can do without. Of several
+    such requirements the one whose shortest word is longest counts.
+    """
+    import re._parser as parser  # the standard library's own, as re has no public one
+
+    def literal(items: object) -> str | None:
+        items = list(items)
+        return "".join(chr(x) for _, x in items) if items and all(op is parser.LITERAL for op, _ in items) else None
+
+    def inside(items: object) -> list[tuple[str, ...]]:
+        found, run = [], ""
+        for op, x in [*items, (None, None)]:
+            if op is parser.LITERAL:
+                run += chr(x)
+                continue
+            lead, run = run, ""
+            if lead:
+                found.append((lead,))
+            if op is parser.SUBPATTERN and not x[1] and not x[2]:
+                found += inside(x[3])
+            elif op is parser.BRANCH:
+                words = [literal(b) for b in x[1]]
+                if all(words):  # what the alternatives have in common at the start was put before them
+                    found.append(tuple(lead + w for w in words))
+            elif op in (parser.MAX_REPEAT, parser.MIN_REPEAT) and x[0] > 0:
+                found += inside(x[2])
+        return found
+
+    import re
+
+    try:
+        parsed = parser.parse(pattern)
+    except (re.error, RecursionError):
+        return ()
+    if parsed.state.flags & re.IGNORECASE and not ignore_case:  # the pattern itself says so
+        return ()
+    found = inside(parsed)
+    best = max(found, key=lambda w: min(map(len, w)), default=())
+    if not ignore_case:
+        return best
+    return tuple(w.lower() for w in best) if all(map(str.isascii, best)) else ()  # beyond ASCII, case has more than two forms
+
+
 def extract_entities(docs: DataFrame, patterns: tuple = PATTERNS) -> DataFrame:
     """doc_id, pattern, position, name, type, confidence, context (50 characters on both sides) of every match.
 
-    Positions of all matches need finditer, so one Pandas UDF runs all patterns over a text.
+    Positions of all matches need finditer, so one Pandas UDF runs the patterns over a text; a pattern whose required words
+    the text does not hold cannot match there and is not run.
     """
     import re
 
-    found = [(k, t, c, re.compile(p, re.IGNORECASE if ic else 0)) for k, (t, c, ic, p) in enumerate(patterns)]
+    found = [(k, t, c, re.compile(p, re.IGNORECASE if ic else 0), bool(ic), required_words(p, bool(ic))) for k, (t, c, ic, p) in enumerate(patterns)]
     skip = set(NOT_PERSONS)
 
     @F.pandas_udf("array<struct<pattern:int,position:int,name:string,type:string,confidence:double,context:string>>")
     def run(texts: pd.Series) -> pd.Series:
         def one(text: str | None) -> list[tuple]:
-            out = []
-            for k, kind, sure, p in found:
-                for m in p.finditer(text or ""):
+            out: list[tuple] = []
+            if not text:
+                return out
+            low = text.lower() if text.isascii() else None  # beyond ASCII, case has more than two forms
+            for k, kind, sure, p, ic, needed in found:
+                held = low if ic else text
+                if needed and held is not None and not any(w in held for w in needed):
+                    continue
+                for m in p.finditer(text):
                     name = m.group().strip()
                     if kind != "Person" or (len(name) > 3 and name not in skip):
                         out.append((k, m.start(), name, kind, sure, text[max(0, m.start() - 50) : m.end() + 50]))
@@ -175,19 +229,13 @@ def by_type(nodes: DataFrame, kind: str, most: int = 50) -> DataFrame:
 
 
 def search(nodes: DataFrame, term: str, most: int = 20) -> DataFrame:
-    """Nodes whose name holds the term in any case, best first."""
-    return nodes.where(F.contains(F.lower("name"), F.lit(term.lower()))).orderBy(F.desc("quality_score"), F.desc("confidence"), "id").limit(most)
+    """Nodes whose name or attributes hold the term in any case, best first. (Many terms at once: traversal.search_terms.)"""
+    return nodes.where(holds(nodes, F.lit(term.lower()))).orderBy(F.desc("quality_score"), F.desc("confidence"), "id").limit(most)
 
 
 def k_hop(edges: DataFrame, start: DataFrame, depth: int = 2) -> DataFrame:
     """(id, hops) of the nodes within `depth` undirected steps of the start ids; each at its least distance."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    seen = start.select("id", F.lit(0).alias("hops"))
-    edge = seen
-    for hop in range(1, depth + 1):
-        edge = both.join(edge.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("hops", F.lit(hop))
-        seen = seen.unionByName(edge)
-    return seen
+    return walk(edges, start, depth)
 
 
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import answering, evaluation, gates, graph, parsing, retrieval
+from tessera.operators import answering, evaluation, gates, graph, parsing, retrieval, similarity
 from tessera.operators.chunking import sentence_chunks
 from tessera.plans.registry import query, table
-from tessera.plans.text_queries import INSTR, N_WORDS, WORDS, chunk_sql, instructions
+from tessera.plans.text_queries import INSTR, LCS, N_WORDS, WORDS, chunk_sql, instructions
 
 # ---- a graph of customers, suppliers and nations ------------------------------------------------
 NODES = """
@@ -365,10 +365,20 @@ def training_data_check(spark: SparkSession, d: str) -> DataFrame:
     return gates.training_data_check(instructions(spark, d))
 
 
-@query()
+def _grams(n: int) -> str:
+    """(seq, side, g, c): how often each run of n words stands in either text."""
+    parts = [f"SELECT seq, '{s}' AS side, unnest(list_transform(range(1, len({s}) + {2 - n}), lambda k : {s}[k:k + {n - 1}])) AS g FROM t" for s in "pq"]
+    return f"SELECT seq, side, g, count(*) AS c FROM ({' UNION ALL '.join(parts)}) AS x GROUP BY seq, side, g"
+
+
+def _rouge(n: int) -> str:
+    return f"g{n} AS ({_grams(n)}), r{n} AS (SELECT t.seq, coalesce(2 * (SELECT sum(least(a.c, b.c)) FROM g{n} AS a JOIN g{n} AS b ON a.seq = b.seq AND a.g = b.g WHERE a.seq = t.seq AND a.side = 'p' AND b.side = 'q') / (len(p) + len(q) - {2 * n - 2}), 0) AS rouge{n} FROM t)"
+
+
+@query(sql=f"WITH {LCS}, {_rouge(1)}, {_rouge(2)} SELECT seq, CAST(rouge1 AS DOUBLE) AS rouge1, CAST(rouge2 AS DOUBLE) AS rouge2, rouge_l FROM l JOIN r1 USING (seq) JOIN r2 USING (seq)")
 def rouge_eval(spark: SparkSession, d: str) -> DataFrame:
-    got = gates.rouge_n("instruction", "output")
-    return instructions(spark, d).select("seq", got["rouge1"].alias("rouge1"), got["rouge2"].alias("rouge2"), gates.rouge_l("instruction", "output").alias("rouge_l"))
+    got = similarity.rouge_n("instruction", "output")
+    return instructions(spark, d).select("seq", got["rouge1"].alias("rouge1"), got["rouge2"].alias("rouge2"), similarity.rouge_l("instruction", "output").alias("rouge_l"))
 
 
 @query()

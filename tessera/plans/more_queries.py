@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import answering, evaluation, gates, graph, parsing, retrieval
+from tessera.operators import answering, evaluation, gates, graph, parsing, retrieval, similarity
 from tessera.operators.chunking import word_chunks
 from tessera.plans.graph_queries import BOARD, ITEMS, WITH, board, edges, items, nodes, scores
 from tessera.plans.registry import query, table
@@ -57,7 +57,7 @@ def validate_concepts(spark: SparkSession, d: str) -> DataFrame:
 # ---- gates ------------------------------------------------------------------------------------------
 @query(sql=f"WITH i AS (SELECT seq, list_sort(list_distinct({WORDS.format('lower(instruction)')})) AS w FROM ({INSTR}) AS x) SELECT seq FROM i AS a WHERE NOT EXISTS (SELECT 1 FROM i AS b WHERE b.seq < a.seq AND (a.w = b.w OR (len(a.w) > 0 AND len(list_intersect(a.w, b.w)) >= 0.8 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))))))")
 def dedup_near(spark: SparkSession, d: str) -> DataFrame:
-    return gates.dedup_near(instructions(spark, d)).select("seq")
+    return similarity.dedup_near(instructions(spark, d)).select("seq")
 
 
 @query(sql="SELECT count(*) AS generated, CAST(12000 AS INTEGER) AS target, count(*) / 12000 AS completion_rate, CAST(epoch(max(ts)) AS BIGINT) - CAST(floor(epoch(min(ts))) AS BIGINT) AS seconds FROM (SELECT date_trunc('second', ts) AS ts FROM events) AS e")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import catalog, chunking, conversations, gates
+from tessera.operators import catalog, chunking, conversations, gates, similarity
 from tessera.plans.registry import query, table
 
 # ---- SQL that several oracles share -------------------------------------------------------------
@@ -199,7 +199,12 @@ def document_context(spark: SparkSession, d: str) -> DataFrame:
     return chunking.document_context(table(spark, d, "documents"))
 
 
-@query()
+@query(
+    sql=r"""WITH p AS (SELECT doc_id, unnest(l) AS text, unnest(range(len(l))) AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda x : trim(x, ' ') <> '') AS l FROM documents) AS a),
+b AS (SELECT doc_id, pos, text, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1000 AS bucket FROM p),
+j AS (SELECT doc_id, bucket, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS text FROM b GROUP BY doc_id, bucket)
+SELECT doc_id, CAST(r AS INTEGER) AS chunk_index, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY bucket) - 1 AS r FROM j) AS n WHERE r < 5"""
+)
 def chunk_smart_paragraph(spark: SparkSession, d: str) -> DataFrame:
     return chunking.paragraph_chunks(table(spark, d, "documents"))
 
@@ -235,9 +240,20 @@ def validate_batch(spark: SparkSession, d: str) -> DataFrame:
     return gates.validate_batch(instructions(spark, d).withColumn("batch_id", F.col("conv_id") % 5))
 
 
-@query()
+#: The table of the longest common subsequence, a row of it at a time: v is its value at place k of the output after n words of the instruction.
+LCS = f"""RECURSIVE i AS ({INSTR}), t AS (SELECT seq, regexp_extract_all(lower(instruction), '[a-z0-9]+') AS p, regexp_extract_all(lower(output), '[a-z0-9]+') AS q FROM i),
+q AS (SELECT seq, unnest(q) AS tok, unnest(range(1, len(q) + 1)) AS k FROM t),
+step(seq, n, k, v) AS (
+  SELECT seq, 0, k, 0 FROM q
+  UNION ALL
+  SELECT s.seq, s.n + 1, s.k, greatest(s.v, max(CASE WHEN q.tok = t.p[s.n + 1] THEN s.corner + 1 ELSE 0 END) OVER (PARTITION BY s.seq ORDER BY s.k))
+  FROM (SELECT *, coalesce(lag(v) OVER (PARTITION BY seq ORDER BY k), 0) AS corner FROM step) AS s JOIN q ON q.seq = s.seq AND q.k = s.k JOIN t ON t.seq = s.seq WHERE s.n < len(t.p)
+), l AS (SELECT t.seq, coalesce(max(v), 0) * 2 / greatest(len(any_value(p)) + len(any_value(q)), 1) AS rouge_l FROM t LEFT JOIN step ON step.seq = t.seq AND n = len(p) GROUP BY t.seq)"""
+
+
+@query(sql=f"WITH {LCS} SELECT seq, rouge_l FROM l")
 def rouge_l(spark: SparkSession, d: str) -> DataFrame:
-    return instructions(spark, d).select("seq", gates.rouge_l("instruction", "output").alias("rouge_l"))
+    return instructions(spark, d).select("seq", similarity.rouge_l("instruction", "output").alias("rouge_l"))
 
 
 JACCARD = "CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END"

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import tables
+from tessera.operators.graph import upsert
+
 
 def scan_text(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): a whole file a row."""
@@ -29,15 +34,27 @@ def scan_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def scan_results(spark: SparkSession, path: str) -> DataFrame:
-    """Result envelopes with defaults, newest first; broken files have the type corrupted."""
-    rows = scan_json(spark, path, "id string, title string, description string, type string, created_at string, workflow_id string")
-    bad = F.col("_corrupt").isNotNull()
+    """Result envelopes, a row a file, newest first: id, title, description, type, created_at, workflow_id, file_size and data (a VARIANT).
+
+    Where a file says nothing, the id is its name without the ending, the title names the id, the type is `unknown` and
+    created_at is the file's time. A file that is no JSON is of type `corrupted`, one that holds another value than an object is of type
+    `unknown`; both have no data. Ties by id. data keeps whatever the envelope holds: `variant_get(data, '$.a.b', 'int')`.
+    """
+    files = spark.read.text(path, wholetext=True).select("value", "_metadata.file_name", "_metadata.file_size", "_metadata.file_modification_time")
+    rows = files.withColumn("v", F.try_parse_json("value")).withColumn("name", F.regexp_replace("file_name", r"[.]json$", ""))
+    bad, kind = F.col("v").isNull(), F.schema_of_variant("v")
+    good = F.coalesce(kind.startswith("OBJECT"), F.lit(False))
+    of = lambda c: F.when(good, F.try_variant_get("v", f"$.{c}", "string"))
+    wrong = F.when(bad, F.lit("File contains invalid JSON")).when(~good, F.lit("Invalid result format"))
     return rows.select(
-        "id",
-        F.coalesce("title", F.lit("Untitled")).alias("title"),
-        F.when(bad, "corrupted").otherwise(F.coalesce("type", F.lit("unknown"))).alias("type"),
-        F.coalesce("created_at", F.lit("")).alias("created_at"),
-        "workflow_id",
+        F.coalesce(of("id"), "name").alias("id"),
+        F.coalesce(of("title"), F.concat(F.when(bad, F.lit("Corrupted Result ")).otherwise(F.lit("Result ")), "name")).alias("title"),
+        F.coalesce(wrong, of("description"), F.lit("Workflow result")).alias("description"),
+        F.when(bad, F.lit("corrupted")).otherwise(F.coalesce(of("type"), F.lit("unknown"))).alias("type"),
+        F.coalesce(of("created_at"), F.date_format("file_modification_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("created_at"),
+        of("workflow_id").alias("workflow_id"),
+        "file_size",
+        F.when(good, F.try_variant_get("v", "$.data", "variant")).alias("data"),
     ).orderBy(F.desc("created_at"), "id")
 
 
@@ -55,9 +72,40 @@ def write_instructions(rows: DataFrame, path: str) -> None:
     rows.select("instruction", "input", "output").write.mode("overwrite").json(path)
 
 
+def _bucket(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("bucket")
+
+
 def write_chunk_index(chunks: DataFrame, path: str, buckets: int = 16) -> None:
-    """Parquet by a hash bucket of doc_id, so that one document's chunks are found and replaced in one folder."""
-    chunks.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    """Parquet by a hash bucket of doc_id, so that one document's chunks are found and replaced in one folder. The whole index is written."""
+    chunks.withColumn("bucket", _bucket(["doc_id"], buckets)).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def _merged(new: DataFrame, path: str, keys: list[str], buckets: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """Rewrite the buckets of a table that `new` has rows in as merge(old rows, new rows); other buckets are neither read nor written.
+
+    What is merged is written to the shared folder before a bucket is replaced, so a failed run can be repeated.
+    """
+    spark = new.sparkSession
+    given = tables.cut(new.withColumn("bucket", _bucket(keys, buckets)))
+    touched = [r.bucket for r in given.select("bucket").distinct().collect()]  # no more than there are buckets
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
+        old = spark.read.schema(given.schema).parquet(path).where(F.col("bucket").isin(touched))
+        given = tables.cut(merge(old, given).select(*given.columns))
+    elif not touched:
+        return
+    given.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def replace_documents(chunks: DataFrame, path: str, buckets: int = 16) -> None:
+    """Put documents' chunks in a chunk index: all that it held of these documents goes. Only their buckets are rewritten; `buckets` is the index's own number."""
+    _merged(chunks, path, ["doc_id"], buckets, lambda old, new: old.join(new.select("doc_id").distinct(), "doc_id", "left_anti").select(*new.columns).unionByName(new))
+
+
+def upsert_table(rows: DataFrame, path: str, keys: list[str], order: str = "updated_at", buckets: int = 16) -> None:
+    """Merge rows (of nodes, edges or documents) into a table of hash buckets: the latest of each key by `order` stays. Only touched buckets are rewritten."""
+    _merged(rows, path, keys, buckets, lambda old, new: upsert(old, new, keys, order))
 
 
 def scan_model_registry(spark: SparkSession, path: str, kind: str = "text_generation") -> DataFrame:
@@ -72,6 +120,10 @@ def newest_first(rows: DataFrame, at: str = "upload_time", then: str = "id") ->
 
 
 def write_envelopes(results: DataFrame, path: str) -> None:
-    """Each result (id, title, description, type, data, created_at, workflow_id) as JSON in path/full, and its data alone in path/data."""
-    results.write.json(f"{path}/full")
-    results.select("id", "data").write.json(f"{path}/data")
+    """Each result (id, title, description, type, data, created_at, workflow_id) as JSON in path/full, and its data alone in path/data.
+
+    The input is computed once; data may be of any type, a VARIANT too. A second run replaces the first one's files.
+    """
+    own = tables.cut(results)
+    for name, rows in (("full", own), ("data", own.select("id", "data"))):
+        rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").text(f"{path}/{name}")

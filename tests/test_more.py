@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import answering, chunking, evaluation, gates, graph, parsing, retrieval
+from tessera.operators import answering, chunking, evaluation, gates, graph, parsing, retrieval, similarity
 from tessera.sources import files
 from tessera.streaming import monitoring
 
@@ -53,9 +53,9 @@ def test_dedup_near_against_brute_force(spark):
     sets = [set((t or "").lower().split()) for t in texts]
     near = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b) > 0
     want = [k for k, s in enumerate(sets) if not any(near(s, sets[j]) for j in range(k))]
-    got = gates.dedup_near(rows)
+    got = similarity.dedup_near(rows)
     assert sorted(r.seq for r in got.collect()) == want and got.columns == rows.columns
-    assert gates.dedup_near(rows.limit(0)).count() == 0
+    assert similarity.dedup_near(rows.limit(0)).count() == 0
 
 
 def test_merges_are_idempotent(spark):

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import answering, catalog, chunking, conversations, evaluation, gates, graph, parsing, retrieval
+from tessera.operators import answering, catalog, chunking, conversations, evaluation, gates, graph, parsing, retrieval, similarity
 from tessera.sources import files
 from tessera.streaming import monitoring
 
@@ -51,7 +51,7 @@ def test_gates_on_edges(spark):
 
 def test_rouge_l(spark):
     df = spark.createDataFrame([("the cat sat", "the cat sat"), ("a b c d", "a c"), ("", "x")], "a string, b string")
-    assert [round(x[0], 6) for x in rows(df.select(gates.rouge_l("a", "b")))] == [1.0, round(4 / 6, 6), 0.0]
+    assert [round(x[0], 6) for x in rows(df.select(similarity.rouge_l("a", "b")))] == [1.0, round(4 / 6, 6), 0.0]
 
 
 def test_task_category_first_word(spark):
@@ -183,7 +183,7 @@ def test_file_scans(spark, tmp_path):
     assert files.scan_text(spark, str(tmp_path / "a.txt")).first().text == "one\ntwo"
     assert files.scan_csv_as_text(spark, str(tmp_path / "b.csv")).first().text == "h,i\n1,2"
     assert {r.path.rsplit("/", 1)[1] for r in files.scan_directory(spark, str(tmp_path), glob="*.txt").collect()} == {"a.txt"}
-    assert [r.type for r in files.scan_results(spark, str(tmp_path / "*.json")).collect()] == ["unknown", "corrupted"]
+    assert [r.type for r in files.scan_results(spark, str(tmp_path / "*.json")).collect()] == ["corrupted", "unknown"]  # a file that says no time has its own
     chunks = spark.createDataFrame([(1, 0, "x"), (2, 0, "y")], "doc_id long, chunk_index int, text string")
     files.write_chunk_index(chunks, str(tmp_path / "index"))
     assert spark.read.parquet(str(tmp_path / "index")).count() == 2
