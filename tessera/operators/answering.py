@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import mean_of, word_count
@@ -61,6 +61,51 @@ def graph_context(asked: DataFrame, nodes: DataFrame, edges: DataFrame, depth: i
     return names.join(walk(edges, best, depth, ("term",)), "term").select("query_id", "id").distinct()
 
 
+def context_edges(reached: DataFrame, edges: DataFrame) -> DataFrame:
+    """(query_id, src, dst, type, ..): the edges that the nodes (query_id, id) reached for a query have among each other, each once."""
+    ends = reached.select("query_id", "id").distinct()
+    inside = edges.join(ends.withColumnRenamed("id", "src"), "src").join(ends.withColumnRenamed("id", "dst"), ["query_id", "dst"], "left_semi")
+    return inside.select("query_id", *edges.columns).dropDuplicates(["query_id", "src", "dst", "type"])
+
+
+def _listed(rows: DataFrame, line: Column, order: list[Column | str], most: int, name: str) -> DataFrame:
+    """(query_id, name): the lines of the first `most` rows of each query, joined."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    top = rows.select("query_id", line.alias("line"), rank.alias("rank")).where(F.col("rank") <= most)
+    return top.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias(name))
+
+
+def answer_prompt(questions: DataFrame, reached: DataFrame, edges: DataFrame, excerpts: DataFrame, most_nodes: int = 1000, most_edges: int = 10, most_excerpts: int = 3, length: int = 500) -> DataFrame:
+    """(query_id, prompt): each question (query_id, question) with what the graph and the documents say.
+
+    Of the graph: the nodes (query_id, id, name, type) by id, `most_nodes` of them at most, and the first `most_edges` edges between them (src,
+    dst, type) by these columns. Of the documents: the `most_excerpts` nearest excerpts (query_id, doc_id, text, similarity), ties by
+    doc_id, cut at `length` characters. A part that a question has nothing for is left out.
+    """
+    names = reached.select("query_id", "id", F.coalesce("name", F.lit("Unknown")).alias("name"), F.coalesce("type", F.lit("Entity")).alias("type")).dropDuplicates(["query_id", "id"])
+    line = F.concat(F.lit("- "), F.col("name"), F.lit(" ("), F.col("type"), F.lit(")"))
+    nodes = _listed(names, line, ["id"], most_nodes, "nodes")
+    ends = lambda side: names.select("query_id", F.col("id").alias(side), F.col("name").alias(f"{side}_name"))
+    named = context_edges(names, edges.select("src", "dst", "type")).join(ends("src"), ["query_id", "src"]).join(ends("dst"), ["query_id", "dst"])
+    related = _listed(named, F.concat_ws(" ", F.lit("-"), "src_name", F.coalesce("type", F.lit("RELATED_TO")), "dst_name"), ["src", "dst", "type"], most_edges, "related")
+    text = F.coalesce("text", F.lit(""))
+    shown = F.when(F.length(text) > length, F.concat(F.substring(text, 1, length), F.lit("..."))).otherwise(text)
+    found = _listed(excerpts, F.concat(F.lit("[similarity "), F.format_string("%.2f", F.coalesce("similarity", F.lit(0.0))), F.lit("] "), shown), [F.desc("similarity"), "doc_id"], most_excerpts, "found")
+    every = questions.select("query_id", "question")
+    for part in (nodes, related, found):
+        every = every.join(part, "query_id", "left")
+    section = lambda title, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{title}\n"), F.col(c)))
+    prompt = F.concat_ws(
+        "\n\n",
+        F.concat(F.lit("QUESTION: "), F.coalesce("question", F.lit(""))),
+        section("ENTITIES:", "nodes"),
+        section("RELATIONSHIPS:", "related"),
+        section("DOCUMENTS:", "found"),
+        F.lit("Answer from the entities, relationships and documents above and name those used. Say so where they are not enough. End with your confidence: High, Medium or Low."),
+    )
+    return every.select("query_id", prompt.alias("prompt"))
+
+
 def query_entities(queries: DataFrame) -> DataFrame:
     """(query_id, name, type) of the entities that each query's text names."""
     found = extract_entities(queries.select(F.col("query_id").alias("doc_id"), "text"))
@@ -80,8 +125,7 @@ def graph_rag_query(queries: DataFrame, asked: DataFrame, nodes: DataFrame, edge
     """
     reached = graph_context(asked, nodes, edges, depth).join(nodes.select("id", "name", "confidence"), "id")
     graph = reached.groupBy("query_id").agg(F.count("*").alias("entities"))
-    inside = edges.join(reached.select("query_id", F.col("id").alias("src")), "src").join(reached.select("query_id", F.col("id").alias("dst")), ["query_id", "dst"])
-    relations = inside.groupBy("query_id").agg(F.count_distinct("src", "dst", "type").alias("relations"))
+    relations = context_edges(reached, edges).groupBy("query_id").agg(F.count("*").alias("relations"))
     named = coverage_score(asked, reached.select("query_id", "name"))
     vector = excerpts.groupBy("query_id").agg(F.count("*").alias("excerpts"), F.avg("similarity").alias("similarity"))
     every = queries.select("query_id").distinct()

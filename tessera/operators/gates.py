@@ -206,6 +206,28 @@ def checklist_score(rows: DataFrame) -> DataFrame:
     return rows.withColumn("checklist", total)
 
 
+def dataset_checklist(rows: DataFrame, least: int = 1000, largest_share: float = 0.5, duplicates: float = 0.05) -> DataFrame:
+    """(item, value, ok, weight) of a data set: its size, the share of its largest category, its duplicate rate and its rows' format; over all rows.
+
+    A balanced set has no category with more than `largest_share` of the rows (the rule is ours). A duplicate repeats the instruction, input and output of
+    another row. A row is well formed if it has an instruction and an output that are not blank, and an input that is no null.
+    """
+    held = lambda c: _text(c).rlike(r"\S")
+    n = F.greatest(F.sum("n"), F.lit(1))
+    each = rows.groupBy("instruction", "input", "output").agg(F.count("*").alias("n"), F.first(category(F.col("instruction"))).alias("category"))
+    good = held("instruction") & held("output") & F.col("input").isNotNull()
+    one = each.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("size"), ((F.sum("n") - F.count("*")) / n).alias("repeated"), (F.sum(F.when(good, F.col("n")).otherwise(0)) / n).alias("formed"))
+    share = each.groupBy("category").agg(F.sum("n").alias("n")).agg((F.max("n") / n).alias("share"))
+    item = lambda name, c, ok, weight: F.struct(F.lit(name).alias("item"), F.coalesce(c, F.lit(0.0)).alias("value"), F.coalesce(ok, F.lit(False)).alias("ok"), F.lit(weight).alias("weight"))
+    every = F.array(
+        item("size", F.col("size"), F.col("size") >= least, 0.2),
+        item("balance", F.col("share"), F.col("share") <= largest_share, 0.3),
+        item("duplicates", F.col("repeated"), F.col("repeated") < duplicates, 0.3),
+        item("format", F.col("formed"), F.col("formed") == 1, 0.2),
+    )
+    return one.join(F.broadcast(share), F.lit(True)).select(F.inline(every))
+
+
 def forbidden_filter(rows: DataFrame, phrases: tuple[str, ...]) -> DataFrame:
     """Rows without a forbidden phrase, with an instruction of 15 characters or more and an output of 50 to 2000."""
     held = contains_any(F.lower(_text("instruction")), phrases) | contains_any(F.lower(_text("output")), phrases)
