@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,3 +41,17 @@ def write(df: DataFrame) -> str:
 def read(like: DataFrame, *paths: str) -> DataFrame:
     """The rows of all paths that write() gave for frames of one schema."""
     return like.sparkSession.read.schema(like.schema).parquet(*paths)
+
+
+def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """Adds the place of each row (from 1) in an order over all rows, without a window over all of them.
+
+    A range exchange cuts the order, its parts are numbered each by itself, and the row counts of the parts before, one row for each
+    part, are added. The order should have no ties, or their places are not the same each time.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = cut(df.repartitionByRange(parts, *order).withColumn("__run", F.spark_partition_id()))
+    before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1))
+    starts = runs.groupBy("__run").agg(F.count("*").alias("__n")).select("__run", F.coalesce(before, F.lit(0)).alias("__start"))
+    place = F.col("__start") + F.row_number().over(Window.partitionBy("__run").orderBy(*order))
+    return runs.join(F.broadcast(starts), "__run").withColumn(name, place).select(*df.columns, name)

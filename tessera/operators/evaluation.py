@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import tables
 from tessera.functions.text import contains_any, word_count
 
 # Fixed values: (substrings, score) in order; the first hit counts, also on parts of a larger number.
@@ -125,17 +126,17 @@ def registry_lookup(wanted: DataFrame, latest: DataFrame, overall: DataFrame) ->
 
 
 def scoreboard(models: DataFrame, tasks: DataFrame, scores: DataFrame, largest: float) -> DataFrame:
-    """(model, total, possible, percent): a task without a score counts 0. Models and tasks are small tables."""
-    grid = models.join(F.broadcast(tasks), F.lit(True))
-    best = latest_scores(scores).select("model", "task", "score")
-    return grid.join(best, ["model", "task"], "left").groupBy("model").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("total"), (F.count("*") * F.lit(largest)).alias("possible")).withColumn("percent", F.col("total") / F.col("possible") * 100)
+    """(model, total, possible, percent) of each model over all tasks: a task without a score counts 0."""
+    best = latest_scores(scores).select("model", "task", "score").join(tasks.select("task").distinct(), "task", "left_semi")
+    sums = best.groupBy("model").agg(F.sum("score").alias("total"))
+    many = tasks.agg((F.count_distinct("task") * F.lit(largest)).alias("possible"))  # one row
+    board = models.select("model").distinct().join(sums, "model", "left").join(F.broadcast(many), F.lit(True))
+    return board.select("model", F.coalesce("total", F.lit(0.0)).alias("total"), "possible").withColumn("percent", F.col("total") / F.col("possible") * 100)
 
 
 def ranking(board: DataFrame) -> DataFrame:
-    """Adds rank by total, ties by model. One row for each model: a small table."""
-    from pyspark.sql import Window
-
-    return board.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), "model")))
+    """Adds rank by total, ties by model."""
+    return tables.numbered(board, "rank", F.desc("total"), F.col("model")).withColumn("rank", F.col("rank").cast("int"))
 
 
 def task_performance(latest: DataFrame) -> DataFrame:
@@ -154,7 +155,7 @@ def performance_summary(latest: DataFrame, models: DataFrame) -> DataFrame:
 def weighted_score(latest: DataFrame, weights: DataFrame) -> DataFrame:
     """(model, weighted): the mean of the task scores by the weights (task, weight); an unknown task weighs 1."""
     w = F.coalesce("weight", F.lit(1.0))
-    return latest.join(F.broadcast(weights), "task", "left").groupBy("model").agg((F.sum(w * F.col("score")) / F.sum(w)).alias("weighted"))
+    return latest.join(weights, "task", "left").groupBy("model").agg((F.sum(w * F.col("score")) / F.sum(w)).alias("weighted"))
 
 
 def _family(model: Column, steps: tuple, hosted: tuple, default: float) -> Column:

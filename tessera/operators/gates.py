@@ -244,7 +244,7 @@ def sample_context_seed(wanted: DataFrame, contexts: DataFrame, seed: int = 1) -
 def select_diverse_seeds(seeds: DataFrame, used: DataFrame, most: int = 3) -> DataFrame:
     """Seeds (seq, category) of categories not used yet first, then others, in a fixed pseudo-random order."""
     known = used.select("category").distinct().withColumn("used", F.lit(1))
-    return seeds.join(F.broadcast(known), "category", "left").orderBy(F.coalesce("used", F.lit(0)), F.xxhash64("seq"), "seq").limit(most).drop("used")
+    return seeds.join(known, "category", "left").orderBy(F.coalesce("used", F.lit(0)), F.xxhash64("seq"), "seq").limit(most).drop("used")
 
 
 def training_data_check(rows: DataFrame, least: int = 1000) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -28,13 +29,22 @@ def _valid(text: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _scan(texts: pd.Series) -> pd.Series:
-    """The first {..} or [..] that is JSON, tried from every bracket; null for a null text. Of a run of brackets nested too deep to parse, the last 1,000 are tried."""
+    """The first {..} or [..] that is JSON, tried from every bracket; null for a null text. A value nested deeper than the parser goes is none."""
     import json
     import re
 
-    opening, run = re.compile(r"[{\[]"), re.compile(r"[{\[\s]*")
+    opening, run = re.compile(r"[{\[]"), re.compile(r"[\[\s]*")
     decode = json.JSONDecoder().raw_decode
 
+    def too_deep(text: str, at: int) -> bool:
+        try:
+            decode(text, at)
+        except RecursionError:
+            return True
+        except ValueError:
+            pass
+        return False
+
     def one(text: str | None) -> str | None:
         start = opening.search(text or "")
         while start:
@@ -43,8 +53,9 @@ def _scan(texts: pd.Series) -> pd.Series:
                 return text[at : decode(text, at)[1]]
             except ValueError:
                 at += 1
-            except RecursionError:  # so are the next ones of a long run of brackets; the last thousand of it may not be
-                at = max(at + 1, run.match(text, at).end() - 1000)
+            except RecursionError:  # each bracket of a run of [ lies one deeper than the next, so the first that may do is found by halving
+                own = [k for k in range(at, run.match(text, at).end()) if text[k] == "["] or [at]
+                at = own[bisect_left(own, True, key=lambda k: not too_deep(text, k))] if not too_deep(text, own[-1]) else own[-1] + 1
             start = opening.search(text, at)
         return None
 
