@@ -21,8 +21,8 @@ from tessera.llm import scratch
 
 #: Projected dimensions (even), confidence of the stopping test, points of a leaf.
 DIMENSIONS, CONFIDENCE, LEAF = 8, 0.98, 32
-#: Rows of a region, about (a larger one is dealt to several tasks), most levels of the top of the tree, rows of its sample.
-REGION, LEVELS, SAMPLE = 1 << 14, 12, 1 << 15
+#: Rows of a region, about (a larger one is dealt to several tasks), most levels of the top of the tree, rows of its sample: at least, and for each region.
+REGION, LEVELS, SAMPLE, EACH = 1 << 14, 15, 1 << 15, 8
 #: Differences of scores and of squared distances of unit vectors that rounding may make.
 SLACK = 1e-12
 #: Queries that are searched at once: with REGION the bound of a task's memory.
@@ -204,7 +204,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, seed: int = 11) ->
     tests. Columns other than vec_id and embedding are not read.
 
     The top of the tree has REGION rows a region, about, and LEVELS levels at most; it is fitted on the projections of SAMPLE
-    rows (the least by a hash of vec_id), while every row is placed and searched. A region with more rows, as of one vector
+    rows, or EACH for a region if that is more (the least by a hash of vec_id), while every row is placed and searched. A query descends it
+    to the regions that its stopping test leaves. A region with more rows, as of one vector
     that a third of the rows repeat, is dealt to several tasks by a hash of vec_id. Each round sends a query only to the
     regions that its stopping test leaves, and rows meet queries by region.
     """
@@ -219,8 +220,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, seed: int = 11) ->
             p = _unit(_even(_matrix(b.column(1), width))) @ directions
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(p), pa.list_(pa.float64()))], ["vec_id", "p"])
 
-    sample = clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).mapInArrow(project, "vec_id long, p array<double>").orderBy("vec_id").collect()
     depth = min(LEVELS, max(0, math.ceil(math.log2(max(1, rows) / REGION))))
+    sample = clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(SAMPLE, EACH << depth)).mapInArrow(project, "vec_id long, p array<double>").orderBy("vec_id").collect()
     top = Tree(np.array([r.p for r in sample]).reshape(-1, DIMENSIONS), depth, tight=False)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,21 +235,27 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, seed: int = 11) ->
     queries = scratch.cut(placed.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select("vec_id", "embedding"))
 
     def route(near: int, far: int):  # noqa: ANN202
-        leaves = np.arange(1 << depth) + (1 << depth) - 1
+        """Each query with its own region (near = 0), or with the near-th to far-th of the others that its stopping test leaves, the nearest first."""
+
+        some = max(1, min(ROUND, (1 << 20) >> depth))  # a query may have to look at every region
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for a in range(0, b.num_rows, ROUND):
-                    own = b.slice(a, ROUND)
+                for a in range(0, b.num_rows, some):
+                    own = b.slice(a, some)
                     p = _unit(_even(_matrix(own.column(1), width))) @ directions
-                    kth = np.asarray(own.column(2).fill_null(np.inf))
-                    away = top._away(p[:, None], leaves[None])
-                    away[np.arange(len(p)), top.place(p)] = -1.0  # its own region comes first
-                    turn = np.argsort(away, axis=1, kind="stable")[:, near:far]
-                    away = np.take_along_axis(away, turn, 1)
-                    go = ~_sure(np.maximum(away, 0), kth[:, None] + np.zeros_like(away)) if near else np.ones_like(away, dtype=bool)
-                    q, at = np.nonzero(go)
-                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(q)) for c in own.columns), pa.array(turn[q, at].astype(np.int64))], ["vec_id", "embedding", "kth", "region"])
+                    home = top.place(p)
+                    if near:
+                        q, at, away = top.within(p, np.asarray(own.column(2).fill_null(np.inf)))
+                        other = at != home[q]
+                        q, at, away = q[other], at[other], away[other]
+                        order = np.lexsort([at, away, q])
+                        q, at = q[order], at[order]
+                        turn = np.arange(len(q)) - np.searchsorted(q, q) + 1
+                        q, at = q[(turn >= near) & (turn < far)], at[(turn >= near) & (turn < far)]
+                    else:
+                        q, at = np.arange(len(p)), home
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(q)) for c in own.columns), pa.array(at.astype(np.int64))], ["vec_id", "embedding", "kth", "region"])
 
         return run
 

@@ -1,6 +1,7 @@
 """Whole values, whole columns, bounded learning and exact ties."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import ann, labelled, sharding
@@ -73,3 +74,16 @@ def test_ties_over_several_regions(spark, monkeypatch):
     rows = [(int(k), r.standard_normal(6).tolist()) for k in range(1, 300)] + [(0, [3.0, 4.0, 0.0, 0.0, 0.0, 0.0])] + [(1000 + k, [3.0 * (20 - k), 4.0 * (20 - k), 0.0, 0.0, 0.0, 0.0]) for k in range(20)]
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50, k=5)
     assert [x.vec_id for x in got.where("query_id = 0").orderBy("rank").collect()] == _nearest([x for x in rows if x[0]], np.array([3.0, 4, 0, 0, 0, 0]))
+
+
+@pytest.mark.parametrize("rows", [500, 2000])
+def test_recall_over_many_regions(spark, monkeypatch, rows):
+    monkeypatch.setattr(ann, "REGION", 32)
+    r = np.random.default_rng(rows)
+    centres = r.standard_normal((12, 16)) * 2
+    vectors = {k: (centres[k % 12] + r.standard_normal(16)).tolist() for k in range(rows)}
+    got = {}
+    for x in ann.nearest(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>"), every=50, k=5).collect():
+        got.setdefault(x.query_id, set()).add(x.vec_id)
+    want = {q: set(_nearest([x for x in vectors.items() if x[0] != q], np.array(vectors[q]))) for q in vectors if q % 50 == 0}
+    assert sum(len(got[q] & want[q]) for q in want) >= 0.9 * 5 * len(want)
