@@ -18,6 +18,7 @@ def remainder(doc_id: Column, divisor: int) -> Column:
 
 
 def held_out(doc_id: Column, divisor: int = 4, which: int = 2) -> Column:
+    """Whether the crc32 of doc_id as text leaves the remainder that is kept apart from learning; false for a null."""
     return F.coalesce(remainder(doc_id, divisor) == which, F.lit(False))
 
 

@@ -83,6 +83,7 @@ def train(texts: list[str], labels: list[int], alpha: float = 0.3, beta: float =
 
 
 def score(column: pa.Array, model: bytes) -> np.ndarray:
+    """The probability of label 1 of each text of a column, by the weights of train()."""
     w = np.frombuffer(model, dtype=np.float32).astype(np.float64)
     out = np.zeros(len(column))
     for a, b, data, offsets in words.texts(column):
@@ -111,4 +112,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] =
 
 
 def with_decision(scored: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Adds predicted: 1 at the threshold or above."""
     return scored.withColumn("predicted", (F.col("quality_score") >= threshold).cast("int"))

@@ -151,4 +151,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] =
 
 
 def with_decision(scored: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """Adds predicted: 1 at the threshold or above."""
     return scored.withColumn("predicted", (F.col("toxicity_score") >= threshold).cast("int"))

@@ -109,6 +109,7 @@ def texts(col: pa.Array | pa.ChunkedArray, most: int = 1 << 21) -> Iterator[tupl
 
 
 def split(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
+    """The words of texts given as bytes and offsets; `lower` turns A-Z into a-z first."""
     if lower:
         data = LOWER[data]
     inside = ~SPACE[data]

@@ -87,3 +87,11 @@ def test_recall_over_many_regions(spark, monkeypatch, rows):
         got.setdefault(x.query_id, set()).add(x.vec_id)
     want = {q: set(_nearest([x for x in vectors.items() if x[0] != q], np.array(vectors[q]))) for q in vectors if q % 50 == 0}
     assert sum(len(got[q] & want[q]) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_cuts_part_one_group_of_copies_each(spark):
+    texts = [f"text {k % 37}" for k in range(900)] + ["hot"] * 500
+    docs = spark.createDataFrame([(k, t, "s", "en") for k, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    got = sharding.hilbert_shards(docs, 40, carry=("text",))
+    apart = got.groupBy("text").agg((F.count_distinct("shard") - 1).alias("cuts")).agg(F.sum("cuts")).first()[0]
+    assert 0 < apart <= 39
