@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import contains_any, issues, word_count, words
-from tessera.operators.similarity import jaccard, largest_rouge_l
+from tessera.operators.similarity import jaccard_of, largest_rouge_l, word_set
 
 # Fixed values.
 BLACKLIST = (
@@ -112,11 +112,12 @@ def diversity(batch: DataFrame, accepted: DataFrame, last: int = 50, threshold:
         known = [(r.s if own else "another", r.instruction) for r in recent.select(F.col("seq").cast("string").alias("s"), "instruction").collect()]
         scored = batch.withColumn("similarity", largest_rouge_l(known, F.col("instruction"), F.col("seq").cast("string") if own else F.lit("")))
         return scored.withColumn("diverse", F.col("similarity") <= threshold)
-    each = batch.join(F.broadcast(recent.agg(F.collect_list(F.struct("seq", "instruction")).alias("recent"))), F.lit(True))
+    known = recent.agg(F.collect_list(F.struct("seq", word_set(F.col("instruction")).alias("w"))).alias("recent"))
+    each = batch.join(F.broadcast(known), F.lit(True))
     others = F.filter("recent", lambda r: ~r["seq"].eqNullSafe(F.col("seq"))) if "seq" in batch.columns else F.col("recent")
-    each = each.withColumn("recent", F.transform(others, lambda r: r["instruction"]))
-    best = F.array_max(F.transform("recent", lambda r: jaccard(F.col("instruction"), r)))
-    return each.withColumn("similarity", F.coalesce(best, F.lit(0.0))).drop("recent").withColumn("diverse", F.col("similarity") <= threshold)
+    # through an array of one, so that a row's own words are split once and not for each comparison
+    best = F.transform(F.array(word_set(F.col("instruction"))), lambda own: F.array_max(F.transform(others, lambda r: jaccard_of(own, r["w"]))))
+    return each.withColumn("similarity", F.coalesce(F.get(best, F.lit(0)), F.lit(0.0))).drop("recent").withColumn("diverse", F.col("similarity") <= threshold)
 
 
 def validate_batch(rows: DataFrame, batch: str = "batch_id") -> DataFrame:

@@ -91,10 +91,20 @@ def largest_rouge_l(recent: list[tuple[str | None, str | None]], text: Column, s
     return run(text, seq)
 
 
+def word_set(text: Column) -> Column:
+    """The distinct words of a text in lower case; none for a null."""
+    return F.array_distinct(words(F.lower(text)))
+
+
+def jaccard_of(x: Column, y: Column) -> Column:
+    """The share of common words among all of two sets; 0 if one has none."""
+    common = F.size(F.array_intersect(x, y))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(common / F.size(F.array_union(x, y)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
-    """The share of common words among all of both, as sets in lower case; 0 if one has none."""
-    x, y = F.array_distinct(words(F.lower(a))), F.array_distinct(words(F.lower(b)))
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+    """The same of two texts."""
+    return jaccard_of(word_set(a), word_set(b))
 
 
 #: Rounds in which sets are compared with the first set of each of their prefix words, before the full join.
