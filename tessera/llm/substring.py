@@ -23,6 +23,8 @@ DEPTH = 2
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Least cells of one shard of a sketch row (one byte each in a merging task); with the root of the input they become more.
 SHARD_BITS = 22
+#: Bytes of text of a batch, about: a task holds some thirty times as much in arrays of its windows.
+BATCH = 6 << 20
 
 
 def _windows(rows: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -183,7 +185,7 @@ def dedup_substrings(docs: DataFrame, size: int = 13, carry: tuple[str, ...] = (
     other; rows with one doc_id don't remove from each other. An empty table gives no rows. Windows of very long texts
     are all used. doc_id must be an integer; windows are equal if 128 bits of hash are. Columns that are not carried are not read; a carried column must not have a name given above.
     """
-    rows, count, total = batches.deal(docs, carry)
+    rows, count, total = batches.deal(docs, carry, BATCH)
     bits = max(SHARD_BITS, int(total).bit_length())  # about thirteen cells in both rows for each window
     low = min(bits, max(SHARD_BITS, batches.unit(total, 0).bit_length()))
     shards = batches.shards(docs, total)
