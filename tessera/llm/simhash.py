@@ -206,7 +206,13 @@ def sketch_pairs(nodes: DataFrame, extra: Column, confirm: Callable[[DataFrame],
     table = nodes.select("node", "n", F.explode(F.array(*bands(F.col("sketch")))).alias("key"))
     least = table.groupBy("key").agg(F.min(F.struct("node", "n")).alias("s")).select("key", "s.*")
     pair = [F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")]
-    stars = scratch.cut(confirm(table.alias("l").join(least.alias("r"), "key").where((F.col("l.node") > F.col("r.node")) & extra).select(*pair).distinct()))
+    led = scratch.cut(table.alias("l").join(least.alias("r"), "key").where((F.col("l.node") > F.col("r.node")) & extra).select(*pair).distinct())
+    # one pair for each node first: in a large group of near copies that leaves few of the others apart
+    first = scratch.cut(confirm(led.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
+    home = components(first)
+    of = lambda c: home.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    apart = led.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    stars = scratch.cut(first.unionByName(confirm(apart)).distinct())
     known = table.join(components(stars), "node", "left").select("node", "n", "key", F.coalesce("root", "node").alias("root"))
     # a bucket that is one component has no pair left
     mixed = known.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
