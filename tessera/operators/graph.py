@@ -141,12 +141,13 @@ VERBS = (
 )
 
 
-def pattern_relations(docs: DataFrame, entities: DataFrame) -> DataFrame:
+def pattern_relations(docs: DataFrame, entities: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, src_id, dst_id, type, confidence, strength, context) where a run of words is `entity verb entity`.
 
     Sides are whole runs between punctuation marks, split at the last verb phrase with words on both sides; a side counts
     if it is an entity's name (doc_id, eid, name, pattern, position) in any case, the last such entity of the document.
-    Parts on both sides of `&` are paired two by two. Linear in the text: no nested repetition is matched.
+    Parts on both sides of `&` are paired two by two. Linear in the text: no nested repetition is matched. Columns of the
+    entities to carry come out as src_<name> and dst_<name>. Both tables grow with the texts and neither is broadcast.
     """
     run = docs.select("doc_id", F.explode(F.split("text", r"(?U)[^\w\s&]+")).alias("run"))
     plain = run.select("doc_id", F.explode(F.split("run", "&")).alias("r")).select("doc_id", F.trim(F.regexp_replace("r", r"(?U)\s+", " ")).alias("r"))
@@ -161,24 +162,27 @@ def pattern_relations(docs: DataFrame, entities: DataFrame) -> DataFrame:
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    last = entities.groupBy("doc_id", F.lower("name").alias("n")).agg(F.max(F.struct("pattern", "position", "eid"))["eid"].alias("id"))
-    end = lambda c, name: last.select("doc_id", F.col("n").alias(c), F.col("id").alias(name))
-    joined = every.withColumns({"a": F.lower("a"), "b": F.lower("b")}).join(end("a", "src_id"), ["doc_id", "a"]).join(end("b", "dst_id"), ["doc_id", "b"])
-    return joined.where("src_id <> dst_id").select("doc_id", "src_id", "dst_id", "type", F.lit(0.7).alias("confidence"), F.lit(0.8).alias("strength"), "context")
+    last = entities.groupBy("doc_id", F.lower("name").alias("n")).agg(F.max(F.struct("pattern", "position", "eid", *carry)).alias("e"))
+    end = lambda c, side: last.select("doc_id", F.col("n").alias(c), F.col("e.eid").alias(f"{side}_id"), *[F.col(f"e.{x}").alias(f"{side}_{x}") for x in carry]).hint("merge")
+    joined = every.withColumns({"a": F.lower("a"), "b": F.lower("b")}).join(end("a", "src"), ["doc_id", "a"]).join(end("b", "dst"), ["doc_id", "b"])
+    kept = [f"{s}_{c}" for s in ("src", "dst") for c in carry]
+    return joined.where("src_id <> dst_id").select("doc_id", "src_id", "dst_id", "type", F.lit(0.7).alias("confidence"), F.lit(0.8).alias("strength"), "context", *kept)
 
 
-def proximity(entities: DataFrame, gap: int = 100) -> DataFrame:
+def proximity(entities: DataFrame, gap: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
     """CO_OCCURS between entities (doc_id, eid, position) of a document whose positions differ by less than `gap`.
 
-    A band join by equality: positions fall into buckets of `gap`, and each row meets its own bucket and the next one.
+    A band join by equality: positions fall into buckets of `gap`, and each row meets its own bucket and the next one. Both sides
+    grow with the entities, which Spark underestimates, so neither is broadcast. Columns of the entities to carry come out as src_<name> and dst_<name>.
     """
-    at = lambda s: entities.select("doc_id", F.col("eid").alias(f"{s}_id"), F.col("position").alias(f"{s}_pos"))
+    at = lambda s: entities.select("doc_id", F.col("eid").alias(f"{s}_id"), F.col("position").alias(f"{s}_pos"), *[F.col(c).alias(f"{s}_{c}") for c in carry])
     left = at("src").withColumn("bucket", F.explode(F.array(F.floor(F.col("src_pos") / gap), F.floor(F.col("src_pos") / gap) + 1)))
     right = at("dst").withColumn("bucket", F.floor(F.col("dst_pos") / gap))
-    pairs = left.join(right, ["doc_id", "bucket"])
+    pairs = left.join(right.hint("merge"), ["doc_id", "bucket"])
     d = F.col("dst_pos") - F.col("src_pos")
     ordered = (d > 0) | ((d == 0) & (F.col("src_id") < F.col("dst_id")))
-    return pairs.where(ordered & (d < gap)).select("doc_id", "src_id", "dst_id", d.alias("distance"), F.lit("CO_OCCURS").alias("type"), F.lit(0.4).alias("confidence"), F.lit(0.3).alias("strength"))
+    kept = [f"{s}_{c}" for s in ("src", "dst") for c in carry]
+    return pairs.where(ordered & (d < gap)).select("doc_id", "src_id", "dst_id", d.alias("distance"), F.lit("CO_OCCURS").alias("type"), F.lit(0.4).alias("confidence"), F.lit(0.3).alias("strength"), *kept)
 
 
 def entity_coverage(entities: DataFrame, docs: DataFrame) -> DataFrame:

@@ -70,15 +70,15 @@ def said(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return docs, found.withColumn("eid", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.lower("name"), "type"), 256))
 
 
-def _named(found: DataFrame, own: DataFrame, *columns: str) -> DataFrame:
-    end = lambda side: own.select(F.col("eid").alias(f"{side}_id"), F.col("name").alias(f"{side}"), F.col("type").alias(f"{side}_type"))
-    return found.withColumnRenamed("type", "relation").join(end("src"), "src_id").join(end("dst"), "dst_id").select("doc_id", "src", "src_type", "relation", "dst", "dst_type", *columns)
+def _named(found: DataFrame, *columns: str) -> DataFrame:
+    """Relations by the names and types that they carry."""
+    return found.select("doc_id", F.col("src_name").alias("src"), "src_type", F.col("type").alias("relation"), F.col("dst_name").alias("dst"), "dst_type", *columns)
 
 
 @query(sql=f"WITH {SAID_SQL} SELECT doc_id, person AS src, 'Person' AS src_type, 'WORKS_FOR' AS relation, firm AS dst, 'Organization' AS dst_type FROM s UNION ALL SELECT doc_id, firm, 'Organization', 'OWNS', town, 'Place' FROM s")
 def relations_in_sentences(spark: SparkSession, d: str) -> DataFrame:
     docs, own = said(spark, d)
-    return _named(graph.pattern_relations(docs, own), own)
+    return _named(graph.pattern_relations(docs, own, ("name", "type")))
 
 
 @query(
@@ -89,7 +89,7 @@ WHERE b.pos - a.pos BETWEEN 0 AND 99 AND (b.pos > a.pos OR a.id < b.id)"""
 )
 def proximity_in_sentences(spark: SparkSession, d: str) -> DataFrame:
     _, own = said(spark, d)
-    return _named(graph.proximity(own), own, "distance")
+    return _named(graph.proximity(own, carry=("name", "type")), "distance")
 
 
 # ---- ratings in sliding windows ----------------------------------------------------------------------
