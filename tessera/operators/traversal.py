@@ -9,6 +9,8 @@ from tessera.functions import tables
 
 #: Characters of the n-grams by which names are found.
 GRAM = 3
+#: Bytes of terms up to which they and their n-grams meet the nodes by broadcasts; beyond that they are shuffled.
+TERM_BYTES = 1 << 20
 
 
 def walk(edges: DataFrame, start: DataFrame, depth: int, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -78,17 +80,20 @@ def search_terms(nodes: DataFrame, terms: DataFrame, most: int = 10) -> DataFram
     Best is the higher quality_score, then confidence, then the smaller id. An inverted table of the nodes' character
     trigrams is met with each term's rarest trigram, and what it gives is compared whole; terms of two, one or no
     characters are met by n-grams of their own length. So no term is compared with every node, and none is missed. A null
-    term finds nothing, the empty one every node.
+    term finds nothing, the empty one every node. The table of n-grams is many times the nodes and is never broadcast.
     """
     wanted = tables.cut(terms.where("term is not null").select(F.lower("term").alias("term")).distinct().withColumn("n", F.least(F.lit(GRAM), F.length("term"))))
-    lengths = [r.n for r in wanted.select("n").distinct().collect()]  # four at most
+    sizes = wanted.groupBy("n").agg(F.sum(F.octet_length("term")).alias("bytes")).collect()  # four lengths at most
+    lengths = [r.n for r in sizes]
+    few = sum(r.bytes for r in sizes) <= TERM_BYTES
+    of_terms = F.broadcast if few else lambda df: df.hint("merge")
+    nodes = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")  # a few MB of names are many n-grams
     texts = _fields(nodes)
     every = [F.coalesce(_grams(t, F.lit(n)), F.array().cast("array<string>")) for t in texts for n in lengths]
     posted = nodes.select("id", "quality_score", "confidence", F.array(*texts).alias("texts"), F.explode(F.array_distinct(F.concat(*every)) if every else F.array().cast("array<string>")).alias("gram"))
     asked = wanted.select("term", F.explode(_grams(F.col("term"), F.col("n"))).alias("gram"))
-    met = asked.select("gram").distinct()
-    counts = posted.join(met, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("many"))
-    rare = asked.join(counts, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("many", F.lit(0)).alias("many"), "gram")).alias("r")).where("r.many > 0").select("term", "r.gram")
-    hits = posted.join(rare, "gram").where(F.exists("texts", lambda t: F.contains(t, F.col("term"))))
+    counts = posted.join(of_terms(asked.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("many"))
+    rare = asked.join(of_terms(counts), "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("many", F.lit(0)).alias("many"), "gram")).alias("r")).where("r.many > 0").select("term", "r.gram")
+    hits = posted.join(of_terms(rare), "gram").where(F.exists("texts", lambda t: F.contains(t, F.col("term"))))
     rank = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("quality_score"), F.desc("confidence"), "id"))
     return hits.select("term", "id", rank.alias("rank")).where(F.col("rank") <= most)

@@ -18,3 +18,12 @@ def broadcast_rows(spark, df):
 @pytest.mark.parametrize("name", ["proximity_in_sentences", "relations_in_sentences", "extract_relations_proximity"])
 def test_entities_are_not_broadcast(spark, name):
     assert not broadcast_rows(spark, registry.QUERIES[name](spark, SF))
+
+
+def test_ngrams_of_names_are_not_broadcast(spark, monkeypatch):
+    from tessera.operators import traversal
+
+    for most in (0, 1 << 20):  # terms shuffled, and broadcast
+        monkeypatch.setattr(traversal, "TERM_BYTES", most)
+        joins = broadcast_rows(spark, registry.QUERIES["search_many_entities"](spark, SF))
+        assert all(re.search("BuildRight", x) for x in joins) and len(joins) == (3 if most else 0)
