@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import tables
 from tessera.functions.text import words
 
 # Words that are no topics.
@@ -27,32 +29,27 @@ def sentence_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200) -> Da
 
     A text of `size` characters at most is one chunk as it is; other chunks are stripped, and empty ones dropped. A chunk's
     end moves back to just after the last of `.!?` among its last 100 characters (half of the chunk at most). The last
-    chunk may lie in the one before. A null text gives no chunk. Each start needs the end before it, so it is a Pandas UDF.
+    chunk may lie in the one before. A null text gives no chunk. Each start needs the end before it, so Python cuts a text.
     """
-    schema = "array<struct<start_char:int,text:string>>"
-
-    @F.pandas_udf(schema)
-    def cut(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> list[tuple[int, str]] | None:
-            if text is None:
-                return None
-            if len(text) <= size:
-                return [(0, text)]
-            found, start = [], 0
-            while start < len(text):
-                end = start + size
-                if end < len(text):
-                    least = max(start + size // 2, end - 100) + 1
-                    stop = max(text.rfind(mark, least, end + 1) for mark in ".!?")
-                    end = stop + 1 if stop >= 0 else end
-                if piece := text[start:end].strip():
-                    found.append((start, piece))
-                start = end - overlap
-            return found
-
-        return texts.map(one)
-
-    return docs.select("doc_id", F.posexplode(cut("text")).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.start_char", "c.text")
+
+    def cut(text: str | None) -> list[tuple[int, int, str]]:
+        if text is None:
+            return []
+        if len(text) <= size:
+            return [(0, 0, text)]
+        found, start = [], 0
+        while start < len(text):
+            end = start + size
+            if end < len(text):
+                least = max(start + size // 2, end - 100) + 1
+                stop = max(text.rfind(mark, least, end + 1) for mark in ".!?")
+                end = stop + 1 if stop >= 0 else end
+            if piece := text[start:end].strip():
+                found.append((len(found), start, piece))
+            start = end - overlap
+        return found
+
+    return tables.per_text(docs.select("doc_id", "text"), cut, "chunk_index int, start_char int, text string")
 
 
 def word_chunks(docs: DataFrame, size: int = 500) -> DataFrame:
@@ -72,34 +69,36 @@ def topics(docs: DataFrame, most: int = 10) -> DataFrame:
 
     A document is one row, so its words are counted in its row: nothing is shuffled. An accent is no edge of a word.
     """
-    return docs.select("doc_id", frequent_words(F.col("text"), most).alias("topics")).where(F.size("topics") > 0)
+    return with_topics(docs.select("doc_id", "text"), most).where(F.size("topics") > 0)
+
 
+def with_topics(rows: DataFrame, most: int = 10) -> DataFrame:
+    """rows with topics (an array, empty for a null text) in place of their last column, text."""
+    return tables.per_text(rows.withColumn("text", F.lower("text")), _frequent(most), "topics array<string>")
 
-def frequent_words(text: Column, most: int = 10) -> Column:
-    """The topics of a text as an array; empty for a null."""
+
+def _frequent(most: int) -> Callable[[str | None], list[tuple[list[str]]]]:
+    """The topics of a text in lower case, as one row; none for a null."""
     import re
     from collections import Counter
 
     find, skip = re.compile(r"(?<!\w)[a-z]{4,}(?!\w)").findall, frozenset(STOP_WORDS)
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> list[str]:
-            count = Counter(find(t or ""))
-            for w in skip & count.keys():
-                del count[w]
-            return [w for w, _ in count.most_common(most)]
-
-        return texts.map(one)
+    def run(t: str | None) -> list[tuple[list[str]]]:
+        count = Counter(find(t or ""))
+        for w in skip & count.keys():
+            del count[w]
+        return [([w for w, _ in count.most_common(most)],)]
 
-    return run(F.lower(text))
+    return run
 
 
 def document_context(docs: DataFrame, size: int = 500) -> DataFrame:
     """doc_id, length, n_chunks and topics of every document with words: everything a prompt about it needs but the texts. One pass over the rows."""
     base = docs.where(F.coalesce(F.length(F.trim("text")), F.lit(0)) > 0)
     chunks = F.ceil(F.size(words(F.col("text"))) / size).cast("long")
-    return base.select("doc_id", F.length("text").alias("length"), chunks.alias("n_chunks"), F.array_join(frequent_words(F.col("text")), ",").alias("topics"))
+    own = base.select("doc_id", F.length("text").alias("length"), chunks.alias("n_chunks"), "text")
+    return with_topics(own).withColumn("topics", F.array_join("topics", ","))
 
 
 def paragraph_chunks(docs: DataFrame, size: int = 1000, most: int = 5) -> DataFrame:
@@ -112,26 +111,22 @@ def paragraph_chunks(docs: DataFrame, size: int = 1000, most: int = 5) -> DataFr
 
     split = re.compile(r"\n[ \t\n\x0b\f\r]*\n").split
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> list[str]:
-            found: list[list[str]] = []
-            before, bucket = 0, -1
-            for p in split(text or ""):
-                if not p.strip(" "):
-                    continue
-                if before // size != bucket:
-                    if len(found) == most:
-                        break
-                    bucket = before // size
-                    found.append([])
-                found[-1].append(p)
-                before += len(p)
-            return ["\n\n".join(own) for own in found]
-
-        return texts.map(one)
-
-    return docs.select("doc_id", F.posexplode(cut("text")).alias("chunk_index", "text"))
+    def cut(text: str | None) -> list[tuple[int, str]]:
+        found: list[list[str]] = []
+        before, bucket = 0, -1
+        for p in split(text or ""):
+            if not p.strip(" "):
+                continue
+            if before // size != bucket:
+                if len(found) == most:
+                    break
+                bucket = before // size
+                found.append([])
+            found[-1].append(p)
+            before += len(p)
+        return [(k, "\n\n".join(own)) for k, own in enumerate(found)]
+
+    return tables.per_text(docs.select("doc_id", "text"), cut, "chunk_index int, text string")
 
 
 def strip_reasoning_tags(text: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import tables
 from tessera.functions.text import issues
 from tessera.operators.traversal import holds, walk
 
@@ -81,7 +81,7 @@ def required_words(pattern: str, ignore_case: bool = False) -> tuple[str, ...]:
 def extract_entities(docs: DataFrame, patterns: tuple = PATTERNS) -> DataFrame:
     """doc_id, pattern, position, name, type, confidence, context (50 characters on both sides) of every match.
 
-    Positions of all matches need finditer, so one Pandas UDF runs the patterns over a text; a pattern whose required words
+    Positions of all matches need finditer, so Python runs the patterns over a text; a pattern whose required words
     the text does not hold cannot match there and is not run.
     """
     import re
@@ -89,26 +89,22 @@ def extract_entities(docs: DataFrame, patterns: tuple = PATTERNS) -> DataFrame:
     found = [(k, t, c, re.compile(p, re.IGNORECASE if ic else 0), bool(ic), required_words(p, bool(ic))) for k, (t, c, ic, p) in enumerate(patterns)]
     skip = set(NOT_PERSONS)
 
-    @F.pandas_udf("array<struct<pattern:int,position:int,name:string,type:string,confidence:double,context:string>>")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> list[tuple]:
-            out: list[tuple] = []
-            if not text:
-                return out
-            low = text.lower() if text.isascii() else None  # beyond ASCII, case has more than two forms
-            for k, kind, sure, p, ic, needed in found:
-                held = low if ic else text
-                if needed and held is not None and not any(w in held for w in needed):
-                    continue
-                for m in p.finditer(text):
-                    name = m.group().strip()
-                    if kind != "Person" or (len(name) > 3 and name not in skip):
-                        out.append((k, m.start(), name, kind, sure, text[max(0, m.start() - 50) : m.end() + 50]))
+    def run(text: str | None) -> list[tuple]:
+        out: list[tuple] = []
+        if not text:
             return out
+        low = text.lower() if text.isascii() else None  # beyond ASCII, case has more than two forms
+        for k, kind, sure, p, ic, needed in found:
+            held = low if ic else text
+            if needed and held is not None and not any(w in held for w in needed):
+                continue
+            for m in p.finditer(text):
+                name = m.group().strip()
+                if kind != "Person" or (len(name) > 3 and name not in skip):
+                    out.append((k, m.start(), name, kind, sure, text[max(0, m.start() - 50) : m.end() + 50]))
+        return out
 
-        return texts.map(one)
-
-    return docs.select("doc_id", F.inline(run("text")))
+    return tables.per_text(docs.select("doc_id", "text"), run, "pattern int, position int, name string, type string, confidence double, context string")
 
 
 def pattern_table(patterns: DataFrame, most: int = 10_000) -> tuple:

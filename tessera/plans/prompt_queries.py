@@ -38,7 +38,7 @@ def render_prompt_answer(spark: SparkSession, d: str) -> DataFrame:
   'Context: ' || text[1:300], 'Topics: ' || array_to_string(coalesce(topics, []) [1:5], ', '), 'Example: ' || source) AS prompt FROM documents LEFT JOIN ({TOPICS}) AS t USING (doc_id)"""
 )
 def render_prompt_generation(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "documents").select("doc_id", F.col("text").alias("context"), chunking.frequent_words(F.col("text")).alias("topics"), F.col("source").alias("seed"))
+    own = chunking.with_topics(table(spark, d, "documents").select("doc_id", F.col("text").alias("context"), F.col("source").alias("seed"), "text"))
     return parsing.generation_prompt(own).select("doc_id", "prompt")
 
 

@@ -27,3 +27,20 @@ def test_ngrams_of_names_are_not_broadcast(spark, monkeypatch):
         monkeypatch.setattr(traversal, "TERM_BYTES", most)
         joins = broadcast_rows(spark, registry.QUERIES["search_many_entities"](spark, SF))
         assert all(re.search("BuildRight", x) for x in joins) and len(joins) == (3 if most else 0)
+
+
+@pytest.mark.parametrize("name", ["chunk_smart_paragraph", "chunk_sentence_500_100", "extract_entities", "document_context", "topics_top10", "render_prompt_generation"])
+def test_texts_go_to_python_in_slices(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInArrow" in plan and "EvalPython" not in plan
+
+
+def test_slices_give_every_row(spark, monkeypatch):
+    from tessera.functions import tables
+
+    monkeypatch.setattr(tables, "SLICE", 5)
+    rows = [(k, f"s{k}", None if k % 7 == 0 else "ä" * (k % 5) * (1 + k % 3)) for k in range(2500)]
+    df = spark.createDataFrame(rows, "k long, s string, text string").coalesce(1)
+    got = tables.per_text(df, lambda t: [(i, c) for i, c in enumerate(t or "")], "place int, letter string").collect()
+    assert sorted(map(tuple, got)) == sorted((k, s, i, c) for k, s, t in rows for i, c in enumerate(t or ""))
+    assert tables.per_text(df.limit(0), lambda t: [(t,)], "x string").count() == 0
