@@ -44,3 +44,21 @@ def test_slices_give_every_row(spark, monkeypatch):
     got = tables.per_text(df, lambda t: [(i, c) for i, c in enumerate(t or "")], "place int, letter string").collect()
     assert sorted(map(tuple, got)) == sorted((k, s, i, c) for k, s, t in rows for i, c in enumerate(t or ""))
     assert tables.per_text(df.limit(0), lambda t: [(t,)], "x string").count() == 0
+
+
+def test_every_pair_by_blocks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "ROWS", 5)
+    monkeypatch.setattr(retrieval, "ASKED", 2)
+    rows = [(k, [float(k % 5), 1.0 - k, 2.0]) for k in range(23)] + [(50, None), (51, [1.0, None, 2.0]), (52, [1.0]), (53, []), (54, [0.0] * 3)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = v.where("vec_id % 5 < 2").selectExpr("vec_id as query_id", "embedding as query")
+    df = retrieval.cosine_pairs(v, q)
+    assert "NestedLoop" not in df._jdf.queryExecution().sparkPlan().toString()
+    of = lambda rows: sorted((r.query_id, r.vec_id, round(r.similarity, 9)) for r in rows if r.vec_id < 50 or r.vec_id == 54)
+    want = v.crossJoin(q).select("query_id", "vec_id", retrieval.cosine(F.col("embedding"), F.col("query")).alias("similarity")).collect()
+    got = df.collect()
+    assert len(got) == len(want) and of(r for r in got if r.query_id < 50) == of(r for r in want if r.query_id < 50)
