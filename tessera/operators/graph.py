@@ -147,11 +147,19 @@ def pattern_relations(docs: DataFrame, entities: DataFrame, carry: tuple[str, ..
     """
     run = docs.select("doc_id", F.explode(F.split("text", r"(?U)[^\w\s&]+")).alias("run"))
     plain = run.select("doc_id", F.explode(F.split("run", "&")).alias("r")).select("doc_id", F.trim(F.regexp_replace("r", r"(?U)\s+", " ")).alias("r"))
-    found = []
+    # one pass over the runs: the left side first, which is empty where the verb is missing; the right side only where it is not
+    # and no pattern at all where the run holds none of its words, in any case that the pattern takes for the same letter
+    low = F.lower(F.translate("r", "\u017f\u0131\u0130\u212a", "siik"))
+    sides = []
     for kind, verbs in VERBS:
-        pattern = rf"(?isU)^(.*\w)\s+(?:{verbs})\s+(\w.*)$"
-        side = lambda n, p=pattern: F.regexp_extract("r", p, n)
-        found.append(plain.where(F.col("r").rlike(pattern)).select("doc_id", side(1).alias("a"), side(2).alias("b"), F.lit(kind).alias("type"), F.col("r").alias("context")))
+        held = F.lit(False)
+        for w in required_words(verbs, True):
+            held = held | F.contains("low", F.lit(w))
+        sides.append(F.when(held, F.lit(kind)))
+    likely = plain.withColumn("low", low).select("doc_id", "r", F.explode(F.array_compact(F.array(*sides))).alias("type"))
+    part = lambda n: F.coalesce(*[F.when(F.col("type") == k, F.regexp_extract("r", rf"(?isU)^(.*\w)\s+(?:{v})\s+(\w.*)$", n)) for k, v in VERBS])
+    left = likely.withColumn("a", part(1)).where("a <> ''")
+    found = [left.select("doc_id", F.lower("a").alias("a"), F.lower(part(2)).alias("b"), "type", F.col("r").alias("context"))]
     parts = run.where(F.contains("run", F.lit("&"))).select("doc_id", F.transform(F.split("run", "&"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))).alias("p"))
     pairs = parts.select("doc_id", "p", F.explode(F.sequence(F.lit(0), F.floor(F.size("p") / 2).cast("int") * 2 - 2, F.lit(2))).alias("k"))
     found.append(pairs.select("doc_id", F.get("p", "k").alias("a"), F.get("p", F.col("k") + 1).alias("b"), F.lit("ASSOCIATED_WITH").alias("type"), F.concat_ws(" & ", F.get("p", "k"), F.get("p", F.col("k") + 1)).alias("context")))

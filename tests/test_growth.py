@@ -62,3 +62,17 @@ def test_every_pair_by_blocks(spark, monkeypatch):
     want = v.crossJoin(q).select("query_id", "vec_id", retrieval.cosine(F.col("embedding"), F.col("query")).alias("similarity")).collect()
     got = df.collect()
     assert len(got) == len(want) and of(r for r in got if r.query_id < 50) == of(r for r in want if r.query_id < 50)
+
+
+def test_runs_are_cut_once_for_all_verbs(spark):
+    from tessera.operators import graph
+
+    assert all(graph.required_words(verbs, True) for _, verbs in graph.VERBS)
+    text = "Ann Bee works for Big Corp. Big Corp WORKſ AT Ann Bee! Ann Bee serves as  president of Big Corp, Big Corp BAſED İN Old City; Ann Bee and Old City"
+    names = ["Ann Bee", "Big Corp", "Old City"]
+    entities = spark.createDataFrame([(1, n, n, 0, k) for k, n in enumerate(names)], "doc_id long, eid string, name string, pattern int, position int")
+    df = graph.pattern_relations(spark.createDataFrame([(1, text)], "doc_id long, text string"), entities, ("name",))
+    got = {(r.src_name, r.type, r.dst_name) for r in df.collect()}
+    assert got == {("Ann Bee", "WORKS_FOR", "Big Corp"), ("Big Corp", "WORKS_FOR", "Ann Bee"), ("Ann Bee", "LEADS", "Big Corp"), ("Big Corp", "LOCATED_IN", "Old City"), ("Ann Bee", "ASSOCIATED_WITH", "Old City")}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("[^" in x and "Generate explode(split(" in x for x in plan.split("\n")) <= 2  # runs, and pairs by &; eight before
