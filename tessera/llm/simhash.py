@@ -146,6 +146,11 @@ DEVIATIONS = 6
 BROADCAST_IDS = 200_000
 #: Texts whose shingles are hashed at once.
 COMPARED = 256
+#: Most rows of a bucket whose pairs are joined one by one. A larger bucket is cut into parts of so many rows, and so many
+#: shingles, and each two parts are compared in one task, which hands on links alone.
+PAIRED, PART_ROWS, PART_SHINGLES = 8, 256, 1 << 18
+#: Shingles that meet in one matrix product.
+COLUMNS = 4096
 
 
 def _shingle_hashes(each: np.ndarray, size: int) -> np.ndarray:
@@ -201,8 +206,60 @@ def _wide(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, c0 long, c1 long, f0 long, f1 long, n long, sketch array<int>")
 
 
-def sketch_pairs(nodes: DataFrame, extra: Column, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b) of rows (node, n, sketch) that share a band and that extra and confirm keep; large groups as in close_pairs."""
+def forest(links: np.ndarray) -> list[tuple[int, int]]:
+    """Links that span the components of a symmetric matrix of links: fewer than it has rows."""
+    new, out = np.ones(len(links), bool), []
+    for start in range(len(links)):
+        new[start], ahead = False, [start]
+        while ahead:
+            at = ahead.pop()
+            found = np.flatnonzero(links[at] & new)
+            new[found] = False
+            out += [(at, k) for k in found.tolist()]
+            ahead += found.tolist()
+    return out
+
+
+def shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of these sets of distinct values have in common."""
+    size = len(sets)
+    row = np.repeat(np.arange(size), [len(x) for x in sets])
+    column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    met = count > 1
+    row, column = row[met[column]], (np.cumsum(met) - 1)[column[met[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column, common = row[order], column[order], np.zeros((size, size))
+    for at in range(0, int(met.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (at, at + COLUMNS))
+        some = np.zeros((size, COLUMNS), np.float32)  # counts stay far below 2**24, so they are exact
+        some[row[a:b], column[a:b] - at] = 1
+        common += some @ some.T
+    common[np.arange(size), np.arange(size)] = [len(x) for x in sets]
+    return common
+
+
+def block_links(sets: list[np.ndarray], roots: np.ndarray, sides: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+    """Links that span those of all pairs of different roots (and sides) whose sets have this Jaccard similarity or more."""
+    able = roots[:, None] != roots
+    if sides is not None:
+        able &= sides[:, None] != sides
+    if not able.any():
+        return []
+    common, sizes = shared(sets), np.array([len(x) for x in sets])
+    return forest(able & (common >= similarity * (sizes[:, None] + sizes - common)))
+
+
+def _parts() -> Column:
+    """Into how many parts a bucket of a table (key, node, n, ..) is cut."""
+    return F.greatest(F.ceil(F.count("*") / PART_ROWS), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int")
+
+
+def sketch_pairs(nodes: DataFrame, extra: Column, confirm: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) of rows (node, n, sketch) that share a band and that extra and confirm keep; large groups as in close_pairs.
+
+    Pairs that are still apart in a bucket of more than PAIRED rows don't come out as rows: compare gets the rows of such buckets
+    (key, node, root, parts) and gives links that connect the same nodes as those of all pairs.
+    """
     table = nodes.select("node", "n", F.explode(F.array(*bands(F.col("sketch")))).alias("key"))
     least = table.groupBy("key").agg(F.min(F.struct("node", "n")).alias("s")).select("key", "s.*")
     pair = [F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")]
@@ -215,10 +272,11 @@ def sketch_pairs(nodes: DataFrame, extra: Column, confirm: Callable[[DataFrame],
     stars = scratch.cut(first.unionByName(confirm(apart)).distinct())
     known = table.join(components(stars), "node", "left").select("node", "n", "key", F.coalesce("root", "node").alias("root"))
     # a bucket that is one component has no pair left
-    mixed = known.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    mixed = known.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c"), _parts().alias("parts")).where("x <> y").select("key", "c", "parts")
     known = scratch.cut(known.join(mixed, "key"))
-    found = known.alias("l").join(known.alias("r"), "key").where((F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & extra)
-    return stars.unionByName(confirm(found.select(*pair).distinct()))
+    few = known.where(F.col("c") <= PAIRED)
+    found = few.alias("l").join(few.alias("r"), "key").where((F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & extra)
+    return stars.unionByName(confirm(found.select(*pair).distinct())).unionByName(compare(known.where(F.col("c") > PAIRED)))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -239,18 +297,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     agree = max(0, math.floor(width * similarity - DEVIATIONS * math.sqrt(width * similarity * (1 - similarity))))
     sketches = nodes.select("node", "sketch")
 
+    def shingles(ids: DataFrame) -> DataFrame:
+        """(doc_id, grams): the hashes of the shingles of each of these texts."""
+        small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        texts = named.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+        return scratch.cut(texts.mapInArrow(run, "doc_id long, grams array<long>"))
+
     def confirm(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("s")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("t")), "b")
+        both = pairs.distinct().join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("s")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("t")), "b")
         same = F.size(F.filter(F.zip_with("s", "t", lambda x, y: x == y), lambda x: x))
         likely = scratch.cut(both.where(same >= agree).select("a", "b"))
         ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        texts = named.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-        own = scratch.cut(texts.mapInArrow(run, "doc_id long, grams array<long>"))
+        own = shingles(ids)
         both = likely.join(own.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))  # row by row in the JVM, so a long text is held once for each task
         return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
 
+    def compare(large: DataFrame) -> DataFrame:
+        part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+        dealt = large.select("key", "node", "root", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        cells = dealt.select("key", "node", "root", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
+        own = shingles(large.select(F.col("node").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "node")
+        return scratch.cut(cells.join(own, "node").groupBy("key", "x", "y").applyInArrow(cell, "a long, b long").distinct())
+
+    def cell(key: tuple, rows: pa.Table) -> pa.Table:
+        node, root, side = (rows.column(c).to_numpy() for c in ("node", "root", "part"))
+        grams = rows.column("grams").combine_chunks()
+        flat, offsets = grams.flatten().to_numpy(), np.concatenate([[0], np.cumsum(grams.value_lengths().to_numpy())])
+        sets = [flat[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+        links = np.array(block_links(sets, root, side if key[1] != key[2] else None, similarity), np.int64).reshape(-1, 2)
+        ends = node[links]
+        return pa.table({"a": ends.min(axis=1), "b": ends.max(axis=1)})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, COMPARED):
@@ -262,7 +340,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     alike = (F.least("l.n", "r.n") >= F.greatest("l.n", "r.n") * similarity)
     least = int(similarity / (1 - similarity)) if similarity < 1 else 1
     search = nodes.where(F.col("n") >= least)
-    links = scratch.cut(sketch_pairs(search, alike, confirm))
+    links = scratch.cut(sketch_pairs(search, alike, confirm, compare))
     homes = components(links).withColumnRenamed("root", "home")
     rest = scratch.cut(search.join(homes, "node", "left").select("node", "f0", "f1", "n", F.coalesce("home", "node").alias("home")))
     roots = components(close_pairs(rest, WIDE["bits"], WIDE["radius"], WIDE["segments"], alike & (F.col("l.home") != F.col("r.home")), confirm, links))
