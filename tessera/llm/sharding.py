@@ -16,8 +16,6 @@ from tessera.llm import scratch
 BITS = 6
 #: Tasks among which the copies of one text are dealt when they meet its dimensions.
 WAYS = 32
-#: Rows of which the quantiles of a string dimension are taken.
-SAMPLE = 20_000
 
 
 def _steps(dims: int) -> list[int]:
@@ -76,19 +74,23 @@ def _value(df: DataFrame, name: str) -> Column:
 def _cuts(keyed: DataFrame, name: str) -> list:
     """2**BITS - 1 values that cut a dimension into parts of about equal row counts, in its own order; equal ones where a value is that frequent.
 
-    Numbers: approximate quantiles of all rows. Strings: quantiles of the SAMPLE rows that are least by a hash of text and value; they are
-    compared as strings, so a prefix that all values share does not matter.
+    Numbers: approximate quantiles of all rows. Strings: exact quantiles of all rows, from the counts of the values, sorted by a range
+    exchange and ranked by the sums of its partitions; they are compared as strings, so a prefix that all values share does not matter.
     """
     parts = 1 << BITS
     if dict(keyed.dtypes)[name] == "double":
         return keyed.agg(F.percentile_approx(name, [k / parts for k in range(1, parts)], 1000)).first()[0] or []
-    sample = keyed.where(F.col(name).isNotNull()).orderBy(F.xxhash64("text_key", name), name).limit(SAMPLE).select(name)
-    n = F.count("*").over(Window.partitionBy(F.lit(0)))
-    at = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(name)) - 1  # SAMPLE rows at most
-    ranked = sample.select(name, at.alias("at"), n.alias("n"))
-    part = lambda k: F.floor(k * parts / F.col("n"))
-    every = F.explode(F.sequence(part(F.col("at")) + 1, part(F.col("at") + 1)))  # the cuts at whose quantile this row stands
-    return [r[0] for r in ranked.where(part(F.col("at")) < part(F.col("at") + 1)).select(name, every.alias("cut")).where(F.col("cut") < parts).orderBy("cut").select(name).collect()]
+    spark = keyed.sparkSession
+    counts = keyed.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("c"))
+    runs = scratch.cut(counts.repartitionByRange(scratch.shuffle_width(spark), name).withColumn("run", F.spark_partition_id()))
+    each = runs.groupBy("run").agg(F.sum("c").alias("n"))  # one row for each partition of the sort
+    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = each.select("run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    upto = F.sum("c").over(Window.partitionBy("run").orderBy(name).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = runs.join(F.broadcast(starts), "run").withColumn("upto", F.col("start") + upto)
+    low, high = f"(upto - c) * {parts}L div total", f"upto * {parts}L div total"
+    every = F.explode(F.sequence(F.expr(f"{low} + 1"), F.expr(high)))  # the cuts at whose quantile rows of this value stand
+    return [r[0] for r in ranked.where(f"{low} < {high}").select(name, every.alias("cut")).where(F.col("cut") < parts).orderBy("cut").select(name).collect()]
 
 
 def _cell(c: Column, cuts: list) -> Column:
