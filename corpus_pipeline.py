@@ -2,6 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents. Run it with ``run``.
+The stages lower the session's limit on the bytes of an Arrow batch.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ def _others(docs: DataFrame) -> tuple[str, ...]:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the quality classifier accepts (a probability of 0.7 or more)."""
+    scratch.bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = quality.with_decision(quality.quality_scores(docs, labels, _others(docs)), 0.7)
     return scored.where("predicted = 1").select("doc_id", "text", *_others(docs))
@@ -30,6 +32,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each group of near copies (five-word shingles, similarity 0.8), once. Rows without doc_id stay, and so do rows of one doc_id with different texts."""
+    scratch.bound_batches(spark)
     groups = simhash.near_duplicates(docs, shingle=5, similarity=0.8)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select("doc_id", "text", *_others(docs))
@@ -39,6 +42,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove words in windows of 13 that an earlier document has; texts that lose nothing stay as they are."""
+    scratch.bound_batches(spark)
     found = substring.dedup_substrings(docs, 13, _others(docs), whole=True)
     out = found.withColumn("text", F.col("kept_text"))
     if "n_chars" in _others(docs):
@@ -48,12 +52,14 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a test item. Rows without doc_id cannot be named and stay."""
+    scratch.bound_batches(spark)
     hits = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.join(hits.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "text", *_others(docs))
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit) and the text that they decode to."""
+    scratch.bound_batches(spark)
     carry = tuple(c for c in _others(docs) if c != "n_chars")
     found = bpe_encode(docs, RANK_FILE, public_tokenizers.PATTERN, carry)
     return found.select("doc_id", *carry, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.decode("decoded", "UTF-8").alias("text"))

@@ -59,6 +59,8 @@ def deal(docs: DataFrame, columns: tuple[str, ...] = (), target: int = 12 << 20)
                 held, size = [], 0
         if held:
             yield _packed(held)
+        held = []
+        scratch.release()
 
     return given.mapInArrow(run, "g long, body binary").repartition(count, "g"), count, total
 
@@ -122,12 +124,16 @@ def ask(dealt: DataFrame, fn: Callable[[int, pa.Table], list[tuple[int, bytes]]]
     if answers is None:
 
         def run(key: tuple, rows: pa.Table) -> pa.Table:
-            return table(fn(key[0].as_py(), opened(rows)), key[0].as_py())
+            found = table(fn(key[0].as_py(), opened(rows)), key[0].as_py())
+            scratch.release()
+            return found
 
         return dealt.groupBy("g").applyInArrow(run, ANSWER)
 
     def again(key: tuple, rows: pa.Table, got: pa.Table) -> pa.Table:
-        return table(fn(key[0].as_py(), opened(rows), bodies(got)), key[0].as_py())
+        found = table(fn(key[0].as_py(), opened(rows), bodies(got)), key[0].as_py())
+        scratch.release()
+        return found
 
     return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(again, ANSWER)
 
@@ -142,6 +148,7 @@ def answer(asked: DataFrame, count: int, fn: Callable[[int, dict[int, bytes]], d
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         shard = key[0].as_py()
         found = fn(shard, dict(zip(rows.column("g").to_pylist(), rows.column("body").to_pylist(), strict=True)))
+        scratch.release()
         return pa.table({"g": pa.array(list(found), pa.int64()), "shard": pa.array([shard] * len(found), pa.int64()), "body": pa.array(list(found.values()), pa.binary())})
 
     return asked.groupBy("shard").applyInArrow(run, ANSWER).repartition(count, "g")

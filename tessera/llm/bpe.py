@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.llm import scratch
 from tessera.llm import words as split
 
 #: The characters with the Unicode property White_Space: what \\s means to the tokenizer; those beyond ASCII as UTF-8.
@@ -89,7 +90,7 @@ class Tokenizer:
         self.db.close()
         self.pair, self.known, self.older = {}, {}, {}
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        scratch.release()
 
     def _long(self, word: bytes) -> list[int]:
         if not self.pair:
@@ -210,6 +211,7 @@ def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, carry: tuple[str,
             for b in batches:
                 for a, z, ids, decoded in tok.encode(b.column("text")):
                     yield pa.RecordBatch.from_arrays([*(c.slice(a, z - a) for c in b.columns[:-1]), ids, decoded], [*b.schema.names[:-1], "ids", "decoded"])
+                scratch.release()
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in ("doc_id", *carry)), "ids binary", "decoded binary"]))

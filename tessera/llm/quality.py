@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import labelled, words
+from tessera.llm import labelled, scratch, words
 
 #: Hash buckets of the features: the bound of the model's size (4 bytes each).
 BUCKETS = 1 << 18
@@ -107,6 +107,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score(b.column(1), model))], [*b.schema.names, "quality_score"])
+        scratch.release()
 
     return rows.mapInArrow(run, labelled.plus(rows, "quality_score"))
 

@@ -202,6 +202,7 @@ def _wide(docs: DataFrame, shingle: int) -> DataFrame:
             width = BANDS * DEPTH
             keys = pa.ListArray.from_arrays(pa.array(range(0, width * len(rows) + 1, width), pa.int32()), pa.array(np.concatenate(sketches) if sketches else [], pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), *(_signed(list(x)) for x in (c0, c1, f0, f1)), pa.array(n, pa.int64()), keys], ["doc_id", "c0", "c1", "f0", "f1", "n", "sketch"])
+            scratch.release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, c0 long, c1 long, f0 long, f1 long, n long, sketch array<int>")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tessera.llm import batches, words
+from tessera.llm import batches, scratch, words
 
 U64 = np.uint64
 DEPTH = 2
@@ -196,6 +196,7 @@ def dedup_substrings(docs: DataFrame, size: int = 13, carry: tuple[str, ...] = (
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         left = batches.opened(left)
         order, n_words, n_removed, kept = _strip(left, batches.bodies(right), size, whole)
+        scratch.release()
         moved = left.take(pa.array(order))
         out = {"doc_id": moved.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string())}
         return pa.table(out | {c: moved.column(c) for c in carry})
