@@ -1,11 +1,12 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries inside each partition.
 
 A text is cut into pieces (a run of white space, then a run of other characters); the tokenizer's pattern never matches
-over the edge of a piece, and it cuts each piece into words. Rows of (word, position, token) join the merge table; each
+over the edge of a piece, and it cuts each piece into words. A word that is in the vocabulary is its token, as in tiktoken.
+For the others, rows of (word, position, token) join the merge table; each
 round contracts every word's leftmost pair of least rank, until no pair is left: the pair's second row takes the merged
 token, the row before points to it, so no row is numbered anew. An ordered aggregation of the tokens'
-bytes decodes. A partition does this for its distinct words only, in bounded portions; texts are then put together from
-the distinct pieces by Arrow's take.
+bytes decodes. A partition does this for its distinct words only, in bounded portions; distinct pieces are then put together from
+the distinct words, and texts from the pieces, by Arrow's take.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from tessera.llm import words as split
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WIDE = [c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
 #: Words in one recursive query and the sum of their squared lengths (twice the rows of all rounds), bytes of text in one
-#: portion, pieces in each of the two generations that a task keeps between portions: the bounds of memory.
+#: portion, words in each of the two generations that a task keeps between portions: the bounds of memory.
 WORDS, SQUARES, PORTION, KEPT = 20_000, 3_000_000, 1 << 21, 60_000
 #: Sequences that one query decodes.
 DECODED = 400
@@ -70,8 +71,8 @@ class Tokenizer:
 
         self.merges, vocabulary = _tables(rank_file)
         self.token = {i: t.encode("latin-1") for i, t in zip(vocabulary["id"].to_pylist(), vocabulary["s"].to_pylist(), strict=True)}
-        of = {t: i for i, t in self.token.items()}
-        self.byte = np.array([of[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.whole = {t: (i.to_bytes(4, "little"), t) for i, t in self.token.items()}
+        self.byte = np.array([int.from_bytes(self.whole[bytes([b])][0], "little") for b in range(256)], dtype=np.int32)
         own = pattern.replace(r"[^\s", f"[^{_WS}").replace(r"\S", f"[^{_WS}]").replace(r"\s", f"[{_WS}]")
         self.words = regex.compile(own).findall
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
@@ -88,7 +89,7 @@ class Tokenizer:
 
     def __exit__(self, *_: object) -> None:
         self.db.close()
-        self.pair, self.known, self.older = {}, {}, {}
+        self.pair, self.known, self.older, self.whole = {}, {}, {}, {}
         gc.collect()
         scratch.release()
 
@@ -133,8 +134,8 @@ class Tokenizer:
             out |= {w: (raw[a:b], s.encode("latin-1")) for w, a, b, (_, s) in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), texts, strict=True)}
         return out
 
-    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.LargeBinaryArray]:
-        """(the first piece of each text, and the end; all pieces)."""
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.LargeBinaryArray, np.ndarray]:
+        """(the first piece of each text, and the end; all pieces; whether each is white space and then other characters)."""
         white = split.SPACE[data]
         for c in _WIDE if data.max(initial=0) > 127 else ():
             at = np.flatnonzero(data[: len(data) - len(c) + 1] == c[0]) if len(data) >= len(c) else np.zeros(0, dtype=np.int64)
@@ -146,29 +147,57 @@ class Tokenizer:
         opens[1:] &= ~white[:-1]
         opens[offsets[:-1][np.diff(offsets) > 0]] = True
         start = np.flatnonzero(opens)
-        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
-        return np.searchsorted(start, offsets), pieces
-
-    def _each(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """The ids and the decoded ids of distinct pieces."""
+        cuts = np.append(start, len(data)).astype(np.int64)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
+        return np.searchsorted(start, offsets), pieces, white[start] & ~white[cuts[1:] - 1]
+
+    def _words(self, pieces: pa.LargeBinaryArray, full: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(the words of all pieces, the full ones first; the first word of each piece in this order, and the end; the place of each piece in it).
+
+        full: white space, then other characters. Such pieces end to end have the words that each has alone, so they are cut at once.
+        """
+        order = np.argsort(~full, kind="stable")
+        count = int(full.sum())
+        parts = pieces.take(pa.array(order))
+        offsets = np.frombuffer(parts.buffers()[1], dtype=np.int64)[: len(parts) + 1]
+        text = parts.buffers()[2].to_pybytes()[: offsets[count]].decode("utf-8") if count else ""
+        rest = [self.words(p.decode("utf-8")) for p in parts.slice(count).to_pylist()]
+        words = self.words(text)
+        ahead = len(words)
+        words += [w for own in rest for w in own]
+        found = pa.array(words, pa.large_string()).cast(pa.large_binary())
+        ends = np.frombuffer(found.buffers()[1], dtype=np.int64)[: ahead + 1] if len(found) else np.zeros(1, dtype=np.int64)
+        if ends[-1] != offsets[count]:  # the pattern leaves characters out, so lengths don't tell whose a word is
+            return self._words(pieces, np.zeros(len(full), dtype=bool))
+        bound = np.searchsorted(ends, offsets[: count + 1])
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        return found, np.concatenate([bound, ahead + np.cumsum([len(own) for own in rest], dtype=np.int64)]), place
+
+    def _each(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """The ids and the decoded ids of distinct words."""
         if len(self.known) > KEPT:  # what is in use moves on to the next generation, the rest goes
             self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        new = [p for p in pieces if p not in known]
-        known.update((p, older[p]) for p in new if p in older)
-        inner = {p: [w.encode("utf-8") for w in self.words(p.decode("utf-8"))] for p in new if p not in older}
-        words = self._encoded(sorted({w for own in inner.values() for w in own}, key=len))  # short words need few rounds
-        for p, own in inner.items():
-            known[p] = words[own[0]] if len(own) == 1 else tuple(b"".join(words[w][k] for w in own) for k in (0, 1))
-        return [known[p] for p in pieces]
+        whole, known, older = self.whole, self.known, self.older
+        other = [w for w in words if w not in whole]
+        new = [w for w in other if w not in known]
+        known.update((w, older[w]) for w in new if w in older)
+        known.update(self._encoded(sorted((w for w in new if w not in older), key=len)))  # short words need few rounds
+        return [whole.get(w) or known[w] for w in words]
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, int, pa.Array, pa.Array]]:
         """(first row, end row, ids as little-endian unsigned 32-bit numbers, the bytes that they decode to) of some texts at a time."""
         for a, z, data, offsets in split.texts(column, PORTION):
-            bound, pieces = self._pieces(data, offsets)
+            bound, pieces, full = self._pieces(data, offsets)
             coded = pieces.dictionary_encode()
-            found = self._each(coded.dictionary.to_pylist())
-            yield a, z, *(_joined(pa.array([x[k] for x in found], pa.large_binary()).take(coded.indices), bound) for k in (0, 1))
+            piece = coded.indices.to_numpy()
+            kind = np.zeros(len(coded.dictionary), dtype=bool)
+            kind[piece] = full
+            words, first, place = self._words(coded.dictionary, kind)
+            own = words.dictionary_encode()
+            found = self._each(own.dictionary.to_pylist())
+            turn = pa.array(place[piece])
+            yield a, z, *(_joined(_joined(pa.array([x[k] for x in found], pa.large_binary()).take(own.indices), first).take(turn), bound).cast(pa.binary()) for k in (0, 1))
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each sequence of ids, by one ordered aggregation."""
@@ -194,7 +223,7 @@ def _groups(words: list[bytes]) -> Iterator[list[bytes]]:
 def _joined(parts: pa.LargeBinaryArray, bound: np.ndarray) -> pa.Array:
     """One value for each range of parts, end to end."""
     offsets = np.frombuffer(parts.buffers()[1], dtype=np.int64)[parts.offset : parts.offset + len(parts) + 1]
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bound) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets[bound])), parts.buffers()[2]]).cast(pa.binary())
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bound) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets[bound])), parts.buffers()[2]])
 
 
 def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, carry: tuple[str, ...] = ()) -> DataFrame:
