@@ -50,6 +50,8 @@ WITH RECURSIVE step(n, w, pos, id, npos, nid) AS (
 SELECT w, pos, id FROM step JOIN (SELECT w, max(n) AS n FROM step GROUP BY w) AS last USING (w, n)
 """
 _DECODE = "SELECT w, string_agg(s, '' ORDER BY pos) AS s FROM {tokens} JOIN vocabulary USING (id) GROUP BY w ORDER BY w"
+#: All words end to end: one sort, where a group for each word takes a sort for each.
+_DECODE_ALL = "SELECT string_agg(s, '' ORDER BY w, pos) FROM encoded JOIN vocabulary USING (id)"
 
 
 @lru_cache(2)
@@ -72,6 +74,8 @@ class Tokenizer:
         self.merges, vocabulary = _tables(rank_file)
         self.token = {i: t.encode("latin-1") for i, t in zip(vocabulary["id"].to_pylist(), vocabulary["s"].to_pylist(), strict=True)}
         self.whole = {t: (i.to_bytes(4, "little"), t) for i, t in self.token.items()}
+        self.size = np.zeros(max(self.token) + 1, dtype=np.int64)
+        self.size[list(self.token)] = [len(t) for t in self.token.values()]
         self.byte = np.array([int.from_bytes(self.whole[bytes([b])][0], "little") for b in range(256)], dtype=np.int32)
         own = pattern.replace(r"[^\s", f"[^{_WS}").replace(r"\S", f"[^{_WS}]").replace(r"\s", f"[{_WS}]")
         self.words = regex.compile(own).findall
@@ -127,11 +131,13 @@ class Tokenizer:
             self.db.register("start", start)
             self.db.execute(f"CREATE OR REPLACE TEMP TABLE encoded AS {_ENCODE}")
             ids = self.db.execute("SELECT w, id FROM encoded ORDER BY w, pos").fetchnumpy()
-            texts = self.db.execute(_DECODE.format(tokens="encoded")).fetchall()
+            text = self.db.execute(_DECODE_ALL).fetchall()[0][0].encode("latin-1")
             self.db.unregister("start")
-            cuts = 4 * np.searchsorted(ids["w"], np.arange(len(part) + 1))
+            at = np.searchsorted(ids["w"], np.arange(len(part) + 1))
+            ends = np.concatenate([[0], np.cumsum(self.size[ids["id"]])])[at].tolist()
+            cuts = (4 * at).tolist()
             raw = np.ascontiguousarray(ids["id"], dtype="<u4").tobytes()
-            out |= {w: (raw[a:b], s.encode("latin-1")) for w, a, b, (_, s) in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), texts, strict=True)}
+            out |= {w: (raw[a:b], text[c:d]) for w, a, b, c, d in zip(part, cuts, cuts[1:], ends, ends[1:], strict=False)}
         return out
 
     def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.LargeBinaryArray, np.ndarray]:
