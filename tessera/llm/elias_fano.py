@@ -24,17 +24,21 @@ def mapped(arrays: list[np.ndarray]) -> list[np.ndarray]:
     return [np.frombuffer(view, a.dtype, a.size, k) for a, k in zip(arrays, at, strict=True)]
 
 
+_EACH = U64(0x0101010101010101)
+#: The place of set bit number k of a byte.
+_PLACE = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[:8] for b in range(256)], dtype=np.int64)
+
+
 def _select(word: np.ndarray, k: np.ndarray) -> np.ndarray:
     """The place of set bit number k of each 64-bit word."""
-    place = np.zeros(len(word), dtype=np.int64)
-    for step in (32, 16, 8, 4, 2, 1):
-        low = word & U64((1 << step) - 1)
-        count = np.bitwise_count(low).astype(np.int64)
-        beyond = k >= count
-        k = np.where(beyond, k - count, k)
-        word = np.where(beyond, word >> U64(step), low)
-        place += step * beyond
-    return place
+    count = word - ((word >> U64(1)) & U64(0x5555555555555555))
+    count = (count & U64(0x3333333333333333)) + ((count >> U64(2)) & U64(0x3333333333333333))
+    sums = ((count + (count >> U64(4))) & U64(0x0F0F0F0F0F0F0F0F)) * _EACH  # byte j: the set bits of bytes 0 to j
+    k = k.astype(U64)
+    top = _EACH << U64(7)
+    at = U64(8) * np.minimum(np.bitwise_count((((k * _EACH) | top) - sums) & top), 7).astype(U64)  # a top bit stays where a sum is k at most
+    rest = k - (((sums << U64(8)) >> at) & U64(255))
+    return at.astype(np.int64) + _PLACE[((word >> at) & U64(255)).astype(np.int64), rest.astype(np.int64)]
 
 
 class EliasFano:

@@ -72,9 +72,19 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[new]
 
 
+def places(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct values in ascending order, the place of each value among them): Arrow's hash table finds them, only they are sorted."""
+    coded = pa.array(np.ascontiguousarray(values)).dictionary_encode()
+    found = coded.dictionary.to_numpy()
+    order = np.argsort(found)
+    turn = np.empty(len(order), dtype=np.int64)
+    turn[order] = np.arange(len(order))
+    return found[order], turn[coded.indices.to_numpy()]
+
+
 def numbered(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the distinct digests in ascending order, the place of each row among them)."""
-    lead, place = np.unique(digests[:, 0], return_inverse=True)
+    lead, place = places(digests[:, 0])
     second = np.zeros(len(lead), dtype=U64)
     second[place] = digests[:, 1]
     if (second[place] == digests[:, 1]).all():
